@@ -1,4 +1,372 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries over the shared tables, each with the SQL that checks it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenfold.functions import text as fn
+from lumenfold.operators import relations as rel
+from lumenfold.operators import search as se
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+#: (name, kind, file, parent, body), the code that stands in for a small repository
+SYMBOLS = (
+    ("helper", "function", "core.py", "", "def helper():\n    return 1"),
+    ("compute", "function", "core.py", "", "def compute(x):\n    if x and x > 1:\n        return helper()\n    return 0"),
+    ("orchestrate", "function", "core.py", "", "def orchestrate(a, b):\n    for i in range(3):\n        compute(a)\n    return compute(b)"),
+    ("handle_request", "method", "api.py", "Api", "def handle_request(req):\n    while req:\n        orchestrate(req, 1)\n    return None"),
+    ("validate", "function", "api.py", "", "def validate(x):\n    if x:\n        return 1\n    if not x:\n        return 2"),
+    ("format_output", "function", "utils.py", "", "def format_output(v):\n    # one\n    x = 1\n    y = 2\n    z = 3\n    return x + y + z"),
+    ("log_event", "function", "utils.py", "", "def log_event(v):\n    // two\n    x = 1\n    y = 2\n    z = 3\n    return x + y + z"),
+    ("test_all", "function", "test.py", "", "def test_all():\n    validate(1)"),
+    ("Api", "class", "api.py", "", "class Api:\n    pass"),
+)
+VALUES = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in s) + ")" for s in SYMBOLS)
+SYM_SQL = f"with symbols as (select * from (values {VALUES}) as t(name, kind, file_path, parent, body))"
+
+
+def symbols(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SYMBOLS), "name string, kind string, file_path string, parent string, body string")
+
+
+def query(sql: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+TOKS = r"select doc_id, lower(unnest(regexp_extract_all(text, '[a-z]+|[A-Z][a-z]*|[0-9]+'))) as tok from documents"
+POSTINGS = f"toks as ({TOKS}), post as (select doc_id, tok, count(*) as tf from toks group by all), dl as (select doc_id, sum(tf) as dl from post group by 1)"
+BM25 = f"""{POSTINGS}, n as (select count(*) as n from documents), a as (select sum(dl) / (select n from n) as avgdl from dl),
+df as (select tok, count(*) as df from post group by 1),
+bm as (select doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) as score
+from post join df using (tok) join dl using (doc_id), n, a where tok in ('the', 'and', 'que') group by 1)"""
+
+
+def _bm25(spark, d):
+    docs = t(spark, d, "documents")
+    return se.bm25(se.postings(docs), "the and que", docs.count())
+
+
+@query(f"with {BM25} select doc_id, round(score, 4) as score from bm order by bm.score desc, doc_id limit 10")
+def bm25_topk(spark, d):
+    return se.top(_bm25(spark, d), 10).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"with {POSTINGS} select tok, count(*) as df, cast(sum(tf) as bigint) as cf from post group by 1 order by df desc, tok limit 50")
+def bm25_terms(spark, d):
+    p = se.postings(t(spark, d, "documents"))
+    return p.groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("df"), "tok").limit(50)
+
+
+VEC = "select vec_id, list_sum(list_transform(list_zip(embedding, (select embedding from embeddings where vec_id = 0)), lambda p: p[1]::double * p[2]::double)) as score from embeddings"
+
+
+@query(f"with s as ({VEC}) select vec_id, round(score, 6) as score from s order by s.score desc, vec_id limit 10")
+def vector_topk(spark, d):
+    v = t(spark, d, "embeddings")
+    q = v.where("vec_id = 0").select("embedding").first()[0]
+    return se.vector_top(v, q, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with s as ({VEC}), k as (select * from s order by score desc, vec_id limit 10) select vec_id, round(score, 6) as score from k where score >= 0.3")
+def vector_threshold(spark, d):
+    v = t(spark, d, "embeddings")
+    q = v.where("vec_id = 0").select("embedding").first()[0]
+    return se.threshold_after_top(se.vector_top(v, q, 10), 10, 0.3, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""with s as ({VEC}), k as (select vec_id, row_number() over (order by score desc, vec_id) as r from s qualify r <= 11)
+select label, count(*) as votes from k join embeddings using (vec_id) where vec_id <> 0 group by 1""")
+def knn_label_vote(spark, d):
+    v = t(spark, d, "embeddings")
+    q = v.where("vec_id = 0").select("embedding").first()[0]
+    return se.vector_top(v, q, 11).where("vec_id <> 0").join(v.select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("votes"))
+
+
+RX = "select doc_id, count(*) as score from (select doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as line from documents) where regexp_matches(line, '(?i)th[ei]') group by 1"
+
+
+@query(f"""with {BM25}, x as ({RX}), ra as (select doc_id, row_number() over (order by score desc, doc_id) - 1 as r from bm qualify r < 40),
+rb as (select doc_id, row_number() over (order by score desc, doc_id) - 1 as r from x qualify r < 40)
+select doc_id, round(coalesce(1 / (61.0::double + ra.r), 0) + coalesce(1 / (61.0::double + rb.r), 0), 6) as score from ra full join rb using (doc_id)
+order by coalesce(1 / (61.0::double + ra.r), 0) + coalesce(1 / (61.0::double + rb.r), 0) desc, doc_id limit 20""")
+def rrf_hybrid(spark, d):
+    docs = t(spark, d, "documents")
+    a = se.ranked(se.top(_bm25(spark, d), 40))
+    b = se.ranked(se.regex_search(docs, "th[ei]", 40))
+    return se.top(se.rrf(a, b), 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"select doc_id, score from ({RX}) order by score desc, doc_id limit 25")
+def regex_search(spark, d):
+    return se.regex_search(t(spark, d, "documents"), "th[ei]", 25).select("doc_id", "score")
+
+
+LINES = "select doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) as line_number from documents"
+
+
+@query(f"with l as ({LINES}) select doc_id, cast(line_number as int) as line_number, line from l where regexp_matches(line, 'Licen[sc]e')")
+def grep_lines(spark, d):
+    return se.grep(t(spark, d, "documents"), "Licen[sc]e").select("doc_id", "line_number", "line")
+
+
+@query(f"""with l as ({LINES}), h as (select *, max(cast(regexp_matches(line, 'Licen[sc]e') as int)) over (partition by doc_id order by line_number rows between 2 preceding and 1 following) as near from l)
+select doc_id, cast(line_number as int) as line_number, not regexp_matches(line, 'Licen[sc]e') as is_context from h where near = 1""")
+def grep_context(spark, d):
+    return se.grep(t(spark, d, "documents"), "Licen[sc]e", before=1, after=2).select("doc_id", "line_number", "is_context")
+
+
+@query(f"with l as ({LINES}) select doc_id, count(*) as n from l where regexp_matches(line, 'http') group by 1")
+def grep_count(spark, d):
+    return se.grep_counts(t(spark, d, "documents"), "http")
+
+
+@query(f"with l as ({LINES}) select doc_id from documents where doc_id not in (select doc_id from l where regexp_matches(line, 'the'))")
+def files_without_match(spark, d):
+    return se.without_match(t(spark, d, "documents"), "the")
+
+
+@query(f"""with x as (select doc_id, score from ({RX}) order by score desc, doc_id limit 10), {BM25}, b as (select doc_id from bm order by score desc, doc_id limit 10)
+select doc_id, 0 as arm from x union all select doc_id, 1 from b where doc_id not in (select doc_id from x)""")
+def multi_retrieve(spark, d):
+    a = se.regex_search(t(spark, d, "documents"), "th[ei]", 10).select("doc_id")
+    return se.multi_retrieve(a, se.top(_bm25(spark, d), 10).select("doc_id"), ["doc_id"])
+
+
+@query(f"with {BM25} select doc_id, round(score * case when lang = 'fr' then 1.5 else 1 end, 4) as score from bm join documents using (doc_id) order by bm.score * case when lang = 'fr' then 1.5 else 1 end desc, doc_id limit 15")
+def language_boost(spark, d):
+    s = _bm25(spark, d).join(t(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return se.top(se.boost_language(s, "fr"), 15).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"""with {BM25}, r as (select doc_id, source, score, row_number() over (partition by source order by score desc, doc_id) as r from bm join documents using (doc_id) qualify r <= 5)
+select source, doc_id, round(score, 4) as score from r order by r.score desc, doc_id limit 5""")
+def workspace_merge(spark, d):
+    s = _bm25(spark, d).join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return se.merge_repositories(s, 5, "source", "doc_id").select("source", "doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"select doc_id, score from ({RX}) order by score desc, doc_id limit 10 offset 20")
+def page_cursor(spark, d):
+    hits = se.regex_search(t(spark, d, "documents"), "th[ei]", 100).select("doc_id", "score")
+    return se.page(hits, 20, 10, F.desc("score"), "doc_id")
+
+
+KIND = "case when trim(line) = '' then 'blank' when regexp_matches(trim(line), '^(#|//|/\\*|\\*)') then 'comment' else 'code' end"
+
+
+@query(f"with l as ({LINES}) select doc_id, count(*) as n_lines, count(*) filter ({KIND} = 'code') as code, count(*) filter ({KIND} = 'comment') as comment, count(*) filter ({KIND} = 'blank') as blank from l group by 1")
+def line_metrics(spark, d):
+    rows = se.line_rows(t(spark, d, "documents")).withColumn("k", fn.line_kind("line"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), *[F.count_if(F.col("k") == k).alias(k) for k in ("code", "comment", "blank")])
+
+
+@query(f"""with l as ({LINES}), m as (select doc_id, count(*)::double as loc, count(*) filter ({KIND} = 'comment') / count(*)::double as cr from l group by 1)
+select doc_id, round(greatest(0, least(100, (171 - 5.2 * ln(greatest(loc * 1.0, 1)) - 0.23 - 16.2 * ln(greatest(loc, 1)) + 50 * sin(sqrt(2.4 * cr))) * 100 / 171)), 3) as mi from m""")
+def maintainability(spark, d):
+    m = line_metrics(spark, d).select("doc_id", F.col("n_lines").cast("double").alias("loc"), (F.col("comment") / F.col("n_lines")).alias("cr"))
+    return m.select("doc_id", F.round(fn.maintainability("loc", F.lit(1.0), "cr"), 3).alias("mi"))
+
+
+@query("select sha256(text) as content_hash, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def exact_duplicates(spark, d):
+    g = t(spark, d, "documents").groupBy(fn.content_hash("text").alias("content_hash"))
+    return g.agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+BODY = "array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x, '#') and not starts_with(x, '//')), chr(10))"
+
+
+@query(f"""{SYM_SQL}, n as (select name, {BODY} as t from symbols), f as (select * from n where len(string_split(t, chr(10))) >= 4),
+g as (select distinct name, substr(t, i, 3) as x from f, lateral (select unnest(range(1, len(t) - 1)) as i)), c as (select name, count(*) as n from g group by 1)
+select a.name as a, b.name as b, round(count(*) / (ca.n + cb.n - count(*))::double, 6) as similarity from g a join g b on a.x = b.x and a.name < b.name
+join c ca on ca.name = a.name join c cb on cb.name = b.name group by a.name, b.name, ca.n, cb.n having count(*) / (ca.n + cb.n - count(*))::double >= 0.5""")
+def trigram_duplicates(spark, d):
+    return rel.duplicates(symbols(spark), 0.5, 4, "name").select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
+def cross_corpus_reuse(spark, d):
+    """Benchmark passages inside documents: candidates share its second to fifth word, then the text decides."""
+    docs, items = t(spark, d, "documents").select("doc_id", "text"), t(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    keyed = items.withColumn("w", words("passage")).where(F.size("w") >= 6).select("item_id", "passage", F.concat_ws(" ", F.slice("w", 2, 4)).alias("lead"))
+    four = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 3)), lambda i: F.concat_ws(" ", F.slice("w", i, 4)))).alias("lead"))
+    near = four.join(keyed.select("item_id", "lead"), "lead").select("doc_id", "item_id").distinct()
+    hits = near.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    brief = items.where(F.size(words("passage")) < 6)
+    return hits.unionByName(docs.join(brief, F.contains("text", F.col("passage"))).select("doc_id", "item_id")).distinct()
+
+
+CALLS = "select distinct file_path || ':' || name as caller, callee, file_path from (select *, unnest(regexp_extract_all(body, '([A-Za-z_][A-Za-z0-9_]*)\\s*[(.]', 1)) as callee from symbols where kind in ('function', 'method')) where callee <> name and callee in (select name from symbols where kind in ('function', 'method'))"
+
+
+@query(f"{SYM_SQL} {CALLS}")
+def callgraph_edges(spark, d):
+    return rel.call_edges(symbols(spark))
+
+
+@query(f"""{SYM_SQL}, e as ({CALLS}), w as (select name as own, unnest(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]*')) as name from symbols)
+select name from symbols where kind in ('function', 'method') and not regexp_matches(name, '^(test_|Test)') and name not in (select callee from e) and name not in (select name from w where own <> name)""")
+def dead_code(spark, d):
+    s = symbols(spark)
+    return rel.dead_code(s, rel.call_edges(s)).select("name")
+
+
+PAT = [r"\bif\b", r"\belif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcatch\b", r"\bexcept\b", r"\bcase\b", r"\?\s*\.", r"\band\b", r"\bor\b", "&&", r"\|\|"]
+HITS = " + ".join(f"cast(regexp_matches(line, '{p}') as int)" for p in PAT)
+
+
+@query(f"""{SYM_SQL}, l as (select name, unnest(string_split(body, chr(10))) as line from symbols), c as (select name, 1 + sum(case when trim(line) = '' or starts_with(trim(line), '#') or starts_with(trim(line), '//') then 0 else {HITS} end) as complexity from l group by 1)
+select name, cast(complexity as int) as complexity, case when complexity <= 5 then 'low' when complexity <= 10 then 'moderate' when complexity <= 20 then 'high' else 'very_high' end as band from c""")
+def complexity_regex(spark, d):
+    s = symbols(spark).withColumn("complexity", fn.complexity("body"))
+    return s.select("name", "complexity", fn.complexity_band("complexity").alias("band"))
+
+
+SAFE = "regexp_replace(line, '(?i)http://(localhost|127\\.0\\.0\\.1)', '', 'g')"
+
+
+@query(f"with l as ({LINES}) select doc_id, cast(line_number as int) as line_number from l where regexp_matches({SAFE}, '(?i)http://') or regexp_matches(line, '(?i)(password|secret|api_key|token)\\s*=\\s*[\"''][^\"'']{{8,}}[\"'']')")
+def safety_scan(spark, d):
+    rows = se.line_rows(t(spark, d, "documents")).withColumn("bad", fn.bad_patterns("line"))
+    return rows.where(F.arrays_overlap("bad", F.array(F.lit(9), F.lit(14)))).select("doc_id", "line_number")
+
+
+@query("""with o as (select doc_id, sha256(text) as h from documents where doc_id % 3 <> 0), n as (select doc_id, sha256(case when doc_id % 5 = 0 then text || 'x' else text end) as h from documents where doc_id % 7 <> 0)
+select doc_id, case when o.h is null then 'created' when n.h is null then 'deleted' else 'modified' end as change from o full join n using (doc_id) where o.h is distinct from n.h""")
+def change_detection(spark, d):
+    docs = t(spark, d, "documents")
+    old = docs.where("doc_id % 3 <> 0").select("doc_id", fn.content_hash("text").alias("content_hash"))
+    new = docs.where("doc_id % 7 <> 0").select("doc_id", fn.content_hash(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("content_hash"))
+    return rel.changes(old, new, "doc_id")
+
+
+@query("select * from (values ('body_changed', 'foo', null), ('cosmetic', 'bar', null), ('signature_changed', 'baz', null), ('renamed', 'new_name', 'old_name'), ('added', 'fresh', null), ('removed', 'gone', null)) as t(change, name, old_name)")
+def semantic_diff(spark, d):
+    old = [("foo", "def foo():\n    return 1"), ("bar", "def bar():\n    return 1"), ("baz", "def baz(x):\n    return x"), ("old_name", "def old_name():\n    return 42"), ("gone", "def gone():\n    return 7")]
+    new = [("foo", "def foo():\n    return 2"), ("bar", "def bar():\n    return 1  "), ("baz", "def baz(x, y):\n    return x"), ("new_name", "def new_name():\n    return 42"), ("fresh", "def fresh():\n    return 8")]
+    make = lambda rows: spark.createDataFrame(rows, "name string, body string")
+    return rel.diff_symbols(make(old), make(new))
+
+
+@query("select l_suppkey as key, count(distinct l_partkey) as fan_out, count(*) as uses from lineitem group by 1")
+def fan_out(spark, d):
+    return t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key")).agg(F.countDistinct("l_partkey").alias("fan_out"), F.count("*").alias("uses"))
+
+
+@query("""with recursive e as (select distinct l_suppkey as src, l_partkey % 100 as dst from lineitem where l_suppkey < 50),
+b(node, depth) as (select 1::bigint, 0 union select e.dst, b.depth + 1 from b join e on e.src = b.node where b.depth < 3) select node, min(depth) as depth from b group by 1""")
+def impact_bfs(spark, d):
+    e = t(spark, d, "lineitem").where("l_suppkey < 50").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    return rel.reach(e, spark.createDataFrame([(1,)], "node long"), 3)
+
+
+@query("select regexp_extract(url, '^https?://([^/]+)', 1) as area, count(*) as n, min(page_id) as first_page from pages group by 1")
+def reviewers_by_area(spark, d):
+    return t(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("area")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query("""with m as (select source, avg(quality) as q, sum(toxic) as tox, count(*) as n from labels join documents using (doc_id) group by 1)
+select source, rule, actual from (select source, 'min_quality' as rule, round(q, 4) as actual from m where q < 0.9 union all select source, 'max_toxic', tox::double from m where tox > 2)""")
+def quality_gate(spark, d):
+    m = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("quality").alias("q"), F.sum("toxic").alias("tox"))
+    rules = F.filter(F.array(F.when(F.col("q") < 0.9, F.struct(F.lit("min_quality").alias("rule"), F.round("q", 4).alias("actual"))), F.when(F.col("tox") > 2, F.struct(F.lit("max_toxic").alias("rule"), F.col("tox").cast("double").alias("actual")))), lambda x: x.isNotNull())
+    return m.select("source", F.explode(rules).alias("x")).select("source", "x.*")
+
+
+@query("select event_type, round(regr_slope(n, day), 6) as slope from (select event_type, date_diff('day', date '1970-01-01', cast(ts as date)) as day, count(*) as n from events group by all) group by 1")
+def trend_slope(spark, d):
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date"))
+    daily = t(spark, d, "events").groupBy("event_type", day.alias("day")).agg(F.count("*").alias("n"))
+    return rel.trend(daily, "n", "day", ["event_type"]).select("event_type", F.round("slope", 6).alias("slope"))
+
+
+@query("select user_id, event_type, count(*) as n from events group by all order by n desc, user_id, event_type limit 10")
+def popular_queries(spark, d):
+    return t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id", "event_type").limit(10)
+
+
+@query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id, role = 'system' order by turn desc) as r from conversations) where role = 'system' or r <= 4")
+def last_turns(spark, d):
+    c = t(spark, d, "conversations")
+    rest = rel.newest(c.where("role <> 'system'"), 4, F.desc("turn"), by=["conv_id"])
+    return c.where("role = 'system'").unionByName(rest).select("conv_id", "turn", "role")
+
+
+@query("select conv_id, count(*) filter (role in ('user', 'assistant')) as turns from conversations group by 1")
+def turn_count(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role").isin("user", "assistant")).alias("turns"))
+
+
+@query("""with l as (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events), s as (select *, sum(case when p is null or ts > p + interval 1 hour then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from l)
+select user_id, cast(session as bigint) as session, count(*) as n from s group by all""")
+def sessionize_ttl(spark, d):
+    return rel.sessions(t(spark, d, "events"), "user_id", "ts").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, count(*) over w as n, round(sum(value) over w, 4) as total from events window w as (partition by user_id order by ts range between interval 3599 seconds preceding and current row)")
+def rate_window(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_599_000_000, 0)
+    return t(spark, d, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 4).alias("total"))
+
+
+@query("select user_id, count(*) as asked, count(*) filter (p is not null and ts - p <= interval 24 hours) as hits from (select *, lag(ts) over (partition by user_id, event_type order by ts, event_id) as p from events) group by 1")
+def ttl_cache_hits(spark, d):
+    from pyspark.sql.window import Window
+
+    p = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    rows = t(spark, d, "events").withColumn("p", p)
+    return rows.groupBy("user_id").agg(F.count("*").alias("asked"), F.count_if(F.col("ts") <= F.col("p") + F.expr("interval 24 hours")).alias("hits"))
+
+
+@query("select lang, source, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by rollup (lang, source)")
+def summary_rollup(spark, d):
+    return t(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query(f"with l as ({LINES}), f as (select doc_id, line_number, line_number - row_number() over (partition by doc_id order by line_number) as i from l where line_number % 7 not in (2, 3)) select doc_id, cast(min(line_number) as int) as start_line, cast(max(line_number) as int) as end_line from f group by doc_id, i")
+def uncovered_blocks(spark, d):
+    rows = se.line_rows(t(spark, d, "documents")).select("doc_id", "line_number")
+    spans = rows.where("line_number % 7 = 2").select("doc_id", F.col("line_number").alias("start_line"), (F.col("line_number") + 1).alias("end_line"))
+    return rel.uncovered(rows, spans, "doc_id")
+
+
+@query("""with c as (select conv_id, turn, sum(greatest(1, len(text) // 4)) over (partition by conv_id order by turn) as used, row_number() over (partition by conv_id order by turn) as r from conversations)
+select conv_id, turn, cast(used as bigint) as used from c where used <= 300 or r = 1""")
+def token_budget_prefix(spark, d):
+    return rel.within_budget(t(spark, d, "conversations"), 300, ["conv_id"], ["turn"]).select("conv_id", "turn", "used")
+
+
+@query("""with o as (select o_custkey, count(*) as n, sum(o_totalprice) as v from orders group by 1), m as (select max(n) as mn, max(v) as mv from o)
+select o_custkey as key, round((0.3 * least(n / mn::double, 1) + 0.7 * least(v / mv, 1)) * 100, 2) as score from o, m order by (0.3 * least(n / mn::double, 1) + 0.7 * least(v / mv, 1)) desc, key limit 20""")
+def hotspot_score(spark, d):
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("v"))
+    m = o.agg(F.max("n").alias("mn"), F.max("v").alias("mv"))
+    raw = 0.3 * fn.normalised("n", "mn") + 0.7 * fn.normalised("v", "mv")
+    return o.crossJoin(F.broadcast(m)).orderBy(F.desc(raw), "key").limit(20).select("key", F.round(raw * 100, 2).alias("score"))
+
+
+@query("select doc_id, row_number() over (partition by source, lang order by doc_id) as r from documents qualify r = 1")
+def first_per_key(spark, d):
+    return rel.first_of(t(spark, d, "documents"), ["source", "lang"], "doc_id").select("doc_id", F.lit(1).cast("int").alias("r"))
+
+
+@query("select lang, count(distinct source) as sources, count(*) as chunks, round(avg(len(text)), 1) as avg_chars from documents group by 1")
+def index_stats(spark, d):
+    g = t(spark, d, "documents").groupBy("lang")
+    return g.agg(F.countDistinct("source").alias("sources"), F.count("*").alias("chunks"), F.round(F.avg(F.length("text")), 1).alias("avg_chars"))
