@@ -18,6 +18,7 @@ is not held out; repeated rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from .base import _BYTE, LOWER, U64, WORD, Block, Hasher, Lookup, blocks, cut, d
 from .langid import remainder
 
 DEPTH = 5
-PART_NODES = 9_000_000
+PART_NODES = 2_500_000
 TOP_WORDS = 65_536
 END_KEY = 1
 _HALF = np.log(0.5)
@@ -244,10 +245,14 @@ def _assemble(nodes: DataFrame, grams: DataFrame, top: tuple) -> Part:
     t = nodes.select("key", "r").toArrow()
     key, r = t["key"].to_numpy().view(U64), t["r"].to_numpy()
     above = np.searchsorted(two, key & U64((1 << 24) - 1))
-    key, r = np.concatenate([k0, k1, key]), np.concatenate([p0, r1, s2[above] + q2[above] * r])
-    order = np.argsort(key)
-    key = key[order]
-    odds = (np.log(r[order]) - np.log1p(-r[order])).astype(np.float32)
+    r = np.concatenate([p0, r1, s2[above] + q2[above] * r])
+    key = np.concatenate([k0, k1, key])
+    del t, above
+    odds = (np.log(r) - np.log1p(-r)).astype(np.float32)
+    del r
+    order = np.argsort(key).astype(np.int32)
+    key, odds = key[order], odds[order]
+    del order
     code = np.sort(grams.select("key").toArrow()["key"].to_numpy().view(U64))
     logs = np.concatenate([_bit_logs(code[i : i + 100_000], key, odds) for i in range(0, len(code), 100_000)]) if len(code) else np.zeros(0)
     return Part(Lookup(code), logs.astype(np.float32), key, odds)
@@ -332,7 +337,10 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
 
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         scored.append(cut(source.mapInArrow(run, SCORED)))
-        model.unpersist()
+        model.destroy()
+        del model, run
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     out = scored[0]
     if parts > 1:
         rest = scored[1].select("rid", "part")
