@@ -7,8 +7,9 @@ sets. At a similarity of exactly 0.8 a pair shares no band with probability 3e-6
 
 Equal sets are one class from the start. Within a band, members are first compared with one hub
 each (the one they share most bands with), so a large group of copies costs one comparison a
-member; then pairs that are still in different components are compared, until no candidate
-pair across components is left unconfirmed. Components therefore are those of all linked candidates.
+member. Then candidate pairs that are still in different components are compared: pair by pair in
+bands of at most SMALL members, and side by side, SIDE texts against SIDE texts in one task, in
+groups of texts that larger bands connect. Components therefore are those of all linked candidates.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are
 kept as their own component; a text of fewer words than a shingle is one shingle; a null doc_id
@@ -28,6 +29,8 @@ from .base import _BYTE, Block, Hasher, U64, blocks, connected_components, cut,
 
 PERMS = 48
 BAND = 4
+SMALL = 32
+SIDE = 192
 _MUL = stream64(PERMS, 11) | U64(1)
 _ADD = stream64(PERMS, 12)
 SIG = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
@@ -120,6 +123,49 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _compare(words: int, percent: int):
+    """Links between two sides of a group, or within one: a forest of them that connects what they connect."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, side = t["doc_id"].to_numpy(), t["side"].to_numpy()
+        sets, size = [], []
+        for block in blocks(t["text"]):
+            x, st = shingle_sets(block, words)
+            sets.append(x)
+            size.append(np.diff(st))
+        n = np.concatenate(size)
+        doc = np.repeat(np.arange(len(n)), n)
+        _, col, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        several = freq[col] > 1
+        doc, col = doc[several], np.cumsum(freq > 1)[col[several]] - 1
+        a, b = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        both = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(col.max(initial=-1)) + 1, 8192):
+            here = (col >= at) & (col < at + 8192)
+            m = np.zeros((len(n), 8192), np.float32)
+            m[doc[here], col[here] - at] = 1
+            both += m[a] @ m[b].T
+        i, j = np.nonzero((both > 0) & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
+        root = np.arange(len(n))
+        keep = []
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for k, m in zip(a[i].tolist(), b[j].tolist(), strict=True):
+            p, q = top(k), top(m)
+            if p != q:
+                root[p] = q
+                keep.append((k, m))
+        k = np.array(keep, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[k[:, 0]], "b": ids[k[:, 1]]})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -160,22 +206,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     edges = cut(edges.unionByName(confirm(rest)))
     comps = cut(connected_components(edges))
 
-    # bands that still hold several components: all pairs across them that no hub has covered
+    # bands that still hold several components: the pairs across them of small bands, block by block for large ones
     placed = shared.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    left = placed.join(mixed, "band", "left_semi")
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("lo < hi")
+    mixed = cut(mixed.select("band", "hub", (F.col("c") > SMALL).alias("large")))
+    left = placed.join(mixed.where("not large").select("band"), "band", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
     pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     done = tried.unionByName(rest)
     more = cut(confirm(pairs.join(done, ["a", "b"], "left_anti")))
+    meet = placed.join(mixed.where("large").select("band", "hub"), "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    group = cut(connected_components(meet).distinct())
+    size = group.groupBy("comp").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
+    dealt = group.join(size, "comp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    dealt = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
+    dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.col("node").alias("doc_id"), "text")
+    more = cut(more.unionByName(dealt.groupBy("comp", "lo", "hi").applyInArrow(_compare(words, percent), "a long, b long")))
     comps = cut(connected_components(edges.unionByName(more)))
 
     members = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(members, ["h1", "h2"], "left")
     own = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), own).otherwise(F.col("doc_id")).alias("component_id"))
-    for old in (star, texts, edges, more, rest):
+    for old in (star, texts, edges, more, rest, mixed, group):
         drop_cut(old)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
