@@ -123,7 +123,7 @@ def _nodes(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.
     bit = np.concatenate([(byte >> U64(7 - k)) & U64(1) for k in range(8)]).astype(bool)
     keys, back = np.unique(keys, return_inverse=True)
     w = np.tile(n.astype(np.float64), 8)
-    return keys, np.bincount(back[~bit], w[~bit], len(keys)), np.bincount(back[bit], w[bit], len(keys))
+    return keys, *(np.bincount(back[b], w[b], len(keys)).astype(np.float64) for b in (~bit, bit))
 
 
 def _up(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -305,7 +305,7 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
                     if parts > 1:
                         own = _route(code, parts) == U64(p)
                         code, of = code[own], of[own]
-                    share = np.bincount(of, log_bytes(code, model.value), block.n)
+                    share = np.bincount(of, log_bytes(code, model.value), block.n).astype(np.float64)
                     n = np.bincount(doc, minlength=block.n) + 1
                     zeros = np.zeros(block.n)
                     known = base = zeros
@@ -317,7 +317,7 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
                         at = find.find(keys)
                         hit = at >= 0
                         known = np.bincount(whose[hit], minlength=block.n)
-                        base = np.bincount(whose[hit], np.log10((c[at[hit]] + 0.1) / denom), block.n)
+                        base = np.bincount(whose[hit], np.log10((c[at[hit]] + 0.1) / denom), block.n).astype(np.float64)
                         # the rest, once for each text, in order of texts
                         k, w = keys[~hit], whose[~hit]
                         order = np.lexsort((k, w))
