@@ -110,8 +110,8 @@ class Engine:
         built_in = {f.__name__: f for f in (self.keyword_search, self.regex_search, self.grep, self.references, self.callers, self.impact, self.dead_code, self.complexity, self.duplicates, self.summary, self.retrieve_context)}
         return built_in | self.own_tools
 
-    def invoke(self, name: str, **arguments) -> DataFrame:
-        found = self.tools().get(name)
+    def invoke(self, tool: str, /, **arguments) -> DataFrame:
+        found = self.tools().get(tool)
         if found is None:
-            raise KeyError(f"no tool {name}")
+            raise KeyError(f"no tool {tool}")
         return found(**arguments)
