@@ -155,7 +155,7 @@ def test_tool_calls(spark):
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link_calls(calls, results, toolcalls.REPLY, ("after",)).collect()}
     assert len(got) == 9 and got[1, "zz"].status == "orphan" and got[1, "a"].copies == 2
     assert (got[1, "b"].status, got[1, "b"].result_turn, got[1, "b"].json) == ("linked", 2, '{"arguments":{"prompt":"é","turn":1},"id":"b","name":"reply","result":"first"}')
-    assert got[1, "a"].level == 1 and got[1, "b"].level == 0 and got[2, "p"].level is not None or got[2, "p"].level is None
+    assert got[1, "a"].level == 1 and got[1, "b"].level == 0 and got[2, "p"].level is None and got[2, "r"].level is None
     assert got[1, "c"].errors == ["not_json"] and got[1, "d"].errors == ["unknown_tool"] and got[1, "g"].errors == ["unknown_ref"]
     assert got[1, "e"].errors == ["missing:turn", "type:prompt", "unknown:zz"]
     assert toolcalls.link_calls(calls.where("false"), results.where("false"), toolcalls.REPLY, ("after",)).count() == 0
