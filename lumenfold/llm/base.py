@@ -220,15 +220,22 @@ class Lookup:
 
 
 # --------------------------------------------------------------------------- components
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) is either the child of one parent, or only a parent."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+    nodes = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down"))
+    return nodes.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0] == 0
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): the smallest node reachable from each node that has an edge.
 
     Alternates the two star contractions of large graphs on a cluster until the edges are
-    stars; each round is two aggregations and two joins, written to the shared folder.
+    stars; each round is two aggregations and two joins, written to the shared folder. Edges
+    point from the larger node to the smaller, so the centre of a star is its smallest node.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -236,11 +243,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         new = cut(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_cut(e)
         e = new
-        if tuple(now) == before:
-            break
-        before = tuple(now)
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -5,9 +5,9 @@ and its maximum, so a signature of 2 * PERMS values costs PERMS evaluations. Val
 by fours; texts that share a band are candidates, and links are confirmed on the full shingle
 sets. At a similarity of exactly 0.8 a pair shares no band with probability 3e-6.
 
-Equal sets are one class from the start. Within a band, members are first compared with one hub
-each (the one they share most bands with), so a large group of copies costs one comparison a
-member. Then candidate pairs that are still in different components are compared: pair by pair in
+Equal sets are one class from the start. Within a band, members are first compared with its hub,
+the member of the smallest doc_id, so a large group of copies costs at most one comparison a
+member and band. Then candidate pairs that are still in different components are compared: pair by pair in
 bands of at most SMALL members, and side by side, SIDE texts against SIDE texts in one task, in
 groups of texts that larger bands connect. Components therefore are those of all linked candidates.
 
@@ -171,14 +171,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sig = cut(rows.mapInArrow(_sign(words), SIG))
     real = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).dropDuplicates(["doc_id", "h1", "h2"])
-    rep_bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    classes = cut(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")))
+    rep_bands = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("band"))
 
     hubs = rep_bands.groupBy("band").agg(F.min(F.struct("doc_id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub")
     shared = cut(rep_bands.join(hubs, "band").select("band", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")))
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
-    star = cut(shared.where("doc_id <> hub").where(fits).groupBy("doc_id", "hub").agg(F.count("*").alias("c")))
+    star = cut(shared.where("doc_id <> hub").where(fits).select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct())
 
     # the texts that any candidate pair can need
     need = shared.select("doc_id").distinct()
@@ -189,21 +188,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
         return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirm(words, percent), "a long, b long")
 
-    best = star.groupBy("doc_id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    edges = cut(confirm(best.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))))
-    tried = best.select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-
-    def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        """pairs (a, b) whose ends are in different components so far."""
-        ca = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-        cb = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        full = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return full.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    comps = cut(connected_components(edges))
-    rest = star.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).join(tried, ["a", "b"], "left_anti")
-    rest = cut(across(rest, comps))
-    edges = cut(edges.unionByName(confirm(rest)))
+    edges = cut(confirm(star))
     comps = cut(connected_components(edges))
 
     # bands that still hold several components: the pairs across them of small bands, block by block for large ones
@@ -214,22 +199,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")) & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
     pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    done = tried.unionByName(rest)
-    more = cut(confirm(pairs.join(done, ["a", "b"], "left_anti")))
+    more = cut(confirm(pairs.join(star, ["a", "b"], "left_anti")))
     meet = placed.join(mixed.where("large").select("band", "hub"), "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    group = cut(connected_components(meet).distinct())
+    group = cut(connected_components(meet))
     size = group.groupBy("comp").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     dealt = group.join(size, "comp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     dealt = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
     dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.col("node").alias("doc_id"), "text")
     more = cut(more.unionByName(dealt.groupBy("comp", "lo", "hi").applyInArrow(_compare(words, percent), "a long, b long")))
-    comps = cut(connected_components(edges.unionByName(more)))
+    comps = connected_components(edges.unionByName(more))
 
-    members = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
+    members = classes.select("rep", "h1", "h2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(members, ["h1", "h2"], "left")
     own = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), own).otherwise(F.col("doc_id")).alias("component_id"))
-    for old in (star, texts, edges, more, rest, mixed, group):
+    for old in (shared, star, texts, edges, more, mixed, group):
         drop_cut(old)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
