@@ -180,6 +180,26 @@ def test_line_dedup(spark, docs, none):
     assert linededup.remove_repeated(none).count() == 0
 
 
+def test_line_dedup_finds_passages_of_a_few_lines(spark):
+    """Passages of 2 to 5 lines, each under 50 words, of 51 to 90 words, stand in contexts of their own."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for p in range(60):
+        n = 2 + p % 4
+        sizes = [28, 39] if n == 2 else [51 // n + 1 + p % 5] * n
+        passage = [" ".join(f"p{p}w{rng.integers(1 << 30)}" for _ in range(k)) for k in sizes]
+        for c in range(3):
+            own = [" ".join(f"c{rng.integers(1 << 30)}" for _ in range(rng.integers(1, 30))) for _ in range(rng.integers(1, 4) + rng.integers(1, 4))]
+            at = rng.integers(0, len(own) + 1)
+            rows.append((3 * p + c, "\n".join([*own[:at], *passage, *own[at:]])))
+            want[3 * p + c] = "\n".join(own) if c else rows[-1][1]
+    rows.append((900, rows[0][1]))
+    rows.append((901, "\n".join(["the same line of seven words again"] * 40)))
+    got = {r.doc_id: r.text for r in linededup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert got[900] == "" and 8 <= len(got[901].split("\n")) < 40
+
+
 def test_mixing(spark, docs, none):
     out = mixing.apply_mix(docs)
     assert out.count() == len(DOCS) and out.where("_copies > 2").count() == 0
