@@ -200,6 +200,15 @@ def test_line_dedup_finds_passages_of_a_few_lines(spark):
     assert got[900] == "" and 8 <= len(got[901].split("\n")) < 40
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_line_dedup_decides_each_row_by_itself(spark, key):
+    long_ = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    rows = [(1, f"{long_[0]}\n{long_[1]}"), (key, f"{long_[2]}\n{long_[3]}"), (key, f"{long_[4]}\n{long_[1]}"), (key, f"{long_[5]}\n{long_[6]}"), (key, f"{long_[5]}\n{long_[6]}")]
+    got = [r.text for r in linededup.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    first = {None: [long_[0], rows[2][1]], 7: [rows[0][1], long_[4]]}[key]
+    assert sorted(got) == sorted([*first, rows[1][1], rows[3][1], ""])
+
+
 def test_mixing(spark, docs, none):
     out = mixing.apply_mix(docs)
     assert out.count() == len(DOCS) and out.where("_copies > 2").count() == 0
