@@ -33,8 +33,15 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Decides by row: of each component the row of the smallest doc_id stays (of rows that share it, that of the
+    smallest hash of its text); rows without doc_id link with nothing and stay."""
+    # written once, so that the numbers of the rows hold
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    named = rows.where("doc_id is not null")
+    found = neardup.near_duplicates(named, doc_id="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    order = named.select("_row", F.struct("doc_id", F.xxhash64("text"), "_row").alias("order"))
+    keep = found.join(order, "_row").groupBy("component_id").agg(F.min_by("_row", "order").alias("_row")).select("_row")
+    return named.join(keep, "_row", "left_semi").unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
