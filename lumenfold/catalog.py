@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as fn
+from lumenfold.llm.base import cut
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 
@@ -254,6 +255,17 @@ def change_detection(spark, d):
     return rel.changes(old, new, "doc_id")
 
 
+@query()
+def change_detection_all(spark, d):
+    """All documents, against the first copies of all of them with their digits masked, and all benchmark items beside them."""
+    docs, items = t(spark, d, "documents"), t(spark, d, "benchmark")
+    old = docs.select(F.concat(F.lit("documents/"), "doc_id").alias("path"), fn.content_hash("text").alias("content_hash"))
+    first = docs.groupBy(fn.content_hash("text").alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = docs.join(first, "doc_id", "left_semi").select(F.concat(F.lit("documents/"), "doc_id").alias("path"), fn.content_hash(F.regexp_replace("text", "[0-9]", "0")).alias("content_hash"))
+    fresh = items.select(F.concat(F.lit("benchmark/"), "item_id").alias("path"), fn.content_hash("text").alias("content_hash"))
+    return rel.changes(old, kept.unionByName(fresh))
+
+
 @query("select * from (values ('body_changed', 'foo', null), ('cosmetic', 'bar', null), ('signature_changed', 'baz', null), ('renamed', 'new_name', 'old_name'), ('added', 'fresh', null), ('removed', 'gone', null)) as t(change, name, old_name)")
 def semantic_diff(spark, d):
     old = [("foo", "def foo():\n    return 1"), ("bar", "def bar():\n    return 1"), ("baz", "def baz(x):\n    return x"), ("old_name", "def old_name():\n    return 42"), ("gone", "def gone():\n    return 7")]
@@ -274,6 +286,13 @@ def impact_bfs(spark, d):
     return rel.reach(e, spark.createDataFrame([(1,)], "node long"), 3)
 
 
+@query()
+def impact_bfs_all(spark, d):
+    """Five steps over all distinct supplier-part edges; impact_bfs is the small form that SQL checks."""
+    e = cut(t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
+    return rel.reach(e, spark.createDataFrame([(1,)], "node long"), 5, cut)
+
+
 @query("select regexp_extract(url, '^https?://([^/]+)', 1) as area, count(*) as n, min(page_id) as first_page from pages group by 1")
 def reviewers_by_area(spark, d):
     return t(spark, d, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("area")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
