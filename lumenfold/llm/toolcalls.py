@@ -4,15 +4,16 @@ Calls and results meet in one hash join on (conv_id, call_id), each side first r
 an identifier. Arguments are checked against a schema for each tool on their parsed form, and
 calls are written as canonical JSON: keys in order, no blanks, text unescaped beyond what JSON asks.
 
-Order: a call comes after the calls that its arguments refer to. Where all references point to
-earlier turns, the turns are such an order already and every level is 0, so no group is ever
-gathered. Only conversations with a reference forward are peeled, level by level; calls on a
-cycle, and those behind one, get a null level.
+Order: a call comes after the calls that its arguments refer to. Conversations with references are
+peeled, level by level; calls on a cycle, and those behind one, get a null level. With backward=False
+conversations whose references all point to earlier turns are not peeled: the turns are such an order
+already, and every level is 0 there.
 
 Defined results: of several calls or results with one identifier the first by turn, then by text, counts
 and `copies` tells how many there were; a result without its call is `orphan`, a call without a
 result `no_result`; arguments that are null or not JSON have the error `not_json`; null
-identifiers never link; an empty table gives no rows.
+identifiers never link: with keep_null each such call is a row `no_result` without level and each
+such result a row `orphan`, else they are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,14 +54,14 @@ def first_by_id(rows: DataFrame, *more: str) -> DataFrame:
     return rows.where("call_id is not null").groupBy("conv_id", "call_id").agg(keep, F.count("*").alias("copies")).select("conv_id", "call_id", "x.*", "copies")
 
 
-def levels(calls: DataFrame, refs: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls whose conversation has a reference that points forward.
+def levels(calls: DataFrame, refs: DataFrame, backward: bool = True) -> DataFrame:
+    """(conv_id, call_id, level) of the calls whose conversation has a reference, or with backward=False one that points forward.
 
     refs has conv_id, call_id, ref. References to calls that do not exist bind nothing.
     """
     at = calls.select("conv_id", F.col("call_id").alias("ref"), F.col("turn").alias("ref_turn"))
     known = refs.join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"]).join(at, ["conv_id", "ref"])
-    bad = known.where("ref_turn >= turn").select("conv_id").distinct()
+    bad = (known if backward else known.where("ref_turn >= turn")).select("conv_id").distinct()
     left = cut(calls.join(bad, "conv_id", "left_semi").select("conv_id", "call_id"))
     edges = cut(known.join(bad, "conv_id", "left_semi").select("conv_id", "call_id", "ref").distinct())
     done = None
@@ -78,10 +79,10 @@ def levels(calls: DataFrame, refs: DataFrame) -> DataFrame:
     return done if done is not None else left.withColumn("level", F.lit(0))
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schema: Schema, refs: tuple[str, ...] = ()) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schema: Schema, refs: tuple[str, ...] = (), keep_null: bool = False, backward: bool = True) -> DataFrame:
     """One row for each identifier of calls (conv_id, call_id, turn, tool, args) and results (conv_id, call_id, turn, content)."""
-    one = cut(first_by_id(calls, "tool", "args"))
-    two = first_by_id(results, "content").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("copies").alias("result_copies"))
+    one = cut(first_by_id(calls, "tool", "args").withColumn("called", F.lit(True)))
+    two = first_by_id(results, "content").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("copies").alias("result_copies"), F.lit(True).alias("answered"))
     links = None
     for path in refs:
         x = one.select("conv_id", "call_id", F.get_json_object("args", f"$.{path}").alias("ref")).where("ref is not null")
@@ -89,14 +90,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schema: Schema, refs: tuple
     out = one.join(two, ["conv_id", "call_id"], "full_outer")
     if links is not None:
         gone = links.join(one.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_anti").select("conv_id", "call_id").distinct()
-        out = out.join(gone.withColumn("lost", F.lit(True)), ["conv_id", "call_id"], "left").join(levels(one, links).withColumn("peeled", F.lit(True)), ["conv_id", "call_id"], "left")
+        out = out.join(gone.withColumn("lost", F.lit(True)), ["conv_id", "call_id"], "left").join(levels(one, links, backward).withColumn("peeled", F.lit(True)), ["conv_id", "call_id"], "left")
         level = F.when(F.col("peeled"), F.col("level")).otherwise(F.lit(0))
-        out = out.withColumn("level", F.when(F.col("turn").isNotNull(), level))
+        out = out.withColumn("level", F.when(F.col("called"), level))
     else:
-        out = out.withColumns({"lost": F.lit(None).cast("boolean"), "level": F.when(F.col("turn").isNotNull(), F.lit(0))})
+        out = out.withColumns({"lost": F.lit(None).cast("boolean"), "level": F.when(F.col("called"), F.lit(0))})
+    if keep_null:
+        bare = calls.where("call_id is null").select("conv_id", "call_id", "turn", "tool", "args").withColumns({"copies": F.lit(1).cast("long"), "called": F.lit(True), "lost": F.lit(False)})
+        for path in refs:
+            there = one.select("conv_id", F.col("call_id").alias("ref"), F.lit(True).alias("there"))
+            bare = bare.withColumn("ref", F.get_json_object("args", f"$.{path}")).join(there, ["conv_id", "ref"], "left")
+            bare = bare.withColumn("lost", F.col("lost") | F.col("ref").isNotNull() & F.col("there").isNull()).drop("ref", "there")
+        late = results.where("call_id is null").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content").withColumns({"result_copies": F.lit(1).cast("long"), "answered": F.lit(True)})
+        out = out.unionByName(bare, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
     errors = argument_errors(F.col("tool"), F.col("args"), schema)
-    errors = F.when(F.col("turn").isNotNull(), F.when(F.col("lost"), F.sort_array(F.concat(errors, F.array(F.lit("unknown_ref"))))).otherwise(errors))
-    status = F.when(F.col("turn").isNull(), "orphan").when(F.col("result_turn").isNull(), "no_result").otherwise("linked")
+    errors = F.when(F.col("called"), F.when(F.col("lost"), F.sort_array(F.concat(errors, F.array(F.lit("unknown_ref"))))).otherwise(errors))
+    status = F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "no_result").otherwise("linked")
     text = canonical(arguments=F.try_parse_json("args"), id=F.col("call_id"), name=F.col("tool"), result=F.col("content"))
     return out.select("conv_id", "call_id", "turn", "result_turn", "level", status.alias("status"), errors.alias("errors"), "copies", "result_copies", text.alias("json"))
 
@@ -104,13 +113,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schema: Schema, refs: tuple
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn is a call of `reply`, the turn that answers it is its result, and each call refers to the user turn before it."""
     chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    ident = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - n).cast("string"))
+    ident = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - n).cast("string"))
     user = chat.where("role = 'user'")
     known = user.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("has")).distinct()
     args = canonical(after=F.when(F.col("has"), ident(2)), prompt=F.col("text"), turn=F.col("turn"))
     calls = user.join(known, ["conv_id", "turn"], "left").select("conv_id", ident(0).alias("call_id"), "turn", F.lit("reply").alias("tool"), args.alias("args"))
     results = chat.where("role = 'assistant'").select("conv_id", ident(1).alias("call_id"), "turn", F.col("text").alias("content"))
-    out = link_calls(calls, results, REPLY, ("after",))
+    # each call refers to an earlier turn; the SQL has level 0 for these
+    out = link_calls(calls, results, REPLY, ("after",), keep_null=True, backward=False)
     return out.select("conv_id", "call_id", "turn", "result_turn", "level", "status", F.concat_ws(",", "errors").alias("errors"), "copies", F.md5("json").alias("json_md5"))
 
 

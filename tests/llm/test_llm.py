@@ -161,6 +161,23 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(calls.where("false"), results.where("false"), toolcalls.REPLY, ("after",)).count() == 0
 
 
+def test_tool_calls_without_ids_or_turns_and_backward_chains(spark, tmp_path):
+    calls = spark.createDataFrame(
+        [(1, "a", 0, "reply", '{"prompt":"x","turn":0}'), (1, "b", 1, "reply", '{"prompt":"x","turn":1,"after":"a"}'), (1, "c", 2, "reply", '{"prompt":"x","turn":2,"after":"b"}'),
+         (2, "t", None, "reply", '{"prompt":"x"}'), (3, None, 4, "reply", '{"prompt":"x","turn":4,"after":"gone"}'), (3, None, 5, "reply", None)],
+        "conv_id long, call_id string, turn long, tool string, args string",
+    )
+    results = spark.createDataFrame([(2, "t", None, "r"), (3, None, 6, "s")], "conv_id long, call_id string, turn long, content string")
+    got = toolcalls.link_calls(calls, results, toolcalls.REPLY, ("after",), keep_null=True).collect()
+    by = {r.call_id: r for r in got if r.call_id}
+    assert [by[k].level for k in "abc"] == [0, 1, 2] and by["t"].status == "linked" and by["t"].errors == ["missing:turn"]
+    bare = sorted((r.status, r.turn or r.result_turn, r.errors, r.level) for r in got if r.call_id is None)
+    assert bare == [("no_result", 4, ["unknown_ref"], None), ("no_result", 5, ["not_json"], None), ("orphan", 6, None, None)] and len(got) == 7
+    chat = spark.createDataFrame([(1, None, "user", "x"), (1, None, "user", "y"), (1, None, "assistant", "z"), (1, 0, "user", "w")], "conv_id long, turn long, role string, text string")
+    chat.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(r.status for r in toolcalls.op4_tool_calls(spark, str(tmp_path)).collect()) == ["no_result"] * 3 + ["orphan"]
+
+
 def test_quality(spark, docs, none):
     junk = spark.createDataFrame([(1000 + i, "ZZ!! QQ$$$ " * 40, "en", "a", 1) for i in range(30)] + [(2000 + i, f"This is text number {i}, and it says a thing or two about the river in the town, where people walk." * 3, "en", "a", 1) for i in range(120)], SCHEMA)
     got = {r.doc_id: r.score for r in quality.score_quality(docs.unionByName(junk)).collect()}
