@@ -198,6 +198,13 @@ def trigram_duplicates(spark, d):
     return rel.duplicates(symbols(spark), 0.5, 4, "name").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def trigram_duplicates_all(spark, d):
+    """All documents of four lines or more; trigram_duplicates is the small form that SQL checks."""
+    out = rel.duplicate_classes(t(spark, d, "documents"), 0.75, 4, "doc_id", "text", cut=cut)
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def cross_corpus_reuse(spark, d):
     """Benchmark passages inside documents: candidates share its second to fifth word, then the text decides."""
@@ -237,6 +244,13 @@ def complexity_regex(spark, d):
     return s.select("name", "complexity", fn.complexity_band("complexity").alias("band"))
 
 
+@query()
+def complexity_regex_all(spark, d):
+    """All documents; complexity_regex is the small form that SQL checks."""
+    s = t(spark, d, "documents").withColumn("complexity", fn.complexity("text"))
+    return s.select("doc_id", "complexity", fn.complexity_band("complexity").alias("band"))
+
+
 SAFE = "regexp_replace(line, '(?i)http://(localhost|127\\.0\\.0\\.1)', '', 'g')"
 
 

@@ -40,6 +40,21 @@ def duplicates(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, k
     return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, key: str = "id", body: str = "body", apart: str | None = None, cut=lambda df: df) -> DataFrame:
+    """(a, b, similarity) as duplicates(), but rows of equal body (and equal `apart`) are one class under its smallest key.
+
+    Pairs are between classes; each further member b of a class a is one row of similarity 1, so copies cost a row each, not a pair each.
+    """
+    g = [F.col(apart).alias("g")] if apart else []
+    rows = bodies.select(F.col(key).alias("k"), F.col(body).alias("body"), *g, fn.normal_body(body).alias("t")).where(F.size(F.split("t", "\n")) >= min_lines)
+    rows = cut(rows.select("k", "body", F.sha2("t", 256).alias("h"), *(["g"] if apart else [])))
+    by = ["h", "g"] if apart else ["h"]
+    classes = cut(rows.groupBy(*by).agg(F.min("k").alias("rep"), F.min_by("body", "k").alias("body")))
+    pairs = duplicates(classes, threshold, min_lines, "rep", "body", "g" if apart else None)
+    member = rows.select("k", *by).join(classes.select("rep", *by), by).where("k <> rep")
+    return pairs.unionByName(member.select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity")))
+
+
 # ----------------------------------------------------------------- differences
 def changes(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "content_hash") -> DataFrame:
     """(key, change): created, modified or deleted."""

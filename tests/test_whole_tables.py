@@ -7,6 +7,7 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 
 from lumenfold import catalog
+from lumenfold.operators import relations as rel
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +38,21 @@ def test_changes_of_all_documents(spark):
             want[f"documents/{r['doc_id']}"] = "modified"
     got = [(r.path, r.change) for r in catalog.QUERIES["change_detection_all"](spark, SF).collect()]
     assert len(got) == len(want) and dict(got) == want and set(want.values()) == {"created", "deleted", "modified"}
+
+
+def test_complexity_of_all_documents(spark):
+    hit = [re.compile(p) for p in catalog.PAT]
+    want = {r["doc_id"]: 1 + sum(bool(p.search(x)) for x in r["text"].split("\n") if x.strip() and not x.strip().startswith(("#", "//")) for p in hit) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    got = {r.doc_id: r.complexity for r in catalog.QUERIES["complexity_regex_all"](spark, SF).collect()}
+    assert got == want and len(set(want.values())) > 5
+
+
+def test_trigram_duplicates_hold_copies_as_one_class(spark):
+    text = [f"line one {i}\nline two of it\nthird line here\nfourth line of body {i}" for i in (1, 2)]
+    rows = [(k, text[0], "x") for k in range(300)] + [(900, text[1], "y"), (901, "a\nb", "y"), (902, "quite other\nwords stand\nin this\nlast text", "y")]
+    df = spark.createDataFrame(rows, "id long, body string, repo string")
+    grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
+    a, b = grams(text[0]), grams(text[1])
+    got = [(r.a, r.b, round(r.similarity, 9)) for r in rel.duplicate_classes(df).collect()]
+    assert sorted(got) == sorted([(0, k, 1.0) for k in range(1, 300)] + [(0, 900, round(len(a & b) / len(a | b), 9))])
+    assert [(r.a, r.b) for r in rel.duplicate_classes(df, apart="repo").where("similarity < 1").collect()] == [(0, 900)]
