@@ -190,9 +190,11 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                     ["h", "pattern", "at", "x"],
                 )
 
-    h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**62 - 1))
-    few = rows.select(h.alias("h"), "text").where(F.col("h") <= below).mapInArrow(sparse, "h long, pattern long, at array<int>, x array<float>").toArrow()
-    few = few.take(pc.sort_indices(few, [("h", "ascending"), ("pattern", "ascending")])).slice(0, 2 * sample)
+    # with a constant, so that rows without id and text have no special place either
+    h = F.xxhash64("doc_id", "text", F.lit(5)).bitwiseAND(F.lit(2**62 - 1))
+    few = rows.select(h.alias("h"), "text").where(F.col("h") <= below).mapInArrow(sparse, "h long, pattern long, at array<int>, x array<float>")
+    few = few.orderBy("h", "pattern").limit(2 * sample).toArrow()
+    few = few.take(pc.sort_indices(few, [("h", "ascending"), ("pattern", "ascending")]))
     x = np.zeros((len(few), BUCKETS), np.float32)
     for i, (at, v) in enumerate(zip(few["at"], few["x"], strict=True)):
         x[i, at.values.to_numpy()] = v.values.to_numpy()

@@ -185,6 +185,15 @@ def test_quality(spark, docs, none):
     assert quality.score_quality(none).count() == 0
 
 
+def test_quality_sample_holds_rows_with_and_without_id(spark, monkeypatch):
+    good = "This is text number {}, and it says a thing or two about the river in the town, where people walk. "
+    rows = [(None, f"ZZ!! QQ$$$ {i} " * 40) for i in range(300)] + [(i, good.format(i) * 3) for i in range(300)]
+    held, fit = [], quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, p: held.append(p) or fit(x, p))
+    assert quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), sample=80).count() == 600
+    assert 40 <= len(held[0]) <= 160 and 0.2 < (held[0] > 0.5).mean() < 0.8
+
+
 def test_line_dedup(spark, docs, none):
     passage = "first line of it\nsecond line of it\nthird line of it\nfourth line\nfifth line of the passage"
     long_line = " ".join(f"tok{i}" for i in range(55))
