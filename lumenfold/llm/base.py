@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
@@ -32,6 +32,8 @@ def work_dir(spark: SparkSession) -> str:
         if held.isDefined():
             found = held.get()
         else:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             found = tempfile.mkdtemp(prefix="lumenfold-")
@@ -61,6 +63,22 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _trimmer():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+_TRIM = _trimmer()
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system, so that what waits for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 # --------------------------------------------------------------------------- hashes
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (the splitmix64 steps)."""
@@ -146,8 +164,11 @@ class Block:
         return LOWER[self.data]
 
 
-def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The texts of a string column in blocks of about `most` bytes; nulls are empty texts."""
+def blocks(column: pa.Array, most: int = BLOCK_BYTES, rows: int = 1 << 14) -> Iterator[Block]:
+    """The texts of a string column in blocks of about `most` bytes and at most `rows` texts; nulls are empty texts.
+
+    A text longer than `most` is a block of its own: memory is in proportion to the longest text, never to the table.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -161,7 +182,7 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
     data = np.frombuffer(d, np.uint8) if d is not None and d.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(offs, offs[i] + most, side="right")) - 1))
         yield Block(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i)
         i = j
 
@@ -220,11 +241,14 @@ class Lookup:
 
 
 # --------------------------------------------------------------------------- components
-def _all_stars(e: DataFrame) -> bool:
-    """Whether each node of the edges (u, v) is either the child of one parent, or only a parent."""
-    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
-    nodes = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down"))
-    return nodes.where("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0] == 0
+HOT = 10_000
+
+
+def _nodes(e: DataFrame) -> DataFrame:
+    """(node, up, down, m) of edges (u, v): how many edges leave and reach each node, and its smallest neighbour."""
+    out, back = F.struct(F.col("u").alias("node"), F.col("v").alias("o"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.col("u").alias("o"), F.lit(0).alias("up"))
+    ends = e.select(F.explode(F.array(out, back)).alias("x")).select("x.*")
+    return cut(ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum(1 - F.col("up")).alias("down"), F.min("o").alias("m")))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -233,17 +257,34 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the two star contractions of large graphs on a cluster until the edges are
     stars; each round is two aggregations and two joins, written to the shared folder. Edges
     point from the larger node to the smaller, so the centre of a star is its smallest node.
+
+    A node that more than one of HOT edge ends meet is hot: there are at most HOT such nodes, so
+    their minima are broadcast, and no task gets all edges of one centre.
     """
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while not _all_stars(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+    while True:
+        nodes = _nodes(e)
+        # stars: each node is either the child of one parent, or only a parent
+        state = nodes.agg(F.count_if(F.expr("up > 1 or up = 1 and down > 0")).alias("bad"), F.sum(F.col("up") + F.col("down")).alias("ends"), F.max(F.col("up") + F.col("down")).alias("most")).first()
+        if not state.bad:
+            break
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("v > u")
+        low = nodes.select(F.col("node").alias("u"), F.least("node", "m").alias("m"), (F.col("up") + F.col("down")).alias("deg"))
+        much = max(1000, state.ends // HOT)
+        if state.most > much:
+            hot = F.broadcast(low.where(F.col("deg") > much).select("u", F.col("m").alias("hm")))
+            marked = both.join(hot, "u", "left")
+            large = marked.where("hm is null").drop("hm").join(low.where(F.col("deg") <= much), "u").select("u", "v", "m").unionByName(marked.where("hm is not null").select("u", "v", F.col("hm").alias("m")))
+        else:
+            large = both.join(low, "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         new = cut(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct())
         drop_cut(e)
+        drop_cut(nodes)
         e = new
-    pairs = e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    pairs = nodes.select("node", F.when(F.col("up") > 0, F.col("m")).otherwise(F.col("node")).alias("comp"))
+    pairs._cut_path = nodes._cut_path
+    drop_cut(e)
+    return pairs

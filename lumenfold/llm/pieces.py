@@ -7,13 +7,19 @@ each unit from its end, the last piece given the forward sums; its random number
 row key, the seed and the place in the text only, so a row is cut alike in any run or partition.
 Characters without a piece of their own become byte pieces, so decoding gives back every text.
 
+A worker holds the lattices of the units it met in a store of fixed size (STORE_NODES and
+STORE_EDGES, about 40 MB), and texts are taken in blocks of BLOCK bytes or one longer text; beyond
+LONG characters without a blank a unit is summed and sampled one character at a time in plain
+Python, so that its cost stays in proportion to its length.
+
 Defined results: a null text has null pieces and decodes to null; an empty text has none and
 decodes to itself; a null key counts as the empty key; rows with equal key and text are cut
-alike; further columns pass through.
+alike; further columns pass through, but columns named like the added ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import Block, Hasher, Lookup, U64, blocks, mix64, table
+from .base import Block, Hasher, Lookup, U64, blocks, mix64, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1 / 4096
 SEED = 17
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+LONG = 256
+STORE_NODES, STORE_EDGES = 1_250_000, 4_000_000
 MARK = 0x2581
 _OWN_MARK = 0x110000  # the mark as a character of the text itself
 _ROOT, _STEP = U64(0x51ED270B35AE2D4B), U64(0x9E3779B97F4A7C15)
@@ -156,9 +164,11 @@ def _lattice(v: Pieces, cp: np.ndarray, st: np.ndarray, alpha: float):
     total = np.zeros(nodes)
     order = np.argsort(-long_, kind="stable")
     zero = (st[:-1] + np.arange(units))[order]
-    alive = np.searchsorted(-long_[order], -np.arange(1, int(long_.max(initial=0)) + 1), side="right")
+    brief = long_[long_ <= LONG]
+    alive = np.searchsorted(-long_[order], -np.arange(1, int(brief.max(initial=0)) + 1), side="right")
+    far = int((long_ > LONG).sum())
     for t, m in enumerate(alive.tolist(), 1):
-        node = zero[:m] + t
+        node = zero[far:m] + t
         slot = edge[node]
         got = total[node - size[slot]] + w[slot]
         deg = degree[node]
@@ -171,6 +181,9 @@ def _lattice(v: Pieces, cp: np.ndarray, st: np.ndarray, alpha: float):
         total[node] = got
     into = np.repeat(np.arange(nodes, dtype=np.int32), degree)
     upto = np.exp(total[into - size] + w - total[into])
+    del into
+    for i in range(far):
+        _sum_long(upto, edge, degree, size, w, int(zero[i]), int(long_[order[i]]), len(ends))
     k, on = 1, np.flatnonzero(degree > 1)
     while len(on):
         at = edge[on] + k
@@ -183,15 +196,36 @@ def _lattice(v: Pieces, cp: np.ndarray, st: np.ndarray, alpha: float):
     return edge, (share << U64(32)) | (pid.astype(U64) << U64(8)) | size.astype(U64)
 
 
-class _Store:
-    """Lattices of units met before by this worker; it starts anew beyond MOST nodes."""
+def _sum_long(upto: np.ndarray, edge: np.ndarray, degree: np.ndarray, size: np.ndarray, w: np.ndarray, zero: int, length: int, reach: int) -> None:
+    """The shares of the edges of one long unit; log sums are kept for as far back as a piece reaches."""
+    held = [0.0]
+    for t in range(1, length + 1, LONG * 64):
+        end = min(length + 1, t + LONG * 64)
+        first, last = int(edge[zero + t]), int(edge[zero + end - 1] + degree[zero + end - 1])
+        back, weight = size[first:last].tolist(), w[first:last].tolist()
+        out, e = [], 0
+        for d in degree[zero + t : zero + end].tolist():
+            ways = [held[-back[k]] + weight[k] for k in range(e, e + d)]
+            most = max(ways)
+            ways = [math.exp(x - most) for x in ways]
+            whole = sum(ways)
+            out += [x / whole for x in ways]
+            e += d
+            held.append(most + math.log(whole))
+        upto[first:last] = out
+        held = held[-reach:]
 
-    MOST = 2_500_000
+
+class _Store:
+    """Lattices of units met before by this worker, in arrays of fixed size; where a block's do not fit it starts anew."""
 
     def __init__(self):
+        self.edge, self.pack = np.empty(STORE_NODES, np.int32), np.empty(STORE_EDGES, U64)
+        self.clear()
+
+    def clear(self) -> None:
         self.keys, self.node = np.zeros(0, U64), np.zeros(0, np.int64)
-        self.edge, self.nodes = np.zeros(1 << 16, np.int32), 0
-        self.pack, self.edges = np.zeros(1 << 18, U64), 0
+        self.nodes = self.edges = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """First node of each unit, -1 where it is new."""
@@ -200,27 +234,49 @@ class _Store:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.node[at], -1)
 
-    def add(self, keys: np.ndarray, st: np.ndarray, lattice: tuple) -> np.ndarray:
+    def add(self, keys: np.ndarray, st: np.ndarray, lattice: tuple) -> np.ndarray | None:
+        """First node of each new unit; None where there is no room."""
         edge, pack = lattice
+        if self.nodes + len(edge) > len(self.edge) or self.edges + len(pack) > len(self.pack):
+            return None
         node = self.nodes + st[:-1] + np.arange(len(keys))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.node = np.insert(self.keys, at, keys), np.insert(self.node, at, node)
-        self.edge = self._put(self.edge, self.nodes, edge + np.int32(self.edges))
-        self.pack = self._put(self.pack, self.edges, pack)
+        np.add(edge, np.int32(self.edges), out=self.edge[self.nodes : self.nodes + len(edge)])
+        self.pack[self.edges : self.edges + len(pack)] = pack
         self.nodes, self.edges = self.nodes + len(edge), self.edges + len(pack)
         return node
 
-    @staticmethod
-    def _put(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
-        if n + len(more) > len(held):
-            held = np.concatenate([held[:n], np.zeros(max(n, len(more)), held.dtype)])
-        held[n : n + len(more)] = more
-        return held
-
 
 _STORES: dict[tuple, _Store] = {}
 
 
+def _sample_one(edge: np.ndarray, pack: np.ndarray, found: np.ndarray, t: int, node: int, start: int, base: int, salt: np.uint64) -> None:
+    """Backward sampling of what is left of one unit, by the same random numbers as the bulk form."""
+    while t:
+        n = min(t, 4096)
+        rnd = mix64(salt ^ mix64(np.arange(base + t - n + 1, base + t + 1, dtype=U64))) | U64(0xFFFFFFFF)
+        rnd = np.minimum(rnd, U64((1 << 64) - (1 << 32) - 1)).tolist()
+        lo = t - n
+        first = edge[node - n + 1 : node + 1].tolist()
+        stop = int(edge[node])
+        while pack[stop] >> U64(32) != U64(0xFFFFFFFF):
+            stop += 1
+        begin = first[0]
+        here = pack[begin : stop + 1].tolist()
+        at, ids = [], []
+        while t > lo:
+            u, e = rnd[t - lo - 1], first[t - lo - 1] - begin
+            while here[e] <= u:
+                e += 1
+            size = here[e] & 255
+            t -= size
+            node -= size
+            at.append(start + t)
+            ids.append((here[e] >> 8) & 0xFFFFFF)
+        found[at] = ids
+
+
 def _fallback_bytes(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of characters, and how many each has."""
     cp = np.where(cp == _OWN_MARK, MARK, cp).astype(np.int64)
@@ -261,38 +317,55 @@ def encode_block(v: Pieces, block: Block, row_key: np.ndarray, alpha: float = AL
     if len(us):
         key = Hasher(mix64(cp.astype(U64) + U64(0x5555))).spans(us, ue)
         some, one, which = np.unique(key, return_index=True, return_inverse=True)
-        name = (v.path, alpha)
-        store = _STORES.setdefault(name, _Store())
-        if store.nodes > store.MOST:
-            store = _STORES[name] = _Store()
-        node0 = store.find(some)
-        fresh = np.flatnonzero(node0 < 0)
-        if len(fresh):
+        store = _STORES.get((v.path, alpha))
+        if store is None:
+            store = _STORES[v.path, alpha] = _Store()
+
+        def grow(fresh: np.ndarray) -> tuple[np.ndarray, tuple]:
             at_, size = us[one[fresh]], (ue - us)[one[fresh]]
             cst = np.zeros(len(fresh) + 1, np.int64)
             np.cumsum(size, out=cst[1:])
             units = cp[np.repeat(at_ - cst[:-1], size) + np.arange(cst[-1])]
-            node0[fresh] = store.add(some[fresh], cst, _lattice(v, units, cst, alpha))
+            return cst, _lattice(v, units, cst, alpha)
+
+        node0 = store.find(some)
+        edge_of, pack_of = store.edge, store.pack
+        fresh = np.flatnonzero(node0 < 0)
+        if len(fresh):
+            cst, lattice = grow(fresh)
+            got = store.add(some[fresh], cst, lattice)
+            if got is None:
+                store.clear()
+                if len(fresh) < len(some):
+                    fresh = np.arange(len(some))
+                    cst, lattice = grow(fresh)
+                got = store.add(some, cst, lattice)
+                if got is None:  # a block beyond the store, one long text
+                    got = cst[:-1] + np.arange(len(fresh))
+                    edge_of, pack_of = lattice
+            node0[fresh] = got
         t = ue - us
         node = node0[which] + t
         salt = mix64(row_key + U64(seed))[doc]
         base = us - st[doc]
         start = us
-        while len(t):
+        while len(t) > 4:
             u = mix64(salt ^ mix64((base + t).astype(U64))) | U64(0xFFFFFFFF)
             np.minimum(u, U64((1 << 64) - (1 << 32) - 1), out=u)  # always below a node's last edge
-            e = store.edge[node]
-            got = store.pack[e]
+            e = edge_of[node]
+            got = pack_of[e]
             more = np.flatnonzero(got <= u)
             while len(more):
                 e[more] += 1
-                got[more] = store.pack[e[more]]
+                got[more] = pack_of[e[more]]
                 more = more[got[more] <= u[more]]
             size = (got & U64(255)).astype(np.int64)
             t = t - size
             found[start + t] = ((got >> U64(8)) & U64(0xFFFFFF)).astype(np.int32)
             on = t > 0
             t, node, start, base, salt = t[on], (node - size)[on], start[on], base[on], salt[on]
+        for k in range(len(t)):
+            _sample_one(edge_of, pack_of, found, int(t[k]), int(node[k]), int(start[k]), int(base[k]), salt[k])
     count = (found >= 0).astype(np.int64)
     lone = np.flatnonzero(bare)
     raw, width = _fallback_bytes(cp[lone])
@@ -325,11 +398,12 @@ def row_keys(column: pa.Array) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """docs with pieces array<int>, one sampled segmentation of each text."""
-    docs = docs.drop("pieces")
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, alpha: float = ALPHA, seed: int = SEED, back: bool = False) -> DataFrame:
+    """docs with pieces array<int>, one sampled segmentation of each text; with back, and decoded, the text of these pieces, in the same pass."""
+    more = [T.StructField("pieces", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if back else [])]
+    docs = docs.drop(*[f.name for f in more])
     held = docs.sparkSession.sparkContext.broadcast(load(path))
-    schema = T.StructType([*docs.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,11 +413,18 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
                 ids, st = encode_block(held.value, block, keys[block.first : block.first + block.n], alpha, seed)
                 gone = part.column(text).is_null()
                 pieces = pa.ListArray.from_arrays(pa.array(st.astype(np.int32)), pa.array(ids), mask=gone)
-                yield pa.RecordBatch.from_arrays([*part.columns, pieces], [*part.schema.names, "pieces"])
+                texts = [_texts(held.value, ids, st, gone)] if back else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces, *texts], [*part.schema.names, *[f.name for f in more]])
+                tidy()
 
     return docs.mapInArrow(run, schema)
 
 
+def _texts(v: Pieces, ids: np.ndarray, st: np.ndarray, gone: pa.Array) -> pa.Array:
+    """The decoded texts as a string column, null where gone."""
+    return pa.array([None if no else t for t, no in zip(decode_ids(v, ids, st), gone.to_pylist(), strict=True)], pa.binary()).cast(pa.string())
+
+
 def decode(docs: DataFrame, pieces: str = "pieces", path: str = MODEL) -> DataFrame:
     """docs with decoded, the text of each row's pieces."""
     docs = docs.drop("decoded")
@@ -352,16 +433,22 @@ def decode(docs: DataFrame, pieces: str = "pieces", path: str = MODEL) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            col = batch.column(pieces)
-            st = np.zeros(len(col) + 1, np.int64)
-            np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), out=st[1:])
-            texts = decode_ids(held.value, col.flatten().to_numpy(zero_copy_only=False), st)
-            out = pa.array([t if ok else None for t, ok in zip(texts, col.is_valid().to_pylist(), strict=True)], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
+            size = batch.column(pieces).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(size)
+            i = 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i] - size[i]) + BLOCK, side="right")))
+                part = batch.slice(i, j - i)
+                col = part.column(pieces)
+                st = np.zeros(j - i + 1, np.int64)
+                np.cumsum(size[i:j], out=st[1:])
+                out = _texts(held.value, col.flatten().to_numpy(zero_copy_only=False), st, col.is_null())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
+                i = j
 
     return docs.mapInArrow(run, schema)
 
 
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), back=True)
     return docs.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
