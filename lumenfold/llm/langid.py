@@ -4,6 +4,8 @@ A profile is the list of a language's most frequent byte n-grams (one to three b
 with anything that is not part of a word as one blank). A text gets the language whose profile
 has the least out-of-place distance to the text's own list.
 
+A text is held whole, at about 40 bytes a byte; texts of many megabytes count in full.
+
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the
 language that sorts first; rows with null language train nothing; with no training row at all
 every text is `und`; repeated rows are predicted alike; further columns pass through.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .base import LOWER, Block, blocks, table
+from .base import LOWER, Block, blocks, table, tidy
 
 PROFILE = 400
 GRAMS = 3
@@ -43,6 +45,7 @@ def _symbols(block: Block) -> tuple[np.ndarray, np.ndarray]:
     d = np.where(wide, d + np.uint8(32), d)
     keep = np.ones(len(d), bool)
     keep[1:] = (d[1:] != 32) | (d[:-1] != 32)
+    keep[block.offs[:-1][block.offs[:-1] < block.offs[1:]]] = True  # a text's first byte, whatever the text before it ended in
     at = np.zeros(len(d) + 1, np.int64)
     np.cumsum(keep, out=at[1:])
     return d[keep], at[block.offs]
@@ -98,6 +101,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > 1_000_000:
                 yield from flush()
                 size = 0
+        tidy()
     yield from flush()
 
 
@@ -167,6 +171,7 @@ def predict(docs: DataFrame, model: Profiles, text: str = "text", profile: int =
                     best = int(far.argmin())
                     langs.append(m.langs[best])
                     scores.append(float(min(1.0, max(0.0, 1.0 - far[best]))))
+            tidy()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
