@@ -5,7 +5,7 @@ and its maximum, so a signature of 2 * PERMS values costs PERMS evaluations. Val
 by fours; texts that share a band are candidates, and links are confirmed on the full shingle
 sets. At a similarity of exactly 0.8 a pair shares no band with probability 3e-6.
 
-Equal sets are one class from the start. Within a band, members are first compared with its hub,
+Equal sets, by a BLAKE2b digest of the whole sorted set, are one class from the start. Within a band, members are first compared with its hub,
 the member of the smallest doc_id, so a large group of copies costs at most one comparison a
 member and band. Then candidate pairs that are still in different components are compared: pair by pair in
 bands of at most SMALL members, and side by side, SIDE texts against SIDE texts in one task, in
@@ -13,11 +13,13 @@ groups of texts that larger bands connect. Components therefore are those of all
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are
 kept as their own component; a text of fewer words than a shingle is one shingle; a null doc_id
-links with nothing, has a null component and is kept; rows that repeat a doc_id are one node.
+links with nothing, has a null component and is kept; rows that repeat a doc_id are one node; an
+empty table gives no rows. A text is held whole, at about 60 bytes a byte, however long it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import _BYTE, Block, Hasher, U64, blocks, connected_components, cut, drop_cut, mix64, reduce_groups, starts_of, stream64, table
+from .base import _BYTE, Block, Hasher, U64, blocks, connected_components, cut, drop_cut, mix64, reduce_groups, starts_of, stream64, table, tidy
 
 PERMS = 48
 BAND = 4
@@ -46,7 +48,8 @@ def shingle_sets(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(st)
     roll = np.zeros(len(h), U64)
     for k in range(words):
-        roll[: len(h) - k] = mix64(roll[: len(h) - k] * U64(0x9E3779B97F4A7C15) + h[k:])
+        m = max(0, len(h) - k)
+        roll[:m] = mix64(roll[:m] * U64(0x9E3779B97F4A7C15) + h[len(h) - m :])
         if k + 1 < words:
             short = np.flatnonzero(count == k + 1)
             held = roll[st[short]].copy() if len(short) else None
@@ -67,12 +70,13 @@ def shingle_sets(block: Block, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(block: Block, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Set size, two set hashes and the band keys of each text."""
+    """Set size, a 128-bit cryptographic digest of the whole set and the band keys of each text."""
     x, st = shingle_sets(block, words)
     n = np.diff(st)
     zero = U64(0)
-    h1 = reduce_groups(np.add, mix64(x ^ U64(0x1234567)), st, zero)
-    h2 = reduce_groups(np.add, mix64(x * U64(0xC2B2AE3D27D4EB4F)), st, zero)
+    raw = memoryview(x.tobytes())
+    at = (8 * st).tolist()
+    digest = np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(at, at[1:], strict=False)]), np.int64).reshape(-1, 2)
     values = np.empty((2 * PERMS, block.n), U64)
     for p in range(PERMS):
         v = x * _MUL[p] + _ADD[p]
@@ -84,7 +88,7 @@ def signatures(block: Block, words: int) -> tuple[np.ndarray, np.ndarray, np.nda
         for v in values[b * BAND : (b + 1) * BAND]:
             key = mix64(key * U64(0x9E3779B97F4A7C15) + v)
         bands[:, b] = key
-    return n, mix64(h1 + n.astype(U64)).view(np.int64), h2.view(np.int64), bands.view(np.int64)
+    return n, digest[:, 0].copy(), digest[:, 1].copy(), bands.view(np.int64)
 
 
 def _sign(words: int):
@@ -95,6 +99,7 @@ def _sign(words: int):
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(block.n + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
                 ids = batch.column("doc_id").slice(block.first, block.n)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(h1), pa.array(h2), flat], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+            tidy()
 
     return run
 
@@ -117,6 +122,7 @@ def _confirm(words: int, percent: int):
                         both = len(np.intersect1d(p, q, assume_unique=True))
                         keep[row + i] = both > 0 and 100 * both >= percent * (len(p) + len(q) - both)
                 row += left.n
+            tidy()
             found = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(found), batch.column("b").filter(found)], ["a", "b"])
 
@@ -189,10 +195,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_confirm(words, percent), "a long, b long")
 
     edges = cut(confirm(star))
-    comps = cut(connected_components(edges))
+    first = connected_components(edges)
 
     # bands that still hold several components: the pairs across them of small bands, block by block for large ones
-    placed = shared.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
+    placed = shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", F.coalesce("comp", "doc_id").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("lo < hi")
     mixed = cut(mixed.select("band", "hub", (F.col("c") > SMALL).alias("large")))
     left = placed.join(mixed.where("not large").select("band"), "band", "left_semi")
@@ -201,7 +207,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     more = cut(confirm(pairs.join(star, ["a", "b"], "left_anti")))
     meet = placed.join(mixed.where("large").select("band", "hub"), "band").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    group = cut(connected_components(meet))
+    group = connected_components(meet)
     size = group.groupBy("comp").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     dealt = group.join(size, "comp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     dealt = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
@@ -213,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(members, ["h1", "h2"], "left")
     own = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), own).otherwise(F.col("doc_id")).alias("component_id"))
-    for old in (shared, star, texts, edges, more, mixed, group):
+    for old in (shared, star, texts, edges, more, mixed, group, first):
         drop_cut(old)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
