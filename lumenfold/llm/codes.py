@@ -18,15 +18,19 @@ ITERATIONS = 20
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v): rows that have a direction. Null, zero, non-finite or oddly sized vectors and null ids are left out.
+    """(vec_id, v, d): rows that have a direction, one a vec_id (the least vector), and their size.
 
-    The size of a vector is the most frequent one of the table; of equally frequent ones the larger.
+    Null, zero and non-finite vectors, those with a null component, and null ids are left out.
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where("vec_id is not null and v is not null").where(~bad).where(F.exists("v", lambda x: x != 0))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (dims.d if dims else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+
+
+def sizes(rows: DataFrame) -> list[tuple[int, int]]:
+    """(size, rows) of the vectors; vectors of different sizes have no cosine, so each size is a table of its own."""
+    return [(r.d, r.n) for r in rows.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect()]
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -9,9 +9,14 @@ Copies are not expanded into pairs. Vectors within half the threshold angle of a
 ball: any two of its members are within the threshold by the triangle inequality. Two balls are
 wholly linked, wholly apart, or, where their radii leave it open, compared member by member.
 
-Defined results: vectors that are null, zero, of another size than most, or that hold null or
-non-finite components link with nothing and are kept; of rows with one vec_id the least vector
-counts; a null vec_id has a null component and is kept; an empty table gives no rows.
+Bits are signs of rotated vectors about the origin, not about the table's mean: that alone bounds
+the chance of a miss for every pair by its angle. On vectors that all lie to one side of the origin
+bits are less balanced and buckets fuller, at more work and with the same result.
+
+Defined results: vectors that are null, zero, or that hold null or non-finite components link with
+nothing and are kept; vectors of different sizes do not link; of rows with one vec_id the least
+vector counts; a null vec_id has a null component and is kept; an empty table gives no rows;
+further columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import connected_components, cut, drop_cut, table
-from .codes import learn, matrix, usable, with_codes
+from .codes import learn, matrix, sizes, usable, with_codes
 
 MISS = 1e-5
 EDGE = 1e-6
@@ -59,9 +64,21 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors."""
-    rows = cut(usable(vectors, key, vector).groupBy("vec_id").agg(F.min("v").alias("v")))
-    angle = math.acos(cosine)
-    sub, tables = _shape(rows.count(), angle)
+    rows = cut(usable(vectors, key, vector))
+    found = None
+    for d, n in sizes(rows):
+        one = _linked(rows.where(F.col("d") == d), n, math.acos(cosine), cosine)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = vectors.select(F.col(key).cast("long").alias("vec_id")).join(found, "vec_id", "left")
+    component = F.coalesce("component_id", "vec_id")
+    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(rows: DataFrame, n: int, angle: float, cosine: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of vectors of one size."""
+    sub, tables = _shape(n, angle)
     coded = cut(with_codes(rows, learn(rows, max(256, sub * tables)), sub))
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -102,16 +119,14 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_
     of_one = single.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("own"))
     to_ball = lambda c: ids.select(F.col("vec_id").alias(c), F.col("ball").alias(f"ball_{c}"))
     joined = single.join(to_ball("a"), "a").join(to_ball("b"), "b").select(F.col("ball_a").alias("a"), F.col("ball_b").alias("b"))
-    comps = cut(connected_components(whole.select("a", "b").unionByName(joined)))
+    comps = connected_components(whole.select("a", "b").unionByName(joined))
 
     found = ids.join(balls.select("ball", "size"), "ball").join(of_ball, "ball", "left").join(of_one, "vec_id", "left").join(comps.withColumnRenamed("node", "ball"), "ball", "left")
     links = F.col("size") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("own", F.lit(0))
     found = cut(found.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("comp", "ball").alias("component_id")))
-    every = vectors.select(F.col(key).cast("long").alias("vec_id")).join(found, "vec_id", "left")
-    for old in (rows, coded, inner, member, balls, pairs, single, comps):
+    for old in (coded, inner, member, balls, pairs, single, comps):
         drop_cut(old)
-    component = F.coalesce("component_id", "vec_id")
-    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    return found
 
 
 def op9_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
