@@ -7,8 +7,12 @@ one looked into further, eight bits at a time. Thresholds for growing budgets ar
 larger mix contains the smaller one.
 
 Defined results: null text or no word has size 0; a null source is a source of its own, last in
-order; rows with one key are taken or left together; an empty table gives no rows; further
-columns stay out of the result of the query and pass through `apply_mix` unchanged.
+order; rows with one key are taken or left together, and so are keys of one 32-bit hash; an empty
+table gives no rows; further columns stay out of the result of the query and pass through `apply_mix`
+unchanged, whatever their names, but columns named like the added ones are replaced.
+
+What reaches the driver is one row a source. It must be in the thousands at most, as weights by
+order of source already suppose; hosts or authors are no sources.
 """
 
 from __future__ import annotations
@@ -97,10 +101,11 @@ def apply_mix(docs: DataFrame, text: str = "text", source: str = "source", key:
     sized = cut(docs.select(source_key(F.col(source)).alias("sk"), word_count(F.col(text)).alias("size"), key_hash(F.col(key)).alias("h")))
     plan = plan_mix(sized, weights, share, cap)
     drop_cut(sized)
-    full = docs.withColumns({"_sk": source_key(F.col(source)), "_size": word_count(F.col(text)), "_h": key_hash(F.col(key))})
-    plan = plan.select(F.col("sk").alias("_sk"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "base", "below")
-    out = full.join(plan, "_sk").withColumn("_copies", F.col("base") + (F.col("_h") < F.col("below")).cast("int"))
-    return out.drop("_sk", "_h", "base", "below")
+    # the row as one struct, so that no name of the table can clash with one of the plan
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_size", "_source_size", "_target", "_copies")]
+    full = docs.select(F.struct(*own).alias("row"), source_key(F.col(source)).alias("sk"), word_count(F.col(text)).alias("size"), key_hash(F.col(key)).alias("h"))
+    copies = F.col("base") + (F.col("h") < F.col("below")).cast("int")
+    return full.join(plan, "sk").select("row.*", F.col("size").alias("_size"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), copies.alias("_copies"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
