@@ -21,12 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import _BYTE, Block, Hasher, U64, blocks, table
+from .base import _BYTE, Block, Hasher, U64, blocks, table, tidy
 
 SAMPLE = 4096
 BUCKETS = 4096
 ROUNDS = 100
 STEPS = 300
+ROWS = 512
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -182,7 +183,7 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text"), 1 << 18):
+            for block in blocks(batch.column("text"), 1 << 18, ROWS):
                 x = features(block)
                 at = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays(
@@ -204,7 +205,7 @@ def score_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         post, w = held.value
         for batch in batches:
-            for block in blocks(batch.column("text")):
+            for block in blocks(batch.column("text"), rows=ROWS):
                 p = patterns(block)
                 s = 1 / (1 + np.exp(-(features(block) @ w[:-1].astype(np.float32) + w[-1])))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, block.n), pa.array(p), pa.array(post[p]), pa.array(s.astype(np.float64))], ["doc_id", "pattern", "posterior", "score"])
