@@ -11,9 +11,14 @@ PART_NODES nodes: a part is broadcast (about 16 bytes a node), and where there a
 its share in a pass of its own, so no worker holds more than one part. Word counts for the
 unigram base are broadcast for the TOP_WORDS most frequent words; the rest is a join.
 
-Words and grams are told apart by 64-bit keys. Defined results: null and empty texts are the end
+Where there are several parts the texts are written once with a row number, so that shares of one
+row meet whatever order a repeated task reads in. bits_per_byte is the code length of a text over
+the bytes scored.
+
+Words and grams are told apart by 64-bit keys. A text is held whole, at about 100 bytes a byte. Defined results: null and empty texts are the end
 mark alone; without a training row every decision has probability 1/2; a null doc_id trains and
-is not held out; repeated rows are scored alike; an empty table gives no rows.
+is not held out; repeated rows are scored alike; an empty table gives no rows; further columns stay
+out of the result.
 """
 
 from __future__ import annotations
@@ -24,11 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import _BYTE, LOWER, U64, WORD, Block, Hasher, Lookup, blocks, cut, drop_cut, mix64, table
+from .base import _BYTE, LOWER, U64, WORD, Block, Hasher, Lookup, blocks, cut, drop_cut, mix64, table, tidy
 from .langid import remainder
 
 DEPTH = 5
@@ -98,6 +102,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size[kind] = len(held[kind][0][0])
                     if size[kind] > 1_000_000:
                         yield from flush(kind)
+        tidy()
     yield from flush(0)
     yield from flush(1)
 
@@ -269,11 +274,11 @@ def log_bytes(code: np.ndarray, part: Part) -> np.ndarray:
     return out
 
 
-SCORED = "rid long, doc_id long, n_tokens long, known long, base double, part double, tail array<long>, tail_n array<int>"
+SCORED = "rid long, doc_id long, n_tokens long, n_bytes long, known long, base double, part double, tail array<long>, tail_n array<int>"
 
 
 def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for each row of docs."""
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = train.select(F.col(text).alias("text"))
@@ -291,6 +296,9 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     parts = max(1, -(-nodes.count() // PART_NODES))
     nodes_at, grams_at = _route_col("key", parts, nodes, 8), _route_col("key", parts, grams, 8)
 
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if parts > 1:
+        source = cut(source)
     scored = []
     for p in range(parts):
         pick = (lambda t: t) if parts == 1 else (lambda t: t.where(F.col("part") == p))  # noqa: B023
@@ -298,10 +306,10 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
         top_words = sc.broadcast((Lookup(word_key), word_n)) if p == 0 else None
 
         def run(batches: Iterator[pa.RecordBatch], model=model, top_words=top_words, p=p) -> Iterator[pa.RecordBatch]:
-            rid = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
             for batch in batches:
                 for block in blocks(batch.column("text")):
                     code, of, (s, e, doc) = stream(block)
+                    size = np.bincount(of, minlength=block.n)
                     if parts > 1:
                         own = _route(code, parts) == U64(p)
                         code, of = code[own], of[own]
@@ -327,15 +335,14 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
                         first = np.flatnonzero(new)
                         tail_k, tail_n = k[first].view(np.int64), np.diff(np.append(first, len(k))).astype(np.int32)
                         tail_st = np.searchsorted(w[first], np.arange(block.n + 1)).astype(np.int32)
-                    ids = batch.column("doc_id").slice(block.first, block.n)
+                    rid, ids = (batch.column(c).slice(block.first, block.n) for c in ("rid", "doc_id"))
                     st = pa.array(tail_st)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(rid, rid + block.n)), ids, pa.array(n), pa.array(known.astype(np.int64)), pa.array(base), pa.array(share), pa.ListArray.from_arrays(st, pa.array(tail_k)), pa.ListArray.from_arrays(st, pa.array(tail_n))],
-                        ["rid", "doc_id", "n_tokens", "known", "base", "part", "tail", "tail_n"],
+                        [rid, ids, pa.array(n), pa.array(size), pa.array(known.astype(np.int64)), pa.array(base), pa.array(share), pa.ListArray.from_arrays(st, pa.array(tail_k)), pa.ListArray.from_arrays(st, pa.array(tail_n))],
+                        ["rid", "doc_id", "n_tokens", "n_bytes", "known", "base", "part", "tail", "tail_n"],
                     )
-                    rid += block.n
+                tidy()
 
-        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         scored.append(cut(source.mapInArrow(run, SCORED)))
         model.destroy()
         del model, run
@@ -363,6 +370,7 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
         F.col("part").alias("score"),
+        (-F.col("part") * F.log2(F.lit(10.0)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 
@@ -370,4 +378,4 @@ def op8_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
     out = score_texts(docs.where(~held_out), docs)
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
