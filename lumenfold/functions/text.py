@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Token pattern, decision patterns (one hit a pattern and line), danger patterns.
+# Token pattern, decision patterns (one hit a pattern and line), danger patterns, languages by extension (of files and,
+# in GRAMMARS, of grammars), model names, the weights of rerank_score and snippet_score.
 TOKEN = r"[a-z]+|[A-Z][a-z]*|[0-9]+"
 DECISIONS = (
     r"\bif\b", r"\belif\b", r"\belse\s+if\b", r"\bfor\b", r"\bwhile\b", r"\bcatch\b", r"\bexcept\b", r"\bcase\b",
@@ -27,6 +28,17 @@ LANGUAGES = {
     ".ex": "elixir", ".exs": "elixir",
 }
 
+GRAMMARS = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust",
+    ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".h": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php",
+}
+MODELS = {
+    "minilm": "all-MiniLM-L6-v2", "bge-small": "BAAI/bge-small-en-v1.5", "nomic": "nomic-ai/nomic-embed-text-v1.5",
+    "jina-code": "jinaai/jina-embeddings-v2-base-code", "mxbai-xsmall": "mixedbread-ai/mxbai-embed-xsmall-v1",
+}
+PROFILES = ((1.5, "precise"), (0.5, "balanced"), (0.0, "fast"))
+RERANK = {"score": 0.6, "overlap": 0.25, "exact": 0.15, "brief": 0.05}
+
 
 def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -41,12 +53,22 @@ def lower_tokens(text) -> Column:
     return F.transform(tokens(text), lambda x: F.lower(x))
 
 
+BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+BLANKS = " \t\n\r\x0b\x0c"
+
+
 def lines(text) -> Column:
-    return F.split(F.regexp_replace(c(text), "\n$", ""), "\n")
+    """Lines by any line break; one at the very end opens no further line, and an empty text has none."""
+    t = c(text)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(t, rf"(?:{BREAK})\z", ""), BREAK))
+
+
+def stripped(x) -> Column:
+    return F.btrim(c(x), F.lit(BLANKS))
 
 
 def line_kind(line) -> Column:
-    s = F.trim(c(line))
+    s = stripped(line)
     return F.when(s == "", "blank").when(s.rlike(r"^(#|//|/\*|\*)"), "comment").otherwise("code")
 
 
@@ -55,13 +77,13 @@ def line_range(text, start: int, end: int) -> Column:
 
 
 def last_lines(text, n: int) -> Column:
-    full = F.filter(F.split(c(text), "\n"), lambda x: F.trim(x) != "")
+    full = F.filter(lines(text), lambda x: stripped(x) != "")
     return F.array_join(F.when(F.size(full) > n, F.slice(full, -n, n)).otherwise(full), "\n")
 
 
 # bodies and similarity
 def normal_body(body) -> Column:
-    kept = F.filter(F.transform(F.split(c(body), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
+    kept = F.filter(F.transform(lines(body), lambda x: stripped(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("//"))
     return F.array_join(kept, "\n")
 
 
@@ -81,11 +103,11 @@ def jaccard(a, b) -> Column:
 # measures
 def complexity(body) -> Column:
     def of(line):
-        s = F.trim(line)
+        s = stripped(line)
         hits = reduce(lambda x, p: x + line.rlike(p).cast("int"), DECISIONS, F.lit(0))
         return F.when((s == "") | s.startswith("#") | s.startswith("//"), 0).otherwise(hits)
 
-    return F.aggregate(F.split(c(body), "\n"), F.lit(1), lambda acc, line: acc + of(line))
+    return F.aggregate(lines(body), F.lit(1), lambda acc, line: acc + of(line))
 
 
 def complexity_band(score) -> Column:
@@ -122,9 +144,10 @@ def keyword_overlap(text, query: str) -> Column:
 
 
 def rerank_score(score, text, query: str) -> Column:
-    exact = F.when(F.contains(F.lower(c(text)), F.lit(query.lower())), 0.15).otherwise(0.0)
-    brief = F.greatest(F.lit(0.0), 1.0 - F.length(c(text)) / 5000) * 0.05
-    return F.round(c(score) * 0.6 + keyword_overlap(text, query) * 0.25 + exact + brief, 4)
+    exact = F.contains(F.lower(c(text)), F.lit(query.lower())).cast("double")
+    brief = F.greatest(F.lit(0.0), 1.0 - F.length(c(text)) / 5000)
+    parts = {"score": c(score), "overlap": keyword_overlap(text, query), "exact": exact, "brief": brief}
+    return F.round(sum((w * parts[k] for k, w in RERANK.items()), F.lit(0.0)), 4)
 
 
 def snippet_score(score, text, query: str) -> Column:
@@ -154,7 +177,7 @@ def semantic_label(language, kind, parent, name, parameters) -> Column:
 
 
 def signature(body) -> Column:
-    return F.trim(F.substring_index(c(body), "\n", 1))
+    return stripped(F.substring_index(c(body), "\n", 1))
 
 
 def language_of(path) -> Column:
@@ -163,6 +186,24 @@ def language_of(path) -> Column:
     return F.coalesce(table[ext], F.lit("unknown"))
 
 
+def _mapped(key: Column, table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+
+
+def grammar_of(path) -> Column:
+    """The parser's language of a file; null where it has none."""
+    return _mapped(F.regexp_extract(c(path), r"(\.[^./]+)$", 1), GRAMMARS)
+
+
+def model_of(name) -> Column:
+    """A model's full name from a short one; other names stay."""
+    return F.coalesce(_mapped(F.lower(c(name)), MODELS), c(name))
+
+
+def profile_for_memory(gigabytes) -> Column:
+    return F.coalesce(*[F.when(c(gigabytes) >= least, name) for least, name in PROFILES], F.lit("fast"))
+
+
 def node_id(text) -> Column:
     tail = F.element_at(F.split(c(text), ":"), -1)
     stem = F.when(F.contains(tail, F.lit("/")), F.regexp_replace(F.element_at(F.split(tail, "/"), -1), r"\.[^.]*$", "")).otherwise(tail)

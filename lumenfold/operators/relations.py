@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions import text as fn
+from lumenfold.sources.store import cut as store_cut
 
-# Names and prefixes that count as always reachable.
+# Names and prefixes that count as always reachable, and the weights of a hotspot.
 ENTRY_NAMES = (
     "main", "__init__", "__new__", "__del__", "__str__", "__repr__", "__enter__", "__exit__", "__call__", "__getattr__", "__setattr__",
     "__getitem__", "__setitem__", "__len__", "__iter__", "__next__", "__eq__", "__hash__", "__lt__", "__le__", "__gt__", "__ge__",
@@ -40,7 +41,7 @@ def duplicates(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, k
     return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, key: str = "id", body: str = "body", apart: str | None = None, cut=lambda df: df) -> DataFrame:
+def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, key: str = "id", body: str = "body", apart: str | None = None, cut=store_cut) -> DataFrame:
     """(a, b, similarity) as duplicates(), but rows of equal body (and equal `apart`) are one class under its smallest key.
 
     Pairs are between classes; each further member b of a class a is one row of similarity 1, so copies cost a row each, not a pair each.
@@ -55,6 +56,40 @@ def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int
     return pairs.unionByName(member.select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity")))
 
 
+LEAD = 4
+SMALL_BYTES = 4 << 20
+
+
+def contained(texts: DataFrame, passages: DataFrame, key: str, item: str, text: str = "text") -> DataFrame:
+    """(key, item) of the passages that stand in a text as they are.
+
+    Candidates share a run of LEAD words, the second to the fifth of the passage; then the text decides. The runs of the passages, if
+    they are small, filter those of the texts before anything is shuffled. Shorter passages are sought by their longest inner word, or
+    one by one where they have none.
+    """
+    words = lambda c: F.split(fn.stripped(F.regexp_replace(c, r"\\s+", " ")), " ")
+    items = passages.select(F.col(item).alias("item"), F.col(text).alias("passage")).where("passage is not null").withColumn("w", words("passage"))
+    docs = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
+    long_ = items.where(F.size("w") >= LEAD + 2).select("item", "passage", F.concat_ws(" ", F.slice("w", 2, LEAD)).alias("lead"))
+    inner = F.expr("slice(w, 2, greatest(0, size(w) - 2))")
+    brief = items.where(F.size("w") < LEAD + 2).select("item", "passage", F.reduce(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)).alias("lead"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - LEAD + 1)), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(LEAD))))
+    near = None
+    for wanted, pieces in ((long_, runs), (brief.where("lead <> ''"), F.col("w"))):
+        leads = wanted.select("item", "lead")
+        size = leads.agg(F.coalesce(F.sum(F.length("lead") + 32), F.lit(0)).alias("n")).first().n
+        if not size:
+            continue
+        found = docs.withColumn("w", words("text")).select("key", F.explode(F.array_distinct(pieces)).alias("lead")).join(F.broadcast(leads) if size <= SMALL_BYTES else leads, "lead").select("key", "item").distinct()
+        near = found if near is None else near.unionByName(found)
+    out = docs.select("key", F.lit(None).cast(items.schema["item"].dataType).alias("item")).where("false")
+    if near is not None:
+        out = near.join(items.select("item", "passage"), "item").join(docs, "key").where(F.contains("text", F.col("passage"))).select("key", "item")
+    for r in brief.where("lead = ''").select("item", "passage").limit(1000).collect():
+        out = out.unionByName(docs.where(F.contains("text", F.lit(r.passage))).select("key", F.lit(r.item).alias("item")))
+    return out.distinct().toDF(key, item)
+
+
 # ----------------------------------------------------------------- differences
 def changes(old: DataFrame, new: DataFrame, key: str = "path", digest: str = "content_hash") -> DataFrame:
     """(key, change): created, modified or deleted."""
@@ -91,28 +126,112 @@ def diff_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- graphs
-def call_edges(symbols: DataFrame) -> DataFrame:
-    """(caller, callee, file_path): called names that are known callables, by one equi-join."""
+def call_edges(symbols: DataFrame, calls=None) -> DataFrame:
+    """(caller, callee, file_path): called names that are known callables, by one equi-join; calls is the column of called names, by pattern if none is given."""
     able = symbols.where(F.col("kind").isin("function", "method"))
-    used = able.select("file_path", "name", F.explode(fn.calls("body")).alias("callee"))
-    return used.where("callee <> name").join(able.select(F.col("name").alias("callee")).distinct(), "callee").select(fn.qualified_name("file_path", "name").alias("_"), F.concat_ws(":", "file_path", "name").alias("caller"), "callee", "file_path").drop("_").distinct()
+    used = able.select("file_path", "name", F.explode(fn.calls("body") if calls is None else calls).alias("callee"))
+    known = able.select(F.col("name").alias("callee")).distinct()
+    return used.where("callee <> name").join(known, "callee").select(F.concat_ws(":", "file_path", "name").alias("caller"), "callee", "file_path").distinct()
+
+
+def callers_of(edges: DataFrame, name: str) -> DataFrame:
+    return edges.where(F.col("callee") == name)
+
+
+def callees_of(edges: DataFrame, key: str) -> DataFrame:
+    """Edges of one caller, file:name; of all callers of a name where there is no file."""
+    return edges.where(F.col("caller") == key if ":" in key else F.endswith("caller", F.lit(f":{key}")))
+
+
+def call_graph(edges: DataFrame, name: str) -> DataFrame:
+    """Edges into and out of a name, with side."""
+    return callers_of(edges, name).withColumn("side", F.lit("caller")).unionByName(callees_of(edges, name).withColumn("side", F.lit("callee")))
+
+
+def graph_size(edges: DataFrame) -> DataFrame:
+    """(edges, nodes): distinct names over both ends."""
+    ends = edges.select(F.explode(F.array("caller", "callee")).alias("node"))
+    return ends.agg((F.count("*") / 2).cast("long").alias("edges"), F.countDistinct("node").alias("nodes"))
+
+
+def trace(symbols: DataFrame, edges: DataFrame, target: str, depth: int = 5, cut=store_cut) -> DataFrame:
+    """(name, file_path, kind, depth) along the calls of target: callers at negative depths, callees at positive ones.
+
+    Upwards a name is met once, downwards a key file:name, at its least distance; where a name has several symbols the first by file stands for it.
+    """
+    spark = symbols.sparkSession
+    named = symbols.where("kind <> 'import'").groupBy("name").agg(F.min(F.struct("file_path", "start_line", "kind")).alias("s"))
+    named = cut(named.select("name", "s.file_path", "s.kind", F.concat_ws(":", "s.file_path", "name").alias("key")))
+    up = edges.select(F.col("callee").alias("src"), F.element_at(F.split("caller", ":"), -1).alias("dst"))
+    callee = named.select(F.col("name").alias("callee"), F.col("key").alias("dst"))
+    down = edges.select(F.col("caller").alias("src"), "callee").join(callee, "callee").select("src", "dst")
+    above = reach(up, spark.createDataFrame([(target,)], "node string"), depth, cut).where("depth > 0")
+    below = reach(down, named.where(F.col("name") == target).select(F.col("key").alias("node")), depth, cut).where("depth > 0")
+    return above.join(named, above.node == named.name).select("name", "file_path", "kind", (-F.col("depth")).alias("depth")).unionByName(
+        below.join(named, below.node == named.key).select("name", "file_path", "kind", "depth")
+    )
+
+
+# ----------------------------------------------------------------- dependencies
+# Import texts that lead into another language, in the order in which they are tried.
+FOREIGN = (
+    ("pyo3", "rust"), ("ctypes", "cpp"), ("cffi", "cpp"), ("WebAssembly", "rust"), (".wasm", "rust"), ("native ", "cpp"), ("System.loadLibrary", "cpp"),
+)
+
+
+def dependencies(symbols: DataFrame) -> DataFrame:
+    """(source_file, import_text, line) of each import."""
+    return symbols.where("kind = 'import'").select(F.col("file_path").alias("source_file"), fn.stripped("body").alias("import_text"), F.col("start_line").alias("line"))
+
+
+def dependents(deps: DataFrame, module: str) -> DataFrame:
+    """Imports whose text holds the module's name."""
+    return deps.where(F.contains("import_text", F.lit(module)))
+
+
+def polyglot(deps: DataFrame, foreign: tuple[tuple[str, str], ...] = FOREIGN) -> DataFrame:
+    """Imports that lead into another language: the first of the texts that an import holds tells which."""
+    own = F.coalesce(fn.grammar_of("source_file"), F.lit("unknown"))
+    there = F.coalesce(*[F.when(F.contains(F.lower("import_text"), F.lit(text.lower())), lang) for text, lang in foreign])
+    return deps.withColumns({"source_language": own, "target_language": there}).where("target_language <> source_language")
+
+
+def cross_language_edges(symbols: DataFrame, foreign: tuple[tuple[str, str], ...] = FOREIGN) -> DataFrame:
+    """(source_file, import_text, source_language, target_symbol, target_language, target_file): names of the other language that an import holds.
+
+    Joined on the words of the import, not by comparing all imports with all names.
+    """
+    far = polyglot(dependencies(symbols), foreign)
+    words = far.withColumn("target_symbol", F.explode(F.array_distinct(F.regexp_extract_all("import_text", F.lit(r"[A-Za-z_]\w*"), 0))))
+    named = symbols.where("kind <> 'import'").select(F.col("name").alias("target_symbol"), F.col("file_path").alias("target_file"), fn.grammar_of("file_path").alias("target_language"))
+    named = named.groupBy("target_symbol", "target_language").agg(F.max("target_file").alias("target_file"))
+    return words.join(named, ["target_symbol", "target_language"]).select("source_file", "import_text", "source_language", "target_symbol", "target_language", "target_file")
+
+
+def universal_edges(edges: DataFrame, cross: DataFrame) -> DataFrame:
+    """Call edges of each language and the edges between languages as one graph."""
+    over = cross.select(F.concat_ws(":", "source_file", "import_text").alias("caller"), F.col("target_symbol").alias("callee"), F.col("source_file").alias("file_path"))
+    return edges.unionByName(over)
 
 
 def dead_code(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    able = symbols.where(F.col("kind").isin("function", "method"))
+    """Functions, methods and classes that nothing calls or mentions outside their own body."""
+    able = symbols.where(F.col("kind").isin("function", "method", "class"))
     entry = F.col("name").isin(*ENTRY_NAMES) | F.col("name").startswith(ENTRY_PREFIXES[0]) | F.col("name").startswith(ENTRY_PREFIXES[1]) | F.col("name").rlike("^_.*_$")
     said = symbols.select("file_path", F.col("name").alias("own"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0))).alias("name"))
     others = said.where("own <> name").select("name").distinct()
     return able.where(~entry).join(edges.select(F.col("callee").alias("name")).distinct(), "name", "left_anti").join(others, "name", "left_anti")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = 5, cut=lambda df: df) -> DataFrame:
-    """(node, depth) of the nodes first met at each step along edges (src, dst) from seeds (node)."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = 5, cut=store_cut) -> DataFrame:
+    """(node, depth) of the nodes first met at each step along edges (src, dst) from seeds (node); each frontier is written once, an empty one ends the search."""
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
         step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -150,23 +269,28 @@ def within_budget(rows: DataFrame, budget: int, by: list[str], order: list, text
     return rows.withColumn("used", used).withColumn("_r", F.row_number().over(w)).where((F.col("used") <= budget) | (F.col("_r") == 1)).drop("_r")
 
 
-def uncovered(lines: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """(key, start_line, end_line): runs of lines (key, line_number) that no span (key, start_line, end_line) covers."""
-    in_span = spans.select(F.col(key), F.explode(F.sequence("start_line", "end_line")).alias("line_number"))
-    free = lines.join(in_span, [key, "line_number"], "left_anti")
-    island = F.col("line_number") - F.row_number().over(Window.partitionBy(key).orderBy("line_number"))
-    return free.withColumn("i", island).groupBy(key, "i").agg(F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line")).drop("i")
+def uncovered(lengths: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """(key, start_line, end_line): runs of the lines 1 to n of lengths (key, n) that no span (key, start_line, end_line) covers.
+
+    Gaps between the spans in order, so no line is a row of its own: each span tells how far those before it reach.
+    """
+    ends = lengths.select(key, (F.col("n") + 1).alias("start_line"), (F.col("n") + 1).alias("end_line"))
+    every = spans.select(key, "start_line", "end_line").join(lengths.select(key, "n"), key).where("start_line <= n").select(key, "start_line", F.least("end_line", "n").alias("end_line")).unionByName(ends)
+    before = F.max("end_line").over(Window.partitionBy(key).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = every.select(key, (F.coalesce(before, F.lit(0)) + 1).alias("a"), (F.col("start_line") - 1).alias("b"))
+    return gaps.where("a <= b").select(key, F.col("a").alias("start_line"), F.col("b").alias("end_line"))
 
 
-def sessions(events: DataFrame, who: str, ts: str, ttl: str = "3600 seconds") -> DataFrame:
-    """events with session number; a gap of exactly the time to live keeps the session."""
-    w = Window.partitionBy(who).orderBy(ts, "event_id")
+def sessions(events: DataFrame, who: str, ts: str, ttl: str = "3600 seconds", order: tuple[str, ...] = ()) -> DataFrame:
+    """events with session number; a gap of exactly the time to live keeps the session. order breaks ties in time."""
+    w = Window.partitionBy(who).orderBy(ts, *order)
     new = F.when(F.col(ts) > F.lag(ts).over(w) + F.expr(f"interval {ttl}"), 1).when(F.lag(ts).over(w).isNull(), 1).otherwise(0)
     return events.withColumn("_n", new).withColumn("session", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n")
 
 
-def trend(points: DataFrame, value: str, ts: str, by: list[str], flat: float = 0.01) -> DataFrame:
+def trend(points: DataFrame, value: str, ts: str, by: list[str], flat: float = 0.01, higher_is_better: bool = True) -> DataFrame:
+    """First, last and slope of a measure over time, and whether it improves; a change below the fraction flat is none."""
     span = (F.max_by(value, ts) - F.min_by(value, ts)).alias("delta")
     out = points.groupBy(*by).agg(F.min_by(value, ts).alias("first"), F.max_by(value, ts).alias("last"), span, F.coalesce(F.regr_slope(value, ts), F.lit(0.0)).alias("slope"))
-    rate = F.col("delta") / F.greatest(F.abs("first"), F.lit(1e-9))
-    return out.withColumn("direction", F.when(rate > flat, "improving").when(rate < -flat, "degrading").otherwise("stable"))
+    rate = F.col("delta") / F.greatest(F.abs("first"), F.lit(1e-9)) * (1 if higher_is_better else -1)
+    return out.withColumn("direction", F.when(rate >= flat, "improving").when(rate <= -flat, "degrading").otherwise("stable"))

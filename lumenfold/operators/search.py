@@ -4,32 +4,68 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenfold.functions import text as fn
+from lumenfold.sources.files import glob_pattern
+from lumenfold.sources.store import cut, spread
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
+def query_terms(query: str) -> list[str]:
+    return list(dict.fromkeys(t.lower() for t in re.findall(fn.TOKEN, query)))
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tok, tf): write this once, partitioned by token, to search it often."""
-    toks = docs.select(key, F.explode(fn.tokens(text)).alias("t"))
+    """(key, tok, tf): what a stored index holds, by token."""
+    toks = spread(docs.select(key, text)).select(key, F.explode(fn.tokens(text)).alias("t"))
     return toks.groupBy(key, F.lower("t").alias("tok")).agg(F.count("*").alias("tf"))
 
 
-def bm25(post: DataFrame, query: str, n_docs: int, key: str = "doc_id") -> DataFrame:
-    """(key, score) of every document with a query token; lengths are summed frequencies."""
-    wanted = list(dict.fromkeys(t.lower() for t in re.findall(fn.TOKEN, query)))
-    length = post.groupBy(key).agg(F.sum("tf").alias("dl"))
-    avg = length.agg((F.sum("dl") / n_docs).alias("avgdl"))
-    hits = post.where(F.col("tok").isin(wanted))
+def _score(tf, df, n: float, length, average: float) -> Column:
+    idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+
+def _count_of(array: str, value: str) -> Column:
+    return F.size(F.filter(array, lambda x: x == value))
+
+
+def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, score) of every document with a query token, from texts alone.
+
+    Each text is cut into tokens once, and a row of its length and its counts of the query's tokens is
+    all that goes on: no token is a row, and nothing is shuffled but the sums. To search often, keep
+    the postings instead (indexes.KeywordIndex).
+    """
+    terms = query_terms(query)
+    toks = spread(docs.select(key, text)).select(key, fn.lower_tokens(text).alias("toks"))
+    rows = cut(toks.select(key, F.size("toks").alias("dl"), *[_count_of("toks", t).alias(f"tf{i}") for i, t in enumerate(terms)]))
+    stats = rows.agg(F.count("*").alias("n"), F.sum(F.greatest("dl", F.lit(0))).alias("dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    average = (stats.dl or 0) / max(1, stats.n)
+    parts = [F.when(F.col(f"tf{i}") > 0, _score(F.col(f"tf{i}"), F.lit(float(stats[f"df{i}"])), float(stats.n), F.col("dl"), average)).otherwise(0.0) for i in range(len(terms))]
+    some = F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0
+    return rows.where(some).select(key, sum(parts, F.lit(0.0)).alias("score"))
+
+
+def bm25_postings(post: DataFrame, lengths: DataFrame, n_docs: int, average: float, query: str, key: str = "doc_id") -> DataFrame:
+    """(key, score) from stored postings (key, tok, tf) and lengths (key, dl): only the query's tokens are read."""
+    hits = post.where(F.col("tok").isin(query_terms(query)))
     df = hits.groupBy("tok").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "tok").join(length, key).crossJoin(F.broadcast(avg))
-    idf = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    return scored.groupBy(key).agg(F.sum(idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
+    scored = hits.join(F.broadcast(df), "tok").join(lengths, key)
+    return scored.groupBy(key).agg(F.sum(_score(F.col("tf"), F.col("df"), float(n_docs), F.col("dl"), average)).alias("score"))
+
+
+def with_phrases(ranked: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """Rows whose text holds each part of the query that stands in double quotes, whatever its case."""
+    for phrase in re.findall(r'"([^"]+)"', query):
+        ranked = ranked.where(F.contains(F.lower(text), F.lit(phrase.lower())))
+    return ranked
 
 
 def top(ranked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -45,6 +81,35 @@ def vector_top(vectors: DataFrame, query: list[float], k: int, key: str = "vec_i
     return top(vectors.select(key, dot(vector, q).alias("score")), k, key)
 
 
+def vector_top_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, key, score): the k best other rows for each query, a matrix product of a block of rows with all queries.
+
+    Queries are a short list, at most 64 MB of them: they are sent to every task. Each block keeps its k best for each query, so what is shuffled is small.
+    """
+    asked = queries.select(key, vector).collect()
+    if len(asked) * len(asked[0][1] if asked else []) * 8 > 1 << 26:
+        raise ValueError("too many queries for one pass; ask them in parts")
+    ids, q = [r[0] for r in asked], np.array([r[1] for r in asked], np.float64)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at : at + block]
+                own = part[key].to_numpy()
+                s = q @ np.stack([np.asarray(v, np.float64) for v in part[vector]]).T if len(q) else np.zeros((0, 0))
+                for i, row in enumerate(s):
+                    row = np.where(own == ids[i], -np.inf, row)
+                    best = np.lexsort((own, -row))[:k]
+                    out += [(ids[i], own[j], row[j]) for j in best if row[j] > -np.inf]
+            yield pd.DataFrame(out, columns=["query_id", key, "score"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    found = vectors.select(key, vector).mapInPandas(run, f"query_id {kind}, {key} {kind}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
 def rrf(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
     """Fuses two rankings (key, rank from 0)."""
     part = lambda r: F.when(r.isNotNull(), 1 / (F.lit(RRF_K) + r + 1)).otherwise(0.0)
@@ -62,34 +127,57 @@ def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, F.posexplode(fn.lines(text)).alias("p", "line")).select(key, (F.col("p") + 1).alias("line_number"), "line")
 
 
-def valid_pattern(pattern: str) -> bool:
+def valid_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will run the pattern takes it."""
     try:
-        re.compile(pattern)
-    except re.error:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001  the gateway's error type depends on the connection
         return False
     return True
 
 
-def regex_search(docs: DataFrame, pattern: str, k: int, insensitive: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, matched_lines): documents by their number of matching lines; no row for an invalid pattern."""
-    rows = line_rows(docs, key, text)
-    hits = rows.where(F.col("line").rlike(("(?i)" if insensitive else "") + pattern)) if valid_pattern(pattern) else rows.where("false")
-    found = hits.groupBy(key).agg(F.count("*").alias("score"), F.sort_array(F.collect_list("line_number")).alias("matched_lines"))
-    return top(found, k, key)
-
-
-def grep(docs: DataFrame, pattern: str, invert: bool = False, word: bool = False, before: int = 0, after: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_number, line, col, is_context), each line once; context by a window within each document."""
-    p = rf"(^|[^A-Za-z0-9_])(?:{pattern})([^A-Za-z0-9_]|$)" if word else pattern
-    rows = line_rows(docs, key, text)
-    hit = F.col("line").rlike(p)
-    rows = rows.withColumn("hit", (~hit if invert else hit).cast("int"))
-    col = F.when(F.col("hit") == 1, F.greatest(F.lit(0), F.regexp_instr("line", F.lit(p)) - 1))
-    if not before and not after:
-        return rows.where("hit = 1").select(key, "line_number", "line", col.alias("col"), F.lit(False).alias("is_context"))
-    near = F.max("hit").over(Window.partitionBy(key).orderBy("line_number").rowsBetween(-after, before))
-    rows = rows.withColumn("near", near).where("near = 1")
-    return rows.select(key, "line_number", "line", col.alias("col"), (F.col("hit") == 0).alias("is_context"))
+def regex_search(docs: DataFrame, pattern: str, k: int, insensitive: bool = True, key: str = "doc_id", text: str = "text", first: str | None = None) -> DataFrame:
+    """(key, score, matched_lines): documents by their number of matching lines; no row for an invalid pattern.
+
+    Lines count from 1, or in a chunk from the column first, the chunk's first line in its file. Matches are
+    counted inside each row, so no line is a row of its own.
+    """
+    p = ("(?i)" if insensitive else "") + pattern
+    start = F.col(first) if first else F.lit(1)
+    rows = docs.select(key, fn.lines(text).alias("lines"), start.cast("int").alias("start"))
+    rows = rows if valid_pattern(docs.sparkSession, p) else rows.where("false")
+    hits = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull())
+    found = rows.select(key, F.transform(hits, lambda i: i + F.col("start")).alias("matched_lines"), "start")
+    return top(found.where(F.size("matched_lines") > 0).select(key, F.size("matched_lines").cast("long").alias("score"), "matched_lines"), k, key)
+
+
+def grep(docs: DataFrame, pattern: str, invert: bool = False, word: bool = False, before: int = 0, after: int = 0, key: str = "doc_id", text: str = "text", insensitive: bool = False, limit: int | None = None, per_key: int | None = None) -> DataFrame:
+    """(key, line_number, line, col, is_context), each line once, no row for an invalid pattern.
+
+    Hits and their context are found inside each row; only these lines become rows. per_key keeps the first
+    matching lines of each document, limit the first lines of all.
+    """
+    p = ("(?i)" if insensitive else "") + (rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])" if word else pattern)
+    docs = docs if valid_pattern(docs.sparkSession, p) else docs.where("false")
+    hit = lambda x: ~x.rlike(p) if invert else x.rlike(p)
+    rows = docs.select(key, fn.lines(text).alias("lines"))
+    rows = rows.select(key, "lines", F.filter(F.transform("lines", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    if per_key is not None:
+        rows = rows.withColumn("hits", F.slice("hits", 1, per_key))
+    shown = F.col("hits")
+    if before or after:
+        near = F.transform("hits", lambda i: F.sequence(F.greatest(F.lit(0), i - before), F.least(F.size("lines") - 1, i + after)))
+        shown = F.array_sort(F.array_distinct(F.flatten(near)))
+    rows = rows.select(key, "hits", "lines", F.explode(shown).alias("i"))
+    out = rows.select(key, (F.col("i") + 1).alias("line_number"), F.element_at("lines", F.col("i") + 1).alias("line"), (~F.array_contains("hits", F.col("i"))).alias("is_context"))
+    out = out.select(key, "line_number", "line", F.when(~F.col("is_context"), F.greatest(F.lit(0), F.regexp_instr("line", F.lit(p)) - 1)).alias("col"), "is_context")
+    return out if limit is None else out.orderBy(key, "line_number").limit(limit)
+
+
+def grep_matches(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_number, ord, match): one row for each match in a line."""
+    rows = line_rows(docs, key, text).where(F.col("line").rlike(pattern))
+    return rows.select(key, "line_number", F.posexplode(F.regexp_extract_all("line", F.lit(pattern), 0)).alias("ord", "match"))
 
 
 def grep_counts(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,6 +188,16 @@ def without_match(docs: DataFrame, pattern: str, key: str = "doc_id", text: str
     return docs.select(key).join(grep(docs, pattern, key=key, text=text).select(key).distinct(), key, "left_anti")
 
 
+def with_match(docs: DataFrame, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return grep(docs, pattern, key=key, text=text).select(key).distinct()
+
+
+def shown(results: DataFrame, exclude: str | None = None, snippet: int | None = None, path: str = "file_path", text: str = "content") -> DataFrame:
+    """Results without those whose path fits a glob, texts cut to a snippet."""
+    out = results if exclude is None else results.where(~F.col(path).rlike(glob_pattern(exclude)))
+    return out if snippet is None else out.withColumn(text, F.substring(text, 1, snippet))
+
+
 def multi_retrieve(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of first, and those of second that first does not have."""
     return first.withColumn("arm", F.lit(0)).unionByName(second.join(first.select(*keys), keys, "left_anti").withColumn("arm", F.lit(1)))

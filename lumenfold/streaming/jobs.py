@@ -2,35 +2,104 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
+from lumenfold.operators import history
 from lumenfold.operators import relations as rel
+from lumenfold.operators.indexes import DigestStore
+from lumenfold.sources.store import children, cut, drop_cut
 
+BUCKETS = 64
 
+
+# ----------------------------------------------------------------- sources
 def watch(spark: SparkSession, folder: str, schema: str, files_a_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
+def watch_files(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
+    """(path, modified, content) of new files with these extensions; folders and files that begin with a dot are passed over."""
+    raw = spark.readStream.format("binaryFile").schema(spark.read.format("binaryFile").load(folder).schema if children(spark, folder) else "path string, modificationTime timestamp, length long, content binary")
+    df = raw.option("recursiveFileLookup", True).load(folder)
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return df.where(ext.isin([e.lower() for e in extensions]) & ~F.col("path").rlike(r"/\.[^/]+")).select("path", F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
+
+
+class Poller:
+    """Changes of a table of digests between scans; the first scan is the baseline and reports none."""
+
+    def __init__(self, spark: SparkSession, root: str, scan: Callable[[], DataFrame]):
+        self.store, self.scan = DigestStore(spark, root, "seen"), scan
+
+    def once(self) -> DataFrame:
+        """(key, change) since the last scan; scan() gives (key, content_hash)."""
+        first = self.store.tables.load("seen") is None
+        old, new = self.store.load(), cut(self.scan().select("key", "content_hash"))
+        found = cut(rel.changes(new if first else old, new, "key"))
+        self.store.save(new)
+        return found
+
+    def loop(self, sink: Callable[[DataFrame], None], seconds: float = 2.0, rounds: int | None = None) -> None:
+        n = 0
+        while rounds is None or n < rounds:
+            found = self.once()
+            if not found.isEmpty():
+                sink(found)
+            n += 1
+            if rounds is None or n < rounds:
+                time.sleep(seconds)
+
+
+# ----------------------------------------------------------------- sinks
 def keep_index(changes: DataFrame, store: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each micro-batch (key, ..., deleted boolean) into a Parquet table kept as numbered versions."""
+    """Upserts each micro-batch (key, ..., deleted boolean) into a Parquet table in buckets of the key; only buckets that a batch touches are rewritten.
+
+    The merge is the same however often a batch is repeated, so a lost driver only repeats work. Of several rows of one key in a
+    batch a deletion is followed by the rest.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(store))) if fs.exists(jvm.org.apache.hadoop.fs.Path(store)) else []
-        fresh, gone = batch.where("not deleted").drop("deleted"), batch.where("deleted")
-        before = [v for v in versions if v < n]
-        old = spark.read.parquet(f"{store}/v={before[-1]}") if before else fresh.limit(0)
-        rel.replace_rows(old, fresh, gone, key).write.mode("overwrite").parquet(f"{store}/v={n}")
+        rows = cut(batch.withColumn("b", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
+        fresh, gone = rows.where("not deleted").drop("deleted"), rows.where("deleted")
+        if children(spark, store):
+            old = spark.read.schema(fresh.schema).parquet(store).join(F.broadcast(rows.select("b").distinct()), "b", "left_semi")
+        else:
+            old = fresh.limit(0)
+        touched = cut(rel.replace_rows(old.select(fresh.columns), fresh, gone, key))
+        # a bucket that the batch empties has no rows to overwrite it with: it keeps one row that readers leave out
+        bare = rows.select("b").distinct().join(touched.select("b").distinct(), "b", "left_anti")
+        empty = bare.select(*[F.col("b") if c == "b" else F.lit(None).cast(touched.schema[c].dataType).alias(c) for c in touched.columns])
+        touched.unionByName(empty).repartition("b").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b").parquet(store)
+        for t in (rows, touched):
+            drop_cut(t)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_index(spark: SparkSession, store: str, key: str) -> DataFrame:
+    return spark.read.parquet(store).where(F.col(key).isNotNull()).drop("b")
+
+
+def run_once(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def status(query: StreamingQuery) -> dict:
+    """What a running index does: whether it runs, batches done and rows in the last one."""
+    last = query.lastProgress
+    return {"running": query.isActive, "waiting": query.status["isDataAvailable"], "completed": (last.batchId + 1) if last else 0, "events": last.numInputRows if last else 0}
+
+
+# ----------------------------------------------------------------- windows and state
 def session_counts(events: DataFrame, who: str, ts: str, ttl: str = "1 hour", late: str = "1 hour") -> DataFrame:
     stamped = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
     return stamped.groupBy(who, F.session_window("at", ttl).alias("w")).agg(F.count("*").alias("n")).select(who, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -41,6 +110,42 @@ def rate(events: DataFrame, who: str, ts: str, tokens: str, window: str = "60 se
     return stamped.groupBy(who, F.window("at", window, slide).alias("w")).agg(F.count("*").alias("requests"), F.sum(tokens).alias("tokens")).select(who, F.col("w.end").alias("at"), "requests", "tokens")
 
 
-def run_once(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    q = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def admissions(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds: float = history.LIMIT_SECONDS) -> DataFrame:
+    """(who, id, ts, admitted, retry_after) of a stream of requests (who, id, ts double, tokens long).
+
+    A request counts against the limits only if it was admitted. State holds the admitted requests of the last window, no more
+    than the limits let in.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        new = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
+        got, held = history.admit(new["ts"].tolist(), new["tokens"].tolist(), rpm, tpm, seconds, held)
+        state.update(([t for t, _ in held], [int(n) for _, n in held]))
+        yield pd.DataFrame({"who": key[0], "id": new["id"].tolist(), "ts": new["ts"].tolist(), "admitted": [ok for ok, _ in got], "retry_after": [w for _, w in got]})
+
+    rows = requests.select(F.col(who).alias("who"), "id", F.col("ts").cast("double").alias("ts"), F.col("tokens").cast("long").alias("tokens"))
+    kind = rows.schema["who"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+    return rows.groupBy("who").applyInPandasWithState(run, f"who {kind[0]}, id {kind[1]}, ts double, admitted boolean, retry_after double", "ts array<double>, tokens array<long>", "append", "NoTimeout")
+
+
+# ----------------------------------------------------------------- answers as events
+def token_events(answers: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, ord, kind, content): start, one event a word with its leading blank, done with the whole text; for batches and streams."""
+    words = F.transform(F.split(text, " "), lambda w, i: F.struct(F.lit("token").alias("kind"), F.when(i > 0, F.concat(F.lit(" "), w)).otherwise(w).alias("content")))
+    ends = lambda kind, x: F.array(F.struct(F.lit(kind).alias("kind"), x.alias("content")))
+    every = F.concat(ends("start", F.lit("")), words, ends("done", F.col(text)))
+    return answers.select(key, F.posexplode(every).alias("ord", "x")).select(key, "ord", "x.kind", "x.content")
+
+
+def context_events(context: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
+    """Events with the context (key, content) first, numbered on."""
+    first = context.select(key, F.lit(-1).alias("ord"), F.lit("context").alias("kind"), "content")
+    out = first.unionByName(token_events(answers, key).where("kind <> 'start'"))
+    return out.withColumn("ord", F.col("ord") + 1)
+
+
+def latest_documents(changes: DataFrame) -> DataFrame:
+    """The text of each open document from its open, change and close events (uri, version, event, text)."""
+    last = changes.groupBy("uri").agg(F.max_by(F.struct("event", "text", "version"), "version").alias("x"))
+    return last.where("x.event <> 'close'").select("uri", "x.version", "x.text")

@@ -62,6 +62,30 @@ def test_fill_budget_truncates_then_goes_on(spark):
     assert got["g", 2].endswith("... [truncated]") and got["h", 1] == "w" * 9000
 
 
+def test_lines_of_any_break_and_blank_kinds(spark):
+    text = F.lit("a\n\n")
+    assert one(spark, fn.lines(text)) == ["a", ""] and one(spark, fn.lines(F.lit(""))) == []
+    assert one(spark, fn.lines(F.lit("a\r\nb\rc\x0bd\n"))) == "a\r\nb\rc\x0bd\n".splitlines()
+    assert [one(spark, fn.line_kind(F.lit(x))) for x in ("\t", "\t# x", "\t x", "  */", "")] == ["blank", "comment", "code", "comment", "blank"]
+    assert one(spark, fn.normal_body(F.lit("\tx = 1\n\t# no\n\t\n// no\r\n y "))) == "x = 1\ny"
+
+
+def test_regex_search_counts_lines_in_the_file_and_tests_patterns_where_they_run(spark):
+    docs = spark.createDataFrame([("k", "one\nTwo\nthree two", 40)], "key string, content string, start_line int")
+    got = search.regex_search(docs, "two", 5, key="key", text="content", first="start_line").first()
+    assert (got.score, got.matched_lines) == (2, [41, 42])
+    assert search.regex_search(docs, "(?P<x>a)", 5, key="key", text="content").count() == 0
+    hit = search.grep(docs, "two", word=True, key="key", text="content").first()
+    assert (hit.line_number, hit.col, hit.line) == (3, 6, "three two")
+    assert [r.match for r in search.grep_matches(docs, "[a-z]wo|t", "key", "content").orderBy("line_number", "ord").collect()] == ["t", "two"]
+
+
+def test_dead_code_reports_classes(spark):
+    rows = [("Api", "class", "a.py", "class Api:\n    pass"), ("used", "function", "a.py", "def used():\n    return 1"), ("caller", "function", "b.py", "def caller():\n    return used()"), ("__call__", "method", "b.py", "def __call__(self): pass")]
+    s = spark.createDataFrame(rows, "name string, kind string, file_path string, body string")
+    assert {r.name for r in rel.dead_code(s, rel.call_edges(s)).collect()} == {"Api", "caller"}
+
+
 def test_regex_search_with_a_broken_pattern(spark):
     docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     assert search.regex_search(docs, "[broken", 5).count() == 0
@@ -81,18 +105,24 @@ def test_trend_directions(spark):
     assert got == {"up": "improving", "down": "degrading", "flat": "stable", "one": "stable"}
 
 
+def test_trend_where_less_is_better(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 9.0)], "k string, ts int, v double")
+    assert rel.trend(df, "v", "ts", ["k"], higher_is_better=False).first().direction == "degrading"
+
+
 def test_engine_and_scan(spark, tmp_path):
     (tmp_path / "src" / ".git").mkdir(parents=True)
     (tmp_path / "src/core.py").write_text(CORE)
     (tmp_path / "src/.git/x.py").write_text("hidden = 1")
     (tmp_path / "src/app.js").write_text("function main() {\n  compute(1)\n}\n")
     found = files.scan(spark, str(tmp_path / "src"), [".py", ".js"])
-    assert [r.relative_path for r in found.select("relative_path").collect()] == ["app.js", "core.py"]
+    assert sorted(r.relative_path for r in found.select("relative_path").collect()) == ["app.js", "core.py"]
     e = Engine(spark, found.select(F.col("relative_path").alias("file_path"), "content"))
     syms = {r.name: r for r in e.symbols.where("kind <> 'import'").collect()}
     assert set(syms) == {"helper", "compute", "Box", "size", "main"} and syms["size"].parent == "Box" and syms["size"].parameters == ["self", "a", "b"]
     assert {(r.caller, r.callee) for r in e.edges.collect()} == {("core.py:compute", "helper"), ("core.py:size", "compute"), ("app.js:main", "compute")}
     assert {(r.node, r.depth) for r in e.impact("helper").collect()} == {("compute", 1), ("size", 2), ("main", 2)}
+    assert {(r.name, r.depth) for r in e.trace("compute").collect()} == {("size", -1), ("main", -1), ("helper", 1)}
     assert e.keyword_search("helper").first().file_path == "core.py"
     assert e.invoke("references", name="helper").count() == 2
     with pytest.raises(ValueError):
@@ -106,10 +136,9 @@ def test_streaming_index_keeps_the_last_state(spark, tmp_path):
     spark.createDataFrame([("a", "1", False), ("b", "1", False)], schema).coalesce(1).write.parquet(f"{src}/x1")
     spark.createDataFrame([("a", "2", False), ("b", "1", True)], schema).coalesce(1).write.parquet(f"{src}/x2")
     store = str(tmp_path / "store")
-    for k in (1, 2):
-        jobs.keep_index(jobs.watch(spark, f"{src}/x{k}", schema), store if k == 1 else store + "2", "path", str(tmp_path / f"c{k}")).awaitTermination()
-    assert {(r.path, r.content_hash) for r in spark.read.parquet(f"{store}/v=0").collect()} == {("a", "1"), ("b", "1")}
-    assert {(r.path, r.content_hash) for r in spark.read.parquet(f"{store}2/v=0").collect()} == {("a", "2")}
+    for k, want in ((1, {("a", "1"), ("b", "1")}), (2, {("a", "2")})):
+        jobs.keep_index(jobs.watch(spark, f"{src}/x{k}", schema), store, "path", str(tmp_path / f"c{k}")).awaitTermination()
+        assert {(r.path, r.content_hash) for r in jobs.read_index(spark, store, "path").collect()} == want
 
 
 def test_entry_points(spark):
