@@ -219,7 +219,7 @@ def test_engine_searches_in_every_mode(engine):
         engine.search("x", "none")
     assert engine.keyword_search('"return helper"').select("file_path").distinct().collect()[0].file_path == "core.py"
     got = engine.retrieve_context("compute helper", 200, mode="keyword")
-    assert got.count() >= 1 and "[1] " in engine.prompt("what computes?", mode="keyword")
+    assert got.count() >= 1 and "[1] " in engine.prompt("what does compute do?", mode="keyword")
     assert engine.retrieval_stats("compute", mode="keyword").first().after_budget >= 1
 
 
