@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 4096
 ITERATIONS = 20
+CODE = ["c0", "c1", "c2", "c3"]
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -66,7 +67,7 @@ def encode(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
 
 
 def with_codes(rows: DataFrame, rotation: np.ndarray, sub: int) -> DataFrame:
-    """(vec_id, code array<long>, subs array<long>): the first 256 bits, and the substrings of `sub` bits, numbered in the upper half."""
+    """(vec_id, c0, c1, c2, c3, subs array<long>): the first 256 bits, and the substrings of `sub` bits, numbered in the upper part."""
     held = rows.sparkSession.sparkContext.broadcast(rotation)
     tables = rotation.shape[1] // sub
 
@@ -77,10 +78,10 @@ def with_codes(rows: DataFrame, rotation: np.ndarray, sub: int) -> DataFrame:
                 on = matrix(part.column("v")) @ held.value > 0
                 code = np.packbits(np.pad(on[:, :256], ((0, 0), (0, max(0, 256 - on.shape[1])))), axis=1).view(np.int64)
                 subs = (on[:, : tables * sub].reshape(len(on), tables, sub) @ (np.int64(1) << np.arange(sub))) | (np.arange(tables, dtype=np.int64) << 40)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1, dtype=np.int32) * m.shape[1]), pa.array(np.ascontiguousarray(m).ravel())) for m in (code, subs)]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), *lists], ["vec_id", "code", "subs"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1, dtype=np.int32) * subs.shape[1]), pa.array(np.ascontiguousarray(subs).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), *[pa.array(np.ascontiguousarray(code[:, k])) for k in range(4)], lists], ["vec_id", *CODE, "subs"])
 
-    return rows.mapInArrow(run, "vec_id long, code array<long>, subs array<long>")
+    return rows.mapInArrow(run, "vec_id long, c0 long, c1 long, c2 long, c3 long, subs array<long>")
 
 
 class MultiIndex:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import connected_components, cut, drop_cut, table
-from .codes import learn, matrix, sizes, usable, with_codes
+from .codes import CODE, learn, matrix, sizes, usable, with_codes
 
 MISS = 1e-5
 EDGE = 1e-6
@@ -39,7 +39,7 @@ NEAR_SD = 7.0
 
 def _shape(n: int, angle: float) -> tuple[int, int]:
     """Bits of a substring and number of tables for n rows."""
-    sub = min(24, max(12, math.ceil(math.log2(max(2, n))) - 2))
+    sub = min(32, max(12, math.ceil(math.log2(max(2, n))) - 2))
     meet = (1 - angle / math.pi) ** sub
     return sub, math.ceil(math.log(MISS) / math.log(1 - meet))
 
@@ -50,8 +50,13 @@ def _bits_within(angle: float) -> int:
     return math.ceil(256 * p + NEAR_SD * math.sqrt(256 * p * (1 - p)))
 
 
-def _hamming(a: str, b: str) -> F.Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(4)), F.lit(0))
+def _hamming(other: str) -> F.Column:
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{other}{c}"))) for c in CODE), F.lit(0))
+
+
+def _least(prefix: str) -> list[F.Column]:
+    """The least vec_id of a group, and its code, in plain numbers, so that the aggregation hashes and never sorts."""
+    return [F.min("vec_id").alias(f"{prefix}id"), *[F.min_by(c, "vec_id").alias(f"{prefix}{c}") for c in CODE]]
 
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +92,21 @@ def _linked(rows: DataFrame, n: int, angle: float, cosine: float) -> DataFrame:
         return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, c double")
 
     # balls: members near the least vector that they meet in a table
-    meets = coded.select("vec_id", "code", F.explode("subs").alias("t"))
-    hubs = meets.groupBy("t").agg(F.min(F.struct("vec_id", "code")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = meets.join(hubs, "t").select(F.col("vec_id").alias("a"), F.col("hub.vec_id").alias("b"), "code", F.col("hub.code").alias("other"))
-    star = star.where("a <> b").where(_hamming("code", "other") <= _bits_within(angle)).select("a", "b").distinct()
+    meets = coded.select("vec_id", *CODE, F.explode("subs").alias("t"))
+    hubs = meets.groupBy("t").agg(*_least("h_"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = meets.join(hubs.hint("shuffle_hash"), "t").where("vec_id <> h_id").where(_hamming("h_") <= _bits_within(angle))
+    star = star.select(F.col("vec_id").alias("a"), F.col("h_id").alias("b")).distinct()
     inner = cut(measured(star).where(F.acos(F.least("c", F.lit(1.0))) <= angle / 2 - EDGE))
     pivots = inner.join(inner.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
     held = pivots.groupBy("a").agg(F.min(F.struct("b", "c")).alias("x")).select(F.col("a").alias("vec_id"), F.col("x.b").alias("ball"), F.col("x.c").alias("c"))
-    member = cut(coded.select("vec_id", "code", "subs").join(held, "vec_id", "left").select("vec_id", F.coalesce("ball", "vec_id").alias("ball"), F.coalesce("c", F.lit(1.0)).alias("c"), "code", "subs"))
+    member = cut(coded.join(held, "vec_id", "left").select("vec_id", F.coalesce("ball", "vec_id").alias("ball"), F.coalesce("c", F.lit(1.0)).alias("c"), *CODE, "subs"))
     balls = cut(member.groupBy("ball").agg(F.count("*").alias("size"), F.max(F.acos(F.least("c", F.lit(1.0)))).alias("r")))
 
     # balls that meet in a table
-    seen = member.select("vec_id", "ball", "code", F.explode("subs").alias("t"))
-    one = seen.groupBy("t", "ball").agg(F.min(F.struct("vec_id", "code")).alias("x")).select("t", "ball", F.col("x.code").alias("code"))
-    x, y = one.select("t", F.col("ball").alias("a"), "code"), one.select("t", F.col("ball").alias("b"), F.col("code").alias("other"))
-    close = x.join(y, "t").where("a < b").where(_hamming("code", "other") <= _bits_within(2 * angle)).select("a", "b").distinct()
+    seen = member.select("vec_id", "ball", *CODE, F.explode("subs").alias("t"))
+    x = seen.groupBy("t", "ball").agg(*_least("")).select("t", F.col("ball").alias("a"), *CODE)
+    y = x.toDF("t", "b", *[f"y_{c}" for c in CODE])
+    close = x.join(y, "t").where("a < b").where(_hamming("y_") <= _bits_within(2 * angle)).select("a", "b").distinct()
     ra = balls.select(F.col("ball").alias("a"), F.col("size").alias("na"), F.col("r").alias("ra"))
     rb = balls.select(F.col("ball").alias("b"), F.col("size").alias("nb"), F.col("r").alias("rb"))
     gap = F.acos(F.greatest(F.lit(-1.0), F.least("c", F.lit(1.0))))
