@@ -43,32 +43,38 @@ _HALF = np.log(0.5)
 
 
 # --------------------------------------------------------------------------- streams
-def stream(block: Block) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Gram codes (context bytes and the byte itself lowest) of every byte scored, its doc, and the words."""
+def stream(block: Block, part: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Gram codes (context bytes and the byte itself lowest) of every byte scored, its doc, the words, and each doc's bytes.
+
+    With part, a table from the last two context bytes to a part's number and one number, only the codes of that part.
+    """
     s, e, doc = block.words()
     width = e - s + 1
     size = np.full(block.n, DEPTH + 1, np.int64)
     size += np.bincount(doc, width, block.n).astype(np.int64)
     begin = np.zeros(block.n + 1, np.int64)
     np.cumsum(size, out=begin[1:])
+    total = int(begin[-1])
     before = np.cumsum(width) - width
     out_at = before + doc * (DEPTH + 1) + DEPTH
-    z = np.full(begin[-1], 32, U64)
-    src = np.flatnonzero(WORD[block.data])
-    z[src + np.repeat(out_at - s, e - s)] = LOWER[block.data[src]]
+    z = np.full(total + 8, 32, np.uint8)
+    word = WORD[block.data]
+    z[np.flatnonzero(word) + np.repeat(out_at - s, e - s)] = LOWER[block.data[word]]
     z[begin[1:] - 1] = 10
     for k in range(DEPTH):
         z[begin[:-1] + k] = 10
-    code = z[: len(z) - DEPTH].copy()
-    for k in range(1, DEPTH + 1):
-        code <<= U64(8)
-        code |= z[k : len(z) - DEPTH + k]
-    of = np.repeat(np.arange(block.n), size)[DEPTH:]
-    real = np.ones(len(code), bool)
+    n = total - DEPTH
+    keep = np.ones(n, bool)
     for k in range(DEPTH):  # windows that begin in one text and end in the next one's padding
-        at = begin[1:-1] - DEPTH + k
-        real[at] = False
-    return code[real], of[real], (s, e, doc)
+        keep[begin[1:-1] - DEPTH + k] = False
+    if part is not None:
+        last = np.ndarray(n, ">u2", z.data, DEPTH - 2, (1,))
+        keep &= part[0][last] == part[1]
+    at = np.flatnonzero(keep)
+    # six bytes from each place on, read as one number
+    code = np.ndarray(n, ">u8", z.data, 0, (1,))[at].astype(U64) >> U64(16)
+    of = np.repeat(np.arange(block.n, dtype=np.int32), size)[at + DEPTH]
+    return code, of, (s, e, doc), size - DEPTH
 
 
 def _word_keys(block: Block, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -92,7 +98,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for block in blocks(batch.column("text")):
-            code, _, (s, e, _) = stream(block)
+            code, _, (s, e, _), _ = stream(block)
             for kind, keys in ((0, np.append(_word_keys(block, s, e), np.full(block.n, END_KEY, U64))), (1, code)):
                 k, c = np.unique(keys, return_counts=True)
                 held[kind].append((k, c))
@@ -231,15 +237,16 @@ def _bit_logs(code: np.ndarray, nodes: np.ndarray, odds: np.ndarray) -> np.ndarr
     return out / np.log(10)
 
 
-def _route(code: np.ndarray, parts: int) -> np.ndarray:
-    return mix64((code >> U64(8)) & U64(0xFFFF)) % U64(parts)
+def _route(parts: int) -> np.ndarray:
+    """The part of each two last bytes of a context."""
+    return (mix64(np.arange(1 << 16, dtype=U64)) % U64(parts)).astype(np.int32)
 
 
 def _route_col(key: str, parts: int, table_: DataFrame, shift: int) -> DataFrame:
     if parts == 1:
         return table_
     suffix = F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(0xFFFF))
-    lut = np.array(_route(np.arange(1 << 16, dtype=U64) << U64(8), parts)).astype(int).tolist()
+    lut = _route(parts).tolist()
     spark = table_.sparkSession
     part_of = spark.createDataFrame(list(enumerate(lut)), "suffix long, part int")
     return table_.withColumn("suffix", suffix.cast("long")).join(F.broadcast(part_of), "suffix").drop("suffix")
@@ -299,6 +306,7 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if parts > 1:
         source = cut(source)
+    lut = _route(parts)
     scored = []
     for p in range(parts):
         pick = (lambda t: t) if parts == 1 else (lambda t: t.where(F.col("part") == p))  # noqa: B023
@@ -308,11 +316,7 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
         def run(batches: Iterator[pa.RecordBatch], model=model, top_words=top_words, p=p) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in blocks(batch.column("text")):
-                    code, of, (s, e, doc) = stream(block)
-                    size = np.bincount(of, minlength=block.n)
-                    if parts > 1:
-                        own = _route(code, parts) == U64(p)
-                        code, of = code[own], of[own]
+                    code, of, (s, e, doc), size = stream(block, None if parts == 1 else (lut, p))
                     share = np.bincount(of, log_bytes(code, model.value), block.n).astype(np.float64)
                     n = np.bincount(doc, minlength=block.n) + 1
                     zeros = np.zeros(block.n)
