@@ -33,7 +33,7 @@ def cut(df: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
     if by:
         df = df.repartition(parts, *by) if parts else df.repartition(*by)
     path = f"{work_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
