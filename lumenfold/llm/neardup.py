@@ -7,9 +7,10 @@ sets. At a similarity of exactly 0.8 a pair shares no band with probability 3e-6
 
 Equal sets, by a BLAKE2b digest of the whole sorted set, are one class from the start. Within a band, members are first compared with its hub,
 the member of the smallest doc_id, so a large group of copies costs at most one comparison a
-member and band. Then candidate pairs that are still in different components are compared: pair by pair in
-bands of at most SMALL members, and side by side, SIDE texts against SIDE texts in one task, in
-groups of texts that larger bands connect. Components therefore are those of all linked candidates.
+member and band. Then candidate pairs that are still in different components are compared. Which pairs
+are compared does not depend on sizes, only how: bands of at most SMALL members pair by pair, and
+texts that larger bands connect side by side, SIDE against SIDE in one task, where a pair counts if
+it shares a band. Components therefore are those of all linked candidates.
 
 Defined results: null texts and texts without words have no shingles, link with nothing and are
 kept as their own component; a text of fewer words than a shingle is one shingle; a null doc_id
@@ -140,6 +141,7 @@ def _compare(words: int, percent: int):
             sets.append(x)
             size.append(np.diff(st))
         n = np.concatenate(size)
+        band = np.stack([np.asarray(x) for x in t["bands"].to_numpy()])
         doc = np.repeat(np.arange(len(n)), n)
         _, col, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         several = freq[col] > 1
@@ -152,6 +154,8 @@ def _compare(words: int, percent: int):
             m[doc[here], col[here] - at] = 1
             both += m[a] @ m[b].T
         i, j = np.nonzero((both > 0) & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
+        meet = (band[a[i]] == band[b[j]]).any(axis=1)
+        i, j = i[meet], j[meet]
         root = np.arange(len(n))
         keep = []
 
@@ -210,8 +214,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     group = connected_components(meet)
     size = group.groupBy("comp").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides"))
     dealt = group.join(size, "comp").withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    dealt = dealt.join(classes.select(F.col("rep").alias("node"), "bands"), "node")
     dealt = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node").withColumn("other", F.explode(F.expr("sequence(0, sides - 1)")))
-    dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.col("node").alias("doc_id"), "text")
+    dealt = dealt.select("comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", F.col("node").alias("doc_id"), "bands", "text")
     more = cut(more.unionByName(dealt.groupBy("comp", "lo", "hi").applyInArrow(_compare(words, percent), "a long, b long")))
     comps = connected_components(edges.unionByName(more))
 
