@@ -16,7 +16,7 @@ from lumenfold.operators import quality as qu
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 from lumenfold.sources import files
-from lumenfold.sources.store import cut, work_dir
+from lumenfold.sources.store import cut, spread, work_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -460,8 +460,8 @@ def summary_rollup(spark, d):
 
 @query(f"with l as ({LINES}), f as (select doc_id, line_number, line_number - row_number() over (partition by doc_id order by line_number) as i from l where line_number % 7 not in (2, 3)) select doc_id, cast(min(line_number) as int) as start_line, cast(max(line_number) as int) as end_line from f group by doc_id, i")
 def uncovered_blocks(spark, d):
-    docs = t(spark, d, "documents")
-    lengths = docs.select("doc_id", F.size(fn.lines("text")).alias("n"))
+    docs = spread(t(spark, d, "documents").select("doc_id", "text"))
+    lengths = cut(docs.select("doc_id", F.size(fn.lines("text")).alias("n")))
     at = F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("n"))), lambda i: i % 7 == 2)
     spans = lengths.where("n >= 2").select("doc_id", F.explode(at).alias("start_line")).withColumn("end_line", F.col("start_line") + 1)
     return rel.uncovered(lengths.where("n > 0"), spans, "doc_id")

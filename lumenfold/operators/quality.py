@@ -10,6 +10,7 @@ from lumenfold.functions import text as fn
 from lumenfold.operators import parsing
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
+from lumenfold.sources.store import spread
 
 # What a project must hold to, by rule.
 POLICY = {"min_maintainability": 40.0, "max_complexity": 25, "max_issues": 20, "max_dead_code": 15, "max_duplicates": 10, "require_safety_pass": 0}
@@ -23,7 +24,7 @@ def line_counts(files: DataFrame, key: str = "file_path", text: str = "content")
     """(key, n_lines, code, comment, blank), counted inside each row."""
     kinds = F.transform(fn.lines(text), lambda x: fn.line_kind(x))
     of = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(k)
-    return files.where(F.col(text).isNotNull()).select(key, kinds.alias("kinds")).select(key, F.size("kinds").cast("long").alias("n_lines"), of("code"), of("comment"), of("blank"))
+    return spread(files.where(F.col(text).isNotNull()).select(key, text)).select(key, kinds.alias("kinds")).select(key, F.size("kinds").cast("long").alias("n_lines"), of("code"), of("comment"), of("blank"))
 
 
 def file_metrics(files: DataFrame, symbols: DataFrame, complexity: Column | None = None) -> DataFrame:

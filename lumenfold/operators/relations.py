@@ -274,10 +274,11 @@ def uncovered(lengths: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
     Gaps between the spans in order, so no line is a row of its own: each span tells how far those before it reach.
     """
-    ends = lengths.select(key, (F.col("n") + 1).alias("start_line"), (F.col("n") + 1).alias("end_line"))
-    every = spans.select(key, "start_line", "end_line").join(lengths.select(key, "n"), key).where("start_line <= n").select(key, "start_line", F.least("end_line", "n").alias("end_line")).unionByName(ends)
+    ends = lengths.select(key, (F.col("n") + 1).alias("start_line"), (F.col("n") + 1).alias("end_line"), "n")
+    every = spans.select(key, "start_line", "end_line", F.lit(None).cast("int").alias("n")).unionByName(ends)
     before = F.max("end_line").over(Window.partitionBy(key).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1))
-    gaps = every.select(key, (F.coalesce(before, F.lit(0)) + 1).alias("a"), (F.col("start_line") - 1).alias("b"))
+    last = F.max("n").over(Window.partitionBy(key))
+    gaps = every.select(key, (F.coalesce(before, F.lit(0)) + 1).alias("a"), F.least(F.col("start_line") - 1, last).alias("b"))
     return gaps.where("a <= b").select(key, F.col("a").alias("start_line"), F.col("b").alias("end_line"))
 
 

@@ -144,7 +144,7 @@ def regex_search(docs: DataFrame, pattern: str, k: int, insensitive: bool = True
     """
     p = ("(?i)" if insensitive else "") + pattern
     start = F.col(first) if first else F.lit(1)
-    rows = docs.select(key, fn.lines(text).alias("lines"), start.cast("int").alias("start"))
+    rows = spread(docs.select(key, text, start.cast("int").alias("start"))).select(key, fn.lines(text).alias("lines"), "start")
     rows = rows if valid_pattern(docs.sparkSession, p) else rows.where("false")
     hits = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull())
     found = rows.select(key, F.transform(hits, lambda i: i + F.col("start")).alias("matched_lines"), "start")
@@ -160,7 +160,7 @@ def grep(docs: DataFrame, pattern: str, invert: bool = False, word: bool = False
     p = ("(?i)" if insensitive else "") + (rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])" if word else pattern)
     docs = docs if valid_pattern(docs.sparkSession, p) else docs.where("false")
     hit = lambda x: ~x.rlike(p) if invert else x.rlike(p)
-    rows = docs.select(key, fn.lines(text).alias("lines"))
+    rows = spread(docs.select(key, text)).select(key, fn.lines(text).alias("lines"))
     rows = rows.select(key, "lines", F.filter(F.transform("lines", lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull()).alias("hits")).where(F.size("hits") > 0)
     if per_key is not None:
         rows = rows.withColumn("hits", F.slice("hits", 1, per_key))

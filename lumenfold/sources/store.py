@@ -63,6 +63,8 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files give fewer tasks than there are, for work that costs far more than moving the rows."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # asking a shuffled plan for its tasks would run it
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
