@@ -5,8 +5,8 @@ eight binary decisions; for each of the 255 decision nodes a tree over the DEPTH
 holds Krichevsky-Trofimov estimates, mixed over all depths with the weights that the counts of
 all training texts give. A context never seen in training ends the mixture at its parent.
 
-Counts of (DEPTH + 1)-grams of the whole training part meet in one aggregation. Trees are built by
-groups of contexts that end in the same two bytes. The model is scored in parts of at most
+Counts of (DEPTH + 1)-grams of the whole training part meet in one aggregation. Trees are built from
+the bottom by contexts that end in the same three bytes, then two, the top beside the driver. The model is scored in parts of at most
 PART_NODES nodes: a part is broadcast (about 16 bytes a node), and where there are several, each adds
 its share in a pass of its own, so no worker holds more than one part. Word counts for the
 unigram base are broadcast for the TOP_WORDS most frequent words; the rest is a join.
@@ -37,6 +37,7 @@ from .langid import remainder
 
 DEPTH = 5
 PART_NODES = 2_500_000
+GRAMS = 40_000
 TOP_WORDS = 65_536
 END_KEY = 1
 _HALF = np.log(0.5)
@@ -103,14 +104,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k, c = np.unique(keys, return_counts=True)
                 held[kind].append((k, c))
                 size[kind] += len(k)
-                if size[kind] > 1_500_000:
+                if size[kind] > 1_000_000:
                     held[kind] = [_merge(held[kind])]
                     size[kind] = len(held[kind][0][0])
-                    if size[kind] > 1_000_000:
+                    if size[kind] > 750_000:
                         yield from flush(kind)
         tidy()
     yield from flush(0)
     yield from flush(1)
+    tidy()
 
 
 # --------------------------------------------------------------------------- trees
@@ -164,27 +166,78 @@ def _depth_key(keys: np.ndarray, depth: int) -> np.ndarray:
     return keys | U64(depth << 56)
 
 
-def _grow(t: pa.Table) -> pa.Table:
-    """Nodes of depths 2 to DEPTH of one group: the mixture from depth 2 on, as a probability of one."""
-    gram, n = t["key"].to_numpy().view(U64), t["n"].to_numpy()
-    levels = [_nodes(gram, n, d) for d in range(2, DEPTH + 1)]
-    weights = _weigh(levels, 2)
+def grow(gram: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Nodes of depths 3 to DEPTH over all grams of some three-byte endings: the mixture from depth 3 on, as a probability of one.
+
+    Nodes of depth 3 also have their counts and weighted probability.
+    """
+    levels = [_nodes(gram, n, d) for d in range(3, DEPTH + 1)]
+    weights = _weigh(levels, 3)
     cols = []
     for i, (keys, n0, n1) in enumerate(levels):
         p = (n1 + 0.5) / (n0 + n1 + 1)
         if i:
-            at = np.searchsorted(levels[i - 1][0], _up(keys, 2 + i))
+            at = np.searchsorted(levels[i - 1][0], _up(keys, 3 + i))
             s, q = s[at], q[at]  # noqa: F821
         else:
             s, q = np.zeros(len(keys)), np.ones(len(keys))
-        here = np.zeros(len(keys), bool) if i else np.ones(len(keys), bool)
-        blank = lambda x: pa.array(x if here.any() else np.zeros(len(x)), mask=~here)  # noqa: B023, E731
-        cols.append(pa.table({"key": _depth_key(keys, 2 + i).view(np.int64), "r": s + q * p, "n0": blank(n0), "n1": blank(n1), "pw": blank(weights[i][0])}))
+        own = lambda x: pa.array(x if i == 0 else np.zeros(len(keys)), pa.float64(), mask=np.full(len(keys), i > 0))  # noqa: B023, E731
+        cols.append(pa.table({"key": _depth_key(keys, 3 + i).view(np.int64), "r": s + q * p, "n0": own(n0), "n1": own(n1), "pw": own(weights[i][0])}))
         w = weights[i][1]
         s, q = s + q * w * p, q * (1 - w)
     return pa.concat_tables(cols)
 
 
+def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """grow() over one partition, which holds whole endings."""
+    held = [(b.column("key").to_numpy().view(U64), b.column("n").to_numpy()) for b in batches if b.num_rows]
+    if held:
+        gram, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        del held
+        out = grow(gram, n).to_batches(max_chunksize=50_000)
+        del gram, n
+        while out:
+            yield out.pop()
+    tidy()
+
+
+def join_ends(t: pa.Table) -> pa.Table:
+    """From depth 3 to depth 2, over whole two-byte endings: nodes of depth 2, and what each node of depth 3 has above it up to there."""
+    keys = t["key"].to_numpy().view(U64) & U64((1 << 56) - 1)
+    n0, n1, pw = (t[c].to_numpy() for c in ("n0", "n1", "pw"))
+    two, back = np.unique(_up(keys, 3), return_inverse=True)
+    a, b, below = (np.bincount(back, x, len(two)) for x in (n0, n1, pw))
+    kt = _log_kt(a, b)
+    whole = np.logaddexp(_HALF + kt, _HALF + below)
+    w, p = np.exp(_HALF + kt - whole), (b + 0.5) / (a + b + 1)
+    none = pa.nulls(len(keys), pa.float64())
+    upper = pa.table({"key": _depth_key(two, 2).view(np.int64), "r": p, "n0": a, "n1": b, "pw": whole, "s": pa.nulls(len(two), pa.float64()), "q": pa.nulls(len(two), pa.float64())})
+    lower = pa.table({"key": keys.view(np.int64), "r": none, "n0": none, "n1": none, "pw": none, "s": (w * p)[back], "q": (1 - w)[back]})
+    return pa.concat_tables([upper, lower])
+
+
+def build(grams: DataFrame) -> DataFrame:
+    """(key, r, n0, n1, pw) of all nodes from depth 2 on, r being the mixture from depth 2 on; counts and pw for depth 2 only.
+
+    Grams are dealt by the last three bytes of their context, about GRAMS of them a task, and each task
+    grows all its trees at once, so that no frequent ending is one task's work. Depth 2 then joins what
+    is left of each ending, at most 256 endings by 255 nodes.
+    """
+    parts = max(grams.sparkSession.sparkContext.defaultParallelism, -(-grams.count() // GRAMS))
+    ending = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFFFF))
+    low = cut(grams.repartition(parts, ending).mapInArrow(_grow, "key long, r double, n0 double, n1 double, pw double"))
+    three = low.where("pw is not null").withColumn("g", F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    ends = cut(three.groupBy("g").applyInArrow(join_ends, "key long, r double, n0 double, n1 double, pw double, s double, q double"))
+    above = ends.where("s is not null").select(F.col("key").alias("at"), "s", "q")
+    full = low.select("key", "r", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at")).join(above, "at")
+    none = F.lit(None).cast("double")
+    rest = full.select("key", (F.col("s") + F.col("q") * F.col("r")).alias("r"), *[none.alias(c) for c in ("n0", "n1", "pw")])
+    nodes = cut(ends.where("s is null").select("key", "r", "n0", "n1", "pw").unionByName(rest))
+    for old in (low, ends):
+        drop_cut(old)
+    return nodes
+
+
 @dataclass
 class Part:
     """One part of the model: log10 of seen grams, and the log odds of one at every node."""
@@ -297,8 +350,7 @@ def score_texts(train: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     most = words.orderBy(F.desc("n"), "key").limit(TOP_WORDS).toArrow()
     word_key, word_n = most["key"].to_numpy().view(U64), most["n"].to_numpy()
 
-    group = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
-    nodes = cut(grams.withColumn("g", group).groupBy("g").applyInArrow(_grow, "key long, r double, n0 double, n1 double, pw double"))
+    nodes = build(grams)
     top = _top(nodes.where("pw is not null").select("key", "n0", "n1", "pw").toArrow())
     parts = max(1, -(-nodes.count() // PART_NODES))
     nodes_at, grams_at = _route_col("key", parts, nodes, 8), _route_col("key", parts, grams, 8)

@@ -250,11 +250,7 @@ def test_scores_are_probabilities(spark):
     block = next(base.blocks(pa.array(["ab ab abc", "b", "é a"])))
     code, *_ = ctw.stream(block)
     k, n = np.unique(code, return_counts=True)
-    parts = []
-    for g in np.unique((k >> np.uint64(8)) & np.uint64(0xFFFF)):
-        on = ((k >> np.uint64(8)) & np.uint64(0xFFFF)) == g
-        parts.append(ctw._grow(pa.table({"key": k[on].view(np.int64), "n": n[on]})))
-    t = pa.concat_tables(parts)
+    t = ctw.build(spark.createDataFrame([(int(x), int(c)) for x, c in zip(k.view(np.int64), n)], "key long, n long")).toArrow()
     k0, p0, k1, r1, two, s2, q2 = ctw._top(t.filter(pa.compute.is_valid(t["pw"])).select(["key", "n0", "n1", "pw"]))
     key, r = t["key"].to_numpy().view(np.uint64), t["r"].to_numpy()
     at = np.searchsorted(two, key & np.uint64((1 << 24) - 1))
