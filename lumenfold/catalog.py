@@ -520,11 +520,11 @@ def vector_topk_batch(spark, d):
 
 @query()
 def ivf_topk(spark, d):
-    """vector_topk from cells: the ten nearest cells are read."""
+    """vector_topk from cells: as many of the nearest cells are read as a measured recall asks for."""
     v = t(spark, d, "embeddings")
     q = v.where("vec_id = 0").select("embedding").first()[0]
     centres = ix.fit_cells(v, 32)
-    near = v.withColumn("cell", ix.cell_of("embedding", centres)).where(F.col("cell").isin(ix.nearest_cells(q, centres, 10)))
+    near = v.withColumn("cell", ix.cell_of("embedding", centres)).where(F.col("cell").isin(ix.nearest_cells(q, centres, ix.probes_needed(v, centres))))
     return se.vector_top(near, q, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 

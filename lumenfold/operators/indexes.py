@@ -62,6 +62,19 @@ def nearest_cells(q: list[float], centres: np.ndarray, probes: int = PROBES) ->
     return np.argsort(-score)[:probes].tolist()
 
 
+def probes_needed(vectors: DataFrame, centres: np.ndarray, recall: float = 0.95, k: int = 10, vector: str = "embedding", sample: int = 4096, asked: int = 128) -> int:
+    """How many cells a query must visit for this recall, measured on a sample of rows of which some are queries."""
+    rows = vectors.orderBy(F.xxhash64(vector)).limit(sample).select(vector).collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    q = x[:asked]
+    near = np.argsort(-(q @ x.T), axis=1)[:, :k]
+    cell = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+    order = np.argsort(-(q @ centres.T - (centres**2).sum(axis=1) / 2), axis=1)
+    place = np.argsort(order, axis=1)  # of each cell among those that a query visits
+    at = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1 if len(at) else 1
+
+
 def hashed_neighbours(vectors: DataFrame, q: list[float], k: int, key: str = "vec_id", vector: str = "embedding", width: float = 1.0, tables: int = 8, seed: int = 1) -> DataFrame:
     """(key, score) of the k nearest found by random projections of unit vectors, scored exactly."""
     unit = F.transform(vector, lambda x: x.cast("double"))
@@ -103,11 +116,15 @@ class VectorIndex:
         """Fits the cells anew and rewrites the vectors by them."""
         rows = self.load()
         centres = fit_cells(rows, cells)
-        self.tables.save("centres", self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "i int, c array<double>"))
+        need = max(PROBES, probes_needed(rows, centres))
+        self.tables.save("centres", self.spark.createDataFrame([(i, c.tolist(), need) for i, c in enumerate(centres)], "i int, c array<double>, probes int"))
         return self.tables.save("vectors", rows.drop("cell").withColumn("cell", cell_of("embedding", centres)).repartition("cell"), "cell")
 
-    def search(self, q: list[float], k: int = 10, probes: int = PROBES) -> DataFrame:
+    def search(self, q: list[float], k: int = 10, probes: int | None = None) -> DataFrame:
+        """The k best of the cells visited: of as many as the recall measured when they were built asks for, or of `probes`."""
         rows, centres = self.load(), self.centres()
+        if centres is not None and probes is None:
+            probes = self.tables.load("centres").first().probes
         if rows is None:
             return self.spark.createDataFrame([], f"{self.key} string, score double")
         if centres is not None:
