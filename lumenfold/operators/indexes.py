@@ -101,8 +101,8 @@ class VectorIndex:
         rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("float")))
         centres = self.centres()
         if centres is not None:
-            return self.tables.append("vectors", rows.withColumn("cell", cell_of("embedding", centres)))
-        out = self.tables.append("vectors", rows.withColumn("cell", F.lit(0)))
+            return self.tables.append("vectors", rows.withColumn("cell", cell_of("embedding", centres)), "cell")
+        out = self.tables.append("vectors", rows.withColumn("cell", F.lit(0)), "cell")
         return self.build_cells() if out.count() >= CELLS_FROM else out
 
     def load(self) -> DataFrame | None:
@@ -175,14 +175,16 @@ class KeywordIndex:
         return se.top(se.bm25_postings(post, self.tables.load("lengths"), stats.n, stats.average, query, self.key), k, self.key)
 
     def add(self, docs: DataFrame, text: str = "text") -> "KeywordIndex":
-        """Documents replace those of their keys."""
+        """Documents replace those of their keys; where all keys are new nothing is rewritten."""
         if self.tables.load("postings") is None:
             return self.build(docs, text)
-        self.remove(docs.select(self.key))
+        fresh = docs.select(self.key).distinct()
+        if not self.tables.load("lengths").join(fresh, self.key, "left_semi").isEmpty():
+            self.remove(fresh)
         post = cut(se.postings(docs, self.key, text))
-        self.tables.append("lengths", docs.select(self.key).distinct().join(post.groupBy(self.key).agg(F.sum("tf").alias("dl")), self.key, "left").fillna(0, ["dl"]))
-        old = self.tables.load("postings").unionByName(post.withColumn("b", F.pmod(F.crc32("tok"), F.lit(BUCKETS)).cast("int")))
-        self.tables.save("postings", old.repartition("b").sortWithinPartitions("b", "tok"), "b")
+        self.tables.append("lengths", fresh.join(post.groupBy(self.key).agg(F.sum("tf").alias("dl")), self.key, "left").fillna(0, ["dl"]))
+        rows = post.withColumn("b", F.pmod(F.crc32("tok"), F.lit(BUCKETS)).cast("int"))
+        self.tables.append("postings", rows.repartition("b").sortWithinPartitions("b", "tok"), "b")
         return self._count()
 
     def remove(self, gone: DataFrame) -> None:

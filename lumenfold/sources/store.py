@@ -95,13 +95,13 @@ class Tables:
             delete(self.spark, f"{self.root}/{name}/v={old}")
         return self.spark.read.parquet(path)
 
-    def append(self, name: str, df: DataFrame) -> DataFrame:
-        """New rows beside the present version's files; nothing is rewritten."""
+    def append(self, name: str, df: DataFrame, *partition: str) -> DataFrame:
+        """New rows beside the present version's files; nothing is rewritten. partition is that of the table."""
         have = self._versions(name)
         if not have:
-            return self.save(name, df)
+            return self.save(name, df, *partition)
         path = f"{self.root}/{name}/v={have[-1]}"
-        df.write.mode("append").parquet(path)
+        (df.write.partitionBy(*partition) if partition else df.write).mode("append").parquet(path)
         return self.spark.read.parquet(path)
 
     def upsert(self, name: str, fresh: DataFrame, *key: str, gone: DataFrame | None = None) -> DataFrame:

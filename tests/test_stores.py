@@ -53,7 +53,8 @@ def test_vector_index(spark, tmp_path, monkeypatch):
     assert ix.search([1.0, 0, 0, 0]).count() == 0
     ix.add(make(range(20)))
     assert ix.centres() is None and ix.search(vec(3), 1).first().score >= sum(x * x for x in vec(3)) - 1e-6
-    ix.add(make(range(20, 50)))
+    ix.add(make(range(20, 45)))
+    ix.add(make(range(45, 50)))
     assert ix.centres() is not None and ix.search(vec(3), 5, probes=4).count() == 5
     with pytest.raises(ValueError):
         ix.add(spark.createDataFrame([("bad", "f", [1.0])], "key string, file_path string, embedding array<double>"))
@@ -69,7 +70,9 @@ def test_keyword_index(spark, tmp_path):
     assert [r.doc_id for r in ix.search("dog").collect()] == [2]
     ix.add(spark.createDataFrame([(2, "a bird"), (4, "dog dog")], "doc_id long, text string"))
     assert [r.doc_id for r in ix.search("dog").collect()] == [4] and ix.num_docs() == 4
-    ix.remove(spark.createDataFrame([(4,)], "doc_id long"))
+    ix.add(spark.createDataFrame([(5, "dog")], "doc_id long, text string"))
+    assert [r.doc_id for r in ix.search("dog").collect()] == [4, 5] and ix.num_docs() == 5
+    ix.remove(spark.createDataFrame([(4,), (5,)], "doc_id long"))
     assert ix.search("dog").count() == 0 and ix.num_docs() == 3
 
 
