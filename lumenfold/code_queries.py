@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from lumenfold.operators import quality as qu
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 from lumenfold.sources import files
+from lumenfold.sources.store import children, work_dir
 from lumenfold.streaming import jobs
 
 #: The same code with imports, one a supplier in a file by nation, and a native form of each part in another language.
@@ -298,3 +301,74 @@ def open_documents(spark, d):
     event = F.when(F.col("role") == "system", "open").when(F.col("role") == "user", "change").otherwise("close")
     rows = t(spark, d, "conversations").select(F.col("conv_id").alias("uri"), F.col("turn").alias("version"), event.alias("event"), "text")
     return jobs.latest_documents(rows).select("uri", "version", F.md5("text").alias("text_md5"))
+
+
+@query("""select count(*)::int as result_count, max(score)::double as top_score, array_to_string(list_sort(list_distinct(list(lang))), ',') as languages,
+array_to_string(list_distinct_first[1:5], ',') as top_files from (select *, (select list(source order by r) from (select source, min(r) as r from r0 group by 1)) as list_distinct_first from r0) group by list_distinct_first""".replace("r0", f"(select x.doc_id, x.score, d.lang, d.source, row_number() over (order by x.score desc, x.doc_id) as r from (select doc_id, score from ({RX}) order by score desc, doc_id limit 25) x join documents d using (doc_id))"))
+def history_record(spark, d):
+    docs = t(spark, d, "documents")
+    hits = se.regex_search(docs, "th[ei]", 25).select("doc_id", "score").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    rows = se.ranked(hits).select("rank", "score", F.col("source").alias("file_path"), F.col("lang").alias("language"))
+    return hi.query_record(rows, "th[ei]", 0.0).select("result_count", F.col("top_score").cast("double").alias("top_score"), F.array_join("languages", ",").alias("languages"), F.array_join("top_files", ",").alias("top_files"))
+
+
+@query("""with x as (select p_brand, string_agg('--- a/size_' || p_size || '.py' || chr(10) || '+++ b/size_' || p_size || '.py' || chr(10) || '-old' || chr(10) || '+new' || chr(10) || '+' || p_type, chr(10) order by p_partkey) as diff from part group by 1)
+select p_brand, array_to_string(list_sort(list_distinct(regexp_extract_all(diff, '(?m)^\\+\\+\\+ b/(\\S+)', 1))), ',') as files, cast(3 * len(regexp_extract_all(diff, '(?m)^-old')) as int) as changed from x""")
+def diff_files(spark, d):
+    size = F.col("p_size").cast("string")
+    one = _text("--- a/size_", size, ".py\n+++ b/size_", size, ".py\n-old\n+new\n+", F.col("p_type"))
+    rows = t(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", one.alias("x")))), lambda r: r["x"]), "\n").alias("diff"))
+    return rows.select("p_brand", F.array_join(F.sort_array(fn.diff_files("diff")), ",").alias("files"), fn.diff_line_count("diff").cast("int").alias("changed"))
+
+
+NODE = "trim(regexp_replace({x}, '[^A-Za-z0-9_]', '_', 'g'), '_')"
+
+
+@query(f"""{MOD_SQL}, p as ({DEPS}), l as (select distinct '    ' || {NODE.format(x='source_file')} || '["' || source_file || '"] --> ' || {NODE.format(x="regexp_extract(import_text, '[^:]*$')")} || '["' || regexp_extract(import_text, '[^ ]*$') || '"]' as line from p)
+select '---' || chr(10) || 'title: Dependency Graph' || chr(10) || '---' || chr(10) || 'flowchart TD' || chr(10) || string_agg(line, chr(10) order by line) as text from l""")
+def mermaid_dependencies(spark, d):
+    return files.mermaid_dependencies(rel.dependencies(modules(spark, d)))
+
+
+# ----------------------------------------------------------------- streams
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream; the pattern stands for one file or one folder alike, which a plain path would not."""
+    return jobs.watch(spark, f"{d}/{name}.parque[t]", spark.read.parquet(f"{d}/{name}.parquet").schema)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _complete(df: DataFrame) -> DataFrame:
+    """The last state of a streaming aggregation over all there is now; no rows if nothing has come."""
+    spark = df.sparkSession
+    at = _folder(spark)
+    jobs.run_once(df, lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out"), f"{at}/progress", "complete")
+    return spark.read.schema(df.schema).parquet(f"{at}/out") if children(spark, f"{at}/out") else spark.createDataFrame([], df.schema)
+
+
+@query("""with l as (select *, lag(ts) over (partition by user_id order by ts, event_id) as p from events), s as (select *, sum(case when p is null or ts - p >= interval 1 hour then 1 else 0 end) over (partition by user_id order by ts, event_id) as s from l)
+select user_id, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) + 3600000000 as end_us, count(*) as n from s group by user_id, s""")
+def stream_sessions(spark, d):
+    """Sessions of a stream of events, each open for an hour after its last event."""
+    return _complete(jobs.session_counts(_stream(spark, d, "events"), "user_id", "ts")).select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("""with w as (select user_id, unnest([0, 1]) as k, cast(epoch_us(ts) // 1800000000 as bigint) as b, cast(floor(value) as bigint) as tokens from events)
+select user_id, (b - k + 2) * 1800000000 as end_us, count(*) as requests, cast(sum(tokens) as bigint) as tokens from w group by 1, 2""")
+def stream_rates(spark, d):
+    """Requests and tokens of a stream in hours that begin every half hour."""
+    events = _stream(spark, d, "events").withColumn("tokens", F.floor("value"))
+    return _complete(jobs.rate(events, "user_id", "ts", "tokens", "1 hour", "30 minutes", "1 hour")).select("user_id", F.unix_micros("at").alias("end_us"), "requests", "tokens")
+
+
+@query("select doc_id, md5(text) as h from documents where doc_id not in (select doc_id from labels) union all select doc_id, 'quality ' || quality from labels where toxic = 0")
+def stream_index(spark, d):
+    """An index kept by two streams: documents come in, then labels replace their rows or, of toxic ones, delete them."""
+    at = _folder(spark)
+    come = _stream(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), F.lit(False).alias("deleted"))
+    label = _stream(spark, d, "labels").select("doc_id", _text("quality ", F.col("quality").cast("string")).alias("h"), (F.col("toxic") == 1).alias("deleted"))
+    for n, changes in enumerate((come, label)):
+        jobs.keep_index(changes, f"{at}/index", "doc_id", f"{at}/progress{n}").awaitTermination()
+    return jobs.read_index(spark, f"{at}/index", "doc_id").select("doc_id", "h")
