@@ -201,6 +201,18 @@ class Lookup:
         return out
 
 
+def runs(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text index of the maximal runs of bytes of the table `inside`; texts start at offs[:-1]."""
+    w = inside[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offs] = True
+    first, last = w.copy(), w.copy()
+    first[1:] &= ~w[:-1] | edge[1:-1]
+    last[:-1] &= ~w[1:] | edge[1:-1]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(offs, starts, side="right") - 1
+
+
 # --------------------------------------------------------------------------- components
 HOT = 10_000
 
