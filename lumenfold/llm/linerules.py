@@ -5,7 +5,7 @@ A line with a word fails if it breaks one of four rules:
 - punctuation: it doesn't end with closing punctuation (brackets and quotes may follow);
 - navigation: three or more separators of menus and paths, at least one for each six words;
 - boilerplate: it holds a phrase of BOILERPLATE, whatever the case of its letters;
-- markup: more than a tenth of its characters are symbols, or of its 20 or more letters over 80 % are capitals.
+- markup: more than a tenth of its characters are symbols, or it has 20 characters or more and its letters are all capitals.
 
 Lines that fail are taken out. A document is rejected if its own counts fail (too few words, too many
 words in repeated three-word windows) or if more than MOST_LOST % of the characters of its lines with
@@ -22,7 +22,7 @@ pass through, whatever their names, but columns named like the added ones are re
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +36,9 @@ MOST_LOST = 50
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-# closing punctuation, then what may stand behind it
-CLOSED = r"[.!?:;…。！？।۔][\x20\x09-\x0D\"'”’»›)\]}*_]*\z"
-SEPARATOR = r"[|»›>•·/\\]"
+ENDS = ".!?:;…。！？।۔"
+BEHIND = BLANKS + "\"'”’»›)]}*_"
+SEPARATORS = "|»›>•·/\\"
 BOILERPLATE = (
     "javascript", "cookie policy", "use cookies", "privacy policy", "terms of use", "terms of service",
     "all rights reserved", "copyright ©", "licensed under", "lorem ipsum", "click here", "sign up", "log in",
@@ -58,34 +58,55 @@ def words_of(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words stand in a three-word window that occurs more than once. Windows are sorted as text, so equal ones are neighbours."""
-    window = lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))
-    every = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
+    """How many words stand in a three-word window that occurs more than once.
 
-    def again(rows: Column) -> Column:
-        same = lambda x, j: F.coalesce(F.get(rows, j)["w"] == x["w"], F.lit(False))
-        return F.filter(rows, lambda x, j: same(x, j - 1) | same(x, j + 1))
+    Only where two windows have one hash are they sorted by it, which makes equal ones neighbours; then their words are compared.
+    """
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+    def same(x: Column, y: Column) -> Column:
+        equal = x["h"] == y["h"]
+        for k in range(3):
+            equal = equal & (F.get(words, x["i"] + k) == F.get(words, y["i"] + k))
+        return F.coalesce(equal, F.lit(False))
+
+    def places(h: Column) -> Column:
+        every = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        again = let(every, lambda rows: F.filter(rows, lambda x, j: same(x, F.get(rows, j - 1)) | same(x, F.get(rows, j + 1))))
+        return F.sort_array(F.transform(again, lambda x: x["i"]))
 
-    place = F.sort_array(F.transform(let(every, again), lambda x: x["i"]))
     begin = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
     step = lambda s, p: F.struct(p.alias("at"), (s["n"] + F.least(F.lit(3), p - s["at"])).alias("n"))
-    return F.when(F.size(words) >= 4, F.aggregate(place, begin, step, lambda s: s["n"])).otherwise(0)
+    covered = lambda h: F.aggregate(places(h), begin, step, lambda s: s["n"])
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
+
+
+def _holds(text: Column, parts: Iterable[str]) -> Column:
+    found = F.lit(False)
+    for x in parts:
+        found = found | F.contains(text, F.lit(x))
+    return found
+
+
+def _one_of(characters: str) -> str:
+    """The pattern of one of these characters."""
+    return "[" + "".join("\\" + x if x in "\\]^-*$|" else x for x in characters) + "]"
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _count(text: Column, characters: str) -> Column:
+    """How many of these characters text has; without one it is not searched for the others."""
+    return F.when(_holds(text, characters), F.regexp_count(text, F.lit(_one_of(characters)))).otherwise(0)
 
 
 def fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule."""
-    chars, symbols = F.length(line), F.length(line) - F.length(_without(line, SYMBOLS))
-    separators, words = F.regexp_count(line, F.lit(SEPARATOR)), F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    """Whether a line with a word breaks a rule. What costs least is asked first."""
+    last = F.right(F.rtrim(line, F.lit(BEHIND)), F.lit(1))
+    separators = let(_count(line, SEPARATORS), lambda n: (n >= 3) & (n * 6 >= F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))))
+    markup = let(_count(line, SYMBOLS), lambda n: (n > 0) & (n * 10 > F.length(line)))
     low = F.lower(line)
-    phrase = F.lit(False)
-    for x in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(x))
-    letters, capitals = F.length(F.regexp_replace(line, r"\P{L}+", "")), F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
-    return ~F.rlike(line, F.lit(CLOSED)) | ((separators >= 3) & (separators * 6 >= words)) | phrase | (symbols * 10 > chars) | ((letters >= 20) & (capitals * 100 > letters * 80))
+    spoken = let(low, lambda x: _holds(x, BOILERPLATE))
+    shouted = (F.length(line) >= 20) & (F.upper(line) == line) & (low != line)
+    return ~last.isin(*ENDS) | separators | markup | shouted | spoken
 
 
 def measure(text: Column) -> Column:
@@ -93,7 +114,8 @@ def measure(text: Column) -> Column:
     full = F.coalesce(text, F.lit(""))
 
     def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).cast("long").alias("n_repeat_words"))
+        chars = F.length(F.array_join(words, ""))
+        return F.struct(F.size(words).cast("long").alias("n_words"), chars.cast("long").alias("word_chars"), repeated_words(words).cast("long").alias("n_repeat_words"))
 
     def of_lines(lines: Column) -> Column:
         return F.struct(
@@ -103,13 +125,8 @@ def measure(text: Column) -> Column:
             F.filter(lines, lambda x: ~fails(x)).alias("good"),
         )
 
-    lines = F.filter(F.split(full, "\n"), lambda x: F.length(_without(x, BLANKS)) > 0)
-    return F.struct(
-        let(words_of(full), of_words).alias("words"),
-        let(lines, of_lines).alias("lines"),
-        F.length(_without(full, BLANKS)).cast("long").alias("word_chars"),
-        (F.length(full) - F.length(_without(full, SYMBOLS))).cast("long").alias("n_symbols"),
-    )
+    lines = F.filter(F.split(full, "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    return F.struct(let(words_of(full), of_words).alias("words"), let(lines, of_lines).alias("lines"), _count(full, SYMBOLS).cast("long").alias("n_symbols"))
 
 
 def clean(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_lost: int = MOST_LOST) -> DataFrame:
@@ -121,7 +138,7 @@ def clean(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, most_
     n, repeated = m["words"]["n_words"], m["words"]["n_repeat_words"]
     failed = (n < min_words) | (repeated * 100 > n * most_repeated)
     out = rows.select(
-        "_row", F.array_join(m["lines"]["good"], "\n").alias("_clean"), n.alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
+        "_row", F.array_join(m["lines"]["good"], "\n").alias("_clean"), n.alias("n_words"), m["words"]["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"),
         m["lines"]["n_dup_lines"].alias("n_dup_lines"), repeated.alias("n_repeat_words"), failed.alias("base_failed"), m["lines"]["n_lines"].alias("n_lines"),
         (m["lines"]["n_lines"] - F.size(m["lines"]["good"])).alias("removed_lines"), lost.alias("lost_chars"), m["lines"]["line_chars"].alias("line_chars"),
     )
@@ -135,6 +152,8 @@ def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "removed_lines", "lost_chars", F.md5("text").alias("text_md5"))
 
 
+_SYMBOLS, _SEPARATORS = _one_of(SYMBOLS), _one_of(SEPARATORS)
+_BEHIND = r"""[\x20\x09-\x0D"''”’»›)\]}*_]"""
 _PHRASES = " or ".join(f"contains(low, '{x}')" for x in BOILERPLATE)
 OP12_SQL = rf"""
 with docs as (
@@ -150,13 +169,12 @@ line as (
   select r, unnest(range(1, len(l) + 1)) as pos, unnest(l) as line from (select r, string_split(t, chr(10)) as l from docs)),
 judged as (
   select r, pos, line, length(line) as chars, lower(line) as low,
-         length(line) - length(translate(line, '{SYMBOLS}', '')) as symbols,
-         len(regexp_extract_all(line, '{SEPARATOR}')) as separators, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words,
-         length(regexp_replace(line, '\P{{L}}+', '', 'g')) as letters, length(regexp_replace(line, '\P{{Lu}}+', '', 'g')) as capitals
+         len(regexp_extract_all(line, '{_SYMBOLS}')) as symbols,
+         len(regexp_extract_all(line, '{_SEPARATORS}')) as separators, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words
   from line where regexp_matches(line, '[^\x20\x09-\x0D]')),
 marked as (
-  select *, not regexp_matches(line, '{CLOSED.replace("'", "''")}') or (separators >= 3 and separators * 6 >= words) or {_PHRASES}
-            or symbols * 10 > chars or (letters >= 20 and capitals * 100 > letters * 80) as bad
+  select *, not regexp_matches(line, '[{ENDS}]{_BEHIND}*\z') or (separators >= 3 and separators * 6 >= words) or symbols * 10 > chars
+            or (chars >= 20 and upper(line) = line and low <> line) or {_PHRASES} as bad
   from judged),
 per as (
   select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines, count(*) filter (bad) as removed_lines,
@@ -164,7 +182,7 @@ per as (
   from marked group by r),
 counted as (
   select d.doc_id, d.text, len(w) as n_words, length(regexp_replace(t, '{SPACE}', '', 'g')) as word_chars,
-         length(t) - length(translate(t, '{SYMBOLS}', '')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+         len(regexp_extract_all(t, '{_SYMBOLS}')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
          coalesce(n_lines, 0) as n_lines, coalesce(removed_lines, 0) as removed_lines, coalesce(lost, 0) as lost, coalesce(all_chars, 0) as all_chars, good
   from docs d join word using (r) left join per using (r) left join again using (r)),
 based as (select *, n_words < {MIN_WORDS} or n_repeat_words * 100 > n_words * {MOST_REPEATED} as base_failed from counted)
