@@ -7,10 +7,10 @@ next pass counts only phrases whose bucket is set and whose parts, without the f
 word, are both set; what is counted is the phrase itself, so a collision in a bitmap costs a count
 and never changes a result.
 
-Both bitmaps have 2**BITS bits whatever the input. A worker adds up buckets in one byte each (counts
-stop at the least count, which is all that is asked), and their sums are merged by slices of the
-table. Past about ten times as many words as buckets most bits are set; the result stays the same,
-and pruning rests on the frequent parts. Texts are read once a pass, and counts are added up within a
+Both bitmaps have a bucket for each 8 bytes of text, at most 2**MOST_BITS (16 MB of bits). A worker adds
+up buckets in one byte each (counts stop at the least count, which is all that is asked), and their
+sums are merged by slices of the table. Past about ten times as many words as buckets, some 10 GB of
+text, most bits are set; the result stays the same, and pruning rests on the frequent parts. Texts are read once a pass, and counts are added up within a
 block of texts and within a task before they are shuffled.
 
 Defined results: null and empty texts have no words; a null language is `und`; repeated rows count
@@ -33,8 +33,8 @@ from .base import _BYTE, LOWER, U64, Block, Hasher, blocks, cut, drop_cut, mix64
 
 LEAST, MOST_WORDS, TOP = 10, 3, 2000
 INSIDE = 50
-BITS, SLICE = 23, 16
-BLOCK = 4 << 20
+LEAST_BITS, MOST_BITS, SLICE = 16, 27, 16
+BLOCK = 2 << 20
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -211,10 +211,17 @@ def bitmap(parts: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+def table_bits(docs: DataFrame) -> int:
+    """The size of the bucket table for these texts, in bits of a place in it."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length() - 1))
+
+
+def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of phrases of 1 to `most` words that occur `least` times or more, and (lang, n), the words of each language; docs has lang and text."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    bits = bits or table_bits(docs)
     found, totals, known = [], None, None
     for n in range(1, most + 1):
         raw = cut(rows.mapInArrow(_pass(n, known, least, most, bits), _COUNTED))
@@ -238,7 +245,7 @@ def _part(first: int, last: int) -> F.Column:
     return F.array_join(F.slice("w", first, last - first + 1), " ")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, inside: int = INSIDE, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, inside: int = INSIDE, bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to `most` words of each language.
 
     A phrase scores floor(1000000 a a / (l r)) at its weakest cut. Phrases that lie inside a longer
