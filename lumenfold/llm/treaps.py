@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -135,7 +136,7 @@ def _gather(wanted, postings: int):
 def heaps(starts: list[int], key: list[int]) -> tuple[list[int], list[int]]:
     """The children of each posting before and behind it (-1: none) in the treaps of the segments that begin at starts; key is the heap order."""
     down, up = [-1] * len(key), [-1] * len(key)
-    for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
+    for a, b in pairwise([*starts, len(key)]):
         spine: list[int] = []
         for i in range(a, b):
             under = -1
