@@ -7,9 +7,9 @@ next pass counts only phrases whose bucket is set and whose parts, without the f
 word, are both set; what is counted is the phrase itself, so a collision in a bitmap costs a count
 and never changes a result.
 
-Both bitmaps have a bucket for each 8 bytes of text, at most 2**MOST_BITS (16 MB of bits). A worker adds
+Both bitmaps have a bucket for each 16 bytes of text, at most 2**MOST_BITS (16 MB of bits). A worker adds
 up buckets in one byte each (counts stop at the least count, which is all that is asked), and their
-sums are merged by slices of the table. Past about ten times as many words as buckets, some 10 GB of
+sums are merged by slices of the table. Past about ten times as many words as buckets, some 20 GB of
 text, most bits are set; the result stays the same, and pruning rests on the frequent parts. Texts are read once a pass, and counts are added up within a
 block of texts and within a task before they are shuffled.
 
@@ -102,12 +102,14 @@ class Buckets:
         at, n = np.unique(place(h, self.bits), return_counts=True)
         self.n[at] = np.minimum(self.n[at] + n, self.least)
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self) -> Iterator[pa.RecordBatch]:
         step = 1 << min(SLICE, self.bits)
         full = [i for i in range(0, len(self.n), step) if self.n[i : i + step].any()]
-        none = pa.nulls(len(full))
-        cols = [none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([i // step for i in full], pa.int32()), pa.array([self.n[i : i + step].tobytes() for i in full], pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "n", "slice", "counts"])
+        for k in range(0, len(full), 32):
+            some = full[k : k + 32]
+            none = pa.nulls(len(some))
+            cols = [none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array([i // step for i in some], pa.int32()), pa.array([self.n[i : i + step].tobytes() for i in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "n", "slice", "counts"])
 
 
 def place(h: np.ndarray, bits: int) -> np.ndarray:
@@ -161,7 +163,7 @@ def _pass(n: int, known, least: int, most: int, bits: int):
                     yield _counts(pa.array(list(totals), pa.string()), pa.array([""] * len(totals), pa.string()), np.array(list(totals.values()), np.int64))
             tidy()
         if longer is not None:
-            yield longer.rows()
+            yield from longer.rows()
 
     return run
 
@@ -182,7 +184,7 @@ def _known(least: int, n: int, bits: int):
                 p = Phrases(block, seed[block.first : block.first + block.n])
                 p.up_to(n)
                 out.n[place(p.h[n - 1][p.valid[n - 1]], bits)] = least
-        yield out.rows()
+        yield from out.rows()
 
     return run
 
@@ -214,7 +216,7 @@ def bitmap(parts: DataFrame, least: int, bits: int) -> np.ndarray:
 def table_bits(docs: DataFrame) -> int:
     """The size of the bucket table for these texts, in bits of a place in it."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return min(MOST_BITS, max(LEAST_BITS, (size // 8).bit_length() - 1))
+    return min(MOST_BITS, max(LEAST_BITS, (size // 16).bit_length() - 1))
 
 
 def frequent(docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
