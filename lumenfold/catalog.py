@@ -83,6 +83,37 @@ def bm25_stored(spark, d):
     return index.search("the and que", 10).select("doc_id", F.round("score", 4).alias("score"))
 
 
+# clause frequencies of each document (a phrase: how many places it begins at) and BM25 over them
+TOKEN_LISTS = r"d as (select doc_id, list_transform(regexp_extract_all(text, '[a-z]+|[A-Z][a-z]*|[0-9]+'), lambda x: lower(x)) as t from documents)"
+AT = "len(list_filter(range(1, len(t) - {m} + 2), lambda i: t[i:i + {m} - 1] = [{p}]))"
+
+
+def _clause_sql(wanted: list[str], where: str, never: tuple[str, ...] = ()) -> str:
+    """The score of documents that meet `where` over f0, f1, ...: how often each phrase of wanted, then of never, occurs."""
+    count = [AT.format(m=len(c.split()), p=", ".join(f"'{x}'" for x in c.split())) for c in (*wanted, *never)]
+    dfs = ", ".join(f"count(*) filter (f{i} > 0) as df{i}" for i in range(len(wanted)))
+    part = " + ".join(f"case when f{i} > 0 then ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * f{i} * 2.5 / (f{i} + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) else 0 end" for i in range(len(wanted)))
+    rows = ", ".join(f"coalesce({x}, 0) as f{i}" for i, x in enumerate(count))
+    return f"""{TOKEN_LISTS}, f as (select doc_id, coalesce(len(t), 0) as dl, {rows} from d),
+st as (select count(*) as n, avg(dl)::double as avgdl, {dfs} from f), hit as (select doc_id, ({part})::double as score from f, st where {where})"""
+
+
+def _words(spark, d) -> ix.KeywordIndex:
+    return ix.KeywordIndex(spark, f"{work_dir(spark)}/words-{uuid.uuid4().hex}").build(t(spark, d, "documents"))
+
+
+@query(f"with {_clause_sql(['of the', 'and'], 'f0 > 0 or f1 > 0')} select doc_id, round(score, 4) as score from hit order by hit.score desc, doc_id limit 25")
+def bm25_phrase(spark, d):
+    """The best documents for a phrase and a word, from stored postings with positions."""
+    return _words(spark, d).search('"of the" and', 25).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(f"with {_clause_sql(['the', 'in the', 'and', 'que la'], 'f0 > 0 and f4 = 0 and f5 = 0', ('was', 'to be'))} select doc_id, round(score, 4) as score from hit")
+def bm25_boolean(spark, d):
+    """Every document that meets a boolean query with phrases and exclusions."""
+    return _words(spark, d).matches('+the "in the" and "que la" -was NOT "to be"').select("doc_id", F.round("score", 4).alias("score"))
+
+
 @query(f"with {BM25} select doc_id, round(score, 4) as score from bm order by bm.score desc, doc_id limit 10")
 def bm25_topk(spark, d):
     return se.top(_bm25(spark, d), 10).select("doc_id", F.round("score", 4).alias("score"))

@@ -8,14 +8,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as fn
+from lumenfold.operators import positions
 from lumenfold.operators import search as se
-from lumenfold.sources.store import Tables, cut
+from lumenfold.sources.store import Tables, cut, drop_cut
 
 # From how many vectors on an index is cut into cells, how many, and how many a query visits.
 CELLS_FROM, CELLS, PROBES = 50_000, 100, 10
@@ -75,19 +75,6 @@ def probes_needed(vectors: DataFrame, centres: np.ndarray, recall: float = 0.95,
     return int(at[min(len(at) - 1, int(np.ceil(recall * len(at))) - 1)]) + 1 if len(at) else 1
 
 
-def hashed_neighbours(vectors: DataFrame, q: list[float], k: int, key: str = "vec_id", vector: str = "embedding", width: float = 1.0, tables: int = 8, seed: int = 1) -> DataFrame:
-    """(key, score) of the k nearest found by random projections of unit vectors, scored exactly."""
-    unit = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.where(norm > 0).select(key, vector, array_to_vector(F.transform(unit, lambda x: x / norm)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(rows)
-    from pyspark.ml.linalg import Vectors
-
-    size = float(np.linalg.norm(q)) or 1.0
-    near = model.approxNearestNeighbors(rows, Vectors.dense([x / size for x in q]), k)
-    return near.select(key, dots(vector, q).alias("score")).orderBy(F.desc("score"), key)
-
-
 class VectorIndex:
     """Rows (key, file_path, ..., embedding) of one dimension; from CELLS_FROM rows on they are kept by cell, and a search reads the nearest cells only."""
 
@@ -140,16 +127,20 @@ class VectorIndex:
 
 # ----------------------------------------------------------------- words
 class KeywordIndex:
-    """Postings by token bucket, text lengths and corpus statistics; a search reads the buckets of its tokens."""
+    """Postings with positions by token bucket, text lengths and corpus statistics; a search reads the buckets of its tokens alone."""
 
     def __init__(self, spark: SparkSession, root: str, key: str = "doc_id"):
         self.tables, self.key, self.spark = Tables(spark, root), key, spark
 
+    def _laid_out(self, post: DataFrame) -> DataFrame:
+        return post.withColumn("b", F.pmod(F.crc32("tok"), F.lit(BUCKETS)).cast("int")).repartition("b").sortWithinPartitions("b", "tok")
+
+    def _lengths(self, keys: DataFrame, post: DataFrame) -> DataFrame:
+        return keys.select(self.key).distinct().join(post.groupBy(self.key).agg(F.first("dl").cast("long").alias("dl")), self.key, "left").fillna(0, ["dl"])
+
     def build(self, docs: DataFrame, text: str = "text") -> "KeywordIndex":
-        post = cut(se.postings(docs, self.key, text))
-        lengths = docs.select(self.key).distinct().join(post.groupBy(self.key).agg(F.sum("tf").alias("dl")), self.key, "left").fillna(0, ["dl"])
-        self.tables.save("lengths", lengths)
-        self.tables.save("postings", post.withColumn("b", F.pmod(F.crc32("tok"), F.lit(BUCKETS)).cast("int")).repartition("b").sortWithinPartitions("b", "tok"), "b")
+        self.tables.save("postings", self._laid_out(positions.postings(docs, self.key, text)), "b")
+        self.tables.save("lengths", self._lengths(docs, self.tables.load("postings")))
         return self._count()
 
     def _count(self) -> "KeywordIndex":
@@ -168,11 +159,16 @@ class KeywordIndex:
         held = self.tables.load("corpus")
         return 0 if held is None else held.first().n
 
-    def search(self, query: str, k: int = 10) -> DataFrame:
-        stats = self.tables.load("corpus").first()
-        wanted = sorted({zlib.crc32(t.encode()) % BUCKETS for t in se.query_terms(query)})
+    def matches(self, query: str) -> DataFrame:
+        """(key, score) of every document that meets a query of words, "phrases", AND, OR, NOT, + and - (positions.clauses)."""
+        asked, stats = positions.clauses(query), self.tables.load("corpus").first()
+        wanted = sorted({zlib.crc32(t.encode()) % BUCKETS for t in asked.tokens()})
         post = self.tables.load("postings").where(F.col("b").isin(wanted))
-        return se.top(se.bm25_postings(post, self.tables.load("lengths"), stats.n, stats.average, query, self.key), k, self.key)
+        return positions.matches(post, asked, stats.n, stats.average or 1.0, self.key)
+
+    def search(self, query: str, k: int = 10) -> DataFrame:
+        """The k best of them."""
+        return se.top(self.matches(query), k, self.key)
 
     def add(self, docs: DataFrame, text: str = "text") -> "KeywordIndex":
         """Documents replace those of their keys; where all keys are new nothing is rewritten."""
@@ -181,10 +177,10 @@ class KeywordIndex:
         fresh = docs.select(self.key).distinct()
         if not self.tables.load("lengths").join(fresh, self.key, "left_semi").isEmpty():
             self.remove(fresh)
-        post = cut(se.postings(docs, self.key, text))
-        self.tables.append("lengths", fresh.join(post.groupBy(self.key).agg(F.sum("tf").alias("dl")), self.key, "left").fillna(0, ["dl"]))
-        rows = post.withColumn("b", F.pmod(F.crc32("tok"), F.lit(BUCKETS)).cast("int"))
-        self.tables.append("postings", rows.repartition("b").sortWithinPartitions("b", "tok"), "b")
+        post = cut(positions.postings(docs, self.key, text))
+        self.tables.append("lengths", self._lengths(fresh, post))
+        self.tables.append("postings", self._laid_out(post), "b")
+        drop_cut(post)
         return self._count()
 
     def remove(self, gone: DataFrame) -> None:
@@ -193,6 +189,10 @@ class KeywordIndex:
             self.tables.save(name, self.tables.load(name).join(gone, self.key, "left_anti"), *by)
         self._count()
 
+    def drop(self) -> None:
+        for name in ("postings", "lengths", "corpus"):
+            self.tables.drop(name)
+
 
 # ----------------------------------------------------------------- digests
 class DigestStore:

@@ -27,7 +27,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return toks.groupBy(key, F.lower("t").alias("tok")).agg(F.count("*").alias("tf"))
 
 
-def _score(tf, df, n: float, length, average: float) -> Column:
+def bm25_score(tf, df, n: float, length, average: float) -> Column:
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
@@ -48,26 +48,11 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
     rows = cut(toks.select(key, F.size("toks").alias("dl"), *[_count_of("toks", t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = rows.agg(F.count("*").alias("n"), F.sum(F.greatest("dl", F.lit(0))).alias("dl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     average = (stats.dl or 0) / max(1, stats.n)
-    parts = [F.when(F.col(f"tf{i}") > 0, _score(F.col(f"tf{i}"), F.lit(float(stats[f"df{i}"])), float(stats.n), F.col("dl"), average)).otherwise(0.0) for i in range(len(terms))]
+    parts = [F.when(F.col(f"tf{i}") > 0, bm25_score(F.col(f"tf{i}"), F.lit(float(stats[f"df{i}"])), float(stats.n), F.col("dl"), average)).otherwise(0.0) for i in range(len(terms))]
     some = F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0
     return rows.where(some).select(key, sum(parts, F.lit(0.0)).alias("score"))
 
 
-def bm25_postings(post: DataFrame, lengths: DataFrame, n_docs: int, average: float, query: str, key: str = "doc_id") -> DataFrame:
-    """(key, score) from stored postings (key, tok, tf) and lengths (key, dl): only the query's tokens are read."""
-    hits = post.where(F.col("tok").isin(query_terms(query)))
-    df = hits.groupBy("tok").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "tok").join(lengths, key)
-    return scored.groupBy(key).agg(F.sum(_score(F.col("tf"), F.col("df"), float(n_docs), F.col("dl"), average)).alias("score"))
-
-
-def with_phrases(ranked: DataFrame, query: str, text: str = "text") -> DataFrame:
-    """Rows whose text holds each part of the query that stands in double quotes, whatever its case."""
-    for phrase in re.findall(r'"([^"]+)"', query):
-        ranked = ranked.where(F.contains(F.lower(text), F.lit(phrase.lower())))
-    return ranked
-
-
 def top(ranked: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return ranked.orderBy(F.desc("score"), key).limit(k)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -15,7 +16,7 @@ from lumenfold.operators import embedding, history, indexes, parsing, quality
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 from lumenfold.plans.tools import Executor, Outcome, Plugin, Plugins
-from lumenfold.sources.store import cut, drop_cut
+from lumenfold.sources.store import cut, delete, drop_cut, work_dir
 
 # How many results, of what least score, and how many tokens of context, where none are given.
 TOP, LEAST, RAG_LEAST, BUDGET, SUMMARY_CHARS, LEAST_BUDGET = 10, 0.3, 0.15, 3000, 1500, 200
@@ -52,6 +53,21 @@ class Engine:
     def vectors(self) -> DataFrame:
         return cut(embedding.embed_chunks(self.chunks, self.model))
 
+    @cached_property
+    def words(self) -> indexes.KeywordIndex:
+        return indexes.KeywordIndex(self.spark, f"{self._root}/words", "key").build(self.chunks, "content")
+
+    @cached_property
+    def near(self) -> indexes.VectorIndex:
+        size = len(embedding.embed_query("", self.model))
+        index = indexes.VectorIndex(self.spark, f"{self._root}/near", size)
+        index.add(self.vectors.where("embedding is not null"))
+        return index
+
+    @cached_property
+    def _root(self) -> str:
+        return f"{work_dir(self.spark)}/engine-{uuid.uuid4().hex}"
+
     @cached_property
     def deps(self) -> DataFrame:
         return rel.dependencies(self.symbols)
@@ -60,20 +76,24 @@ class Engine:
         for name in ("chunks", "symbols", "edges", "vectors"):
             if name in self.__dict__:
                 drop_cut(self.__dict__.pop(name))
+        for name in ("words", "near"):
+            self.__dict__.pop(name, None)
+        if "_root" in self.__dict__:
+            delete(self.spark, self.__dict__.pop("_root"))
 
     # retrieval
     def _shown(self, ranked: DataFrame) -> DataFrame:
         return self.plugins.dispatch("post_search", ranked.join(self.chunks, "key").orderBy(F.desc("score"), "key"))
 
     def keyword_search(self, query: str, k: int = TOP, least: float = 0.0) -> DataFrame:
-        return self._shown(se.with_phrases(self._keyword(query, k, least).join(self.chunks.select("key", "content"), "key"), query, "content").drop("content"))
+        """The k best chunks for words, "phrases" and boolean clauses, from the stored postings."""
+        return self._shown(self._keyword(query, k, least))
 
     def _keyword(self, query: str, k: int, least: float = 0.0) -> DataFrame:
-        return se.threshold_after_top(se.bm25(self.chunks, query, "key", "content"), k, least, "key")
+        return se.threshold_after_top(self.words.matches(query), k, least, "key")
 
     def _semantic(self, query: str, k: int) -> DataFrame:
-        q = embedding.embed_query(query, self.model)
-        return se.top(self.vectors.select("key", indexes.dots("embedding", q).alias("score")), k, "key")
+        return self.near.search(embedding.embed_query(query, self.model), k).select("key", "score")
 
     def semantic_search(self, query: str, k: int = TOP, least: float = LEAST) -> DataFrame:
         return self._shown(self._semantic(query, k).where(F.col("score") >= least))
@@ -102,7 +122,7 @@ class Engine:
         return se.shown(found, exclude, None if sections else snippet)
 
     def similar(self, q: list[float], k: int = TOP) -> DataFrame:
-        return self._shown(se.top(self.vectors.select("key", indexes.dots("embedding", q).alias("score")), k, "key"))
+        return self._shown(self.near.search(q, k).select("key", "score"))
 
     def grep(self, pattern: str, glob: str | None = None, limit: int | None = 50, **how) -> DataFrame:
         files = self.files if glob is None else self.files.where(F.col("file_path").rlike(se.glob_pattern(glob)))

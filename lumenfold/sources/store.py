@@ -83,6 +83,15 @@ class Tables:
     def _versions(self, name: str) -> list[int]:
         return sorted(int(v[2:]) for v in children(self.spark, f"{self.root}/{name}") if v.startswith("v=") and "_SUCCESS" in children(self.spark, f"{self.root}/{name}/{v}"))
 
+    def _partition(self, name: str) -> list[str]:
+        """The columns the present version is laid out by, from the names of its folders."""
+        have, out = self._versions(name), []
+        path = f"{self.root}/{name}/v={have[-1]}" if have else None
+        while path and (folders := [x for x in children(self.spark, path) if "=" in x and not x.startswith(("_", "."))]):
+            out.append(folders[0].split("=")[0])
+            path = f"{path}/{folders[0]}"
+        return out
+
     def load(self, name: str) -> DataFrame | None:
         have = self._versions(name)
         return self.spark.read.parquet(f"{self.root}/{name}/v={have[-1]}") if have else None
@@ -105,21 +114,21 @@ class Tables:
         return self.spark.read.parquet(path)
 
     def upsert(self, name: str, fresh: DataFrame, *key: str, gone: DataFrame | None = None) -> DataFrame:
-        """fresh replaces the rows of its keys, and the keys of gone go."""
+        """fresh replaces the rows of its keys, and the keys of gone go; the layout stays."""
         old = self.load(name)
         if old is None:
             return self.save(name, fresh)
         out = fresh.select(*key)
         out = out if gone is None else out.unionByName(gone.select(*key))
-        return self.save(name, old.join(out.distinct(), list(key), "left_anti").unionByName(fresh))
+        return self.save(name, old.join(out.distinct(), list(key), "left_anti").unionByName(fresh), *self._partition(name))
 
     def remove(self, name: str, condition) -> int:
-        """Rows removed."""
+        """Rows removed; the layout stays."""
         old = self.load(name)
         if old is None:
             return 0
         before = old.count()
-        return before - self.save(name, old.where(~F.coalesce(condition, F.lit(False)))).count()
+        return before - self.save(name, old.where(~F.coalesce(condition, F.lit(False))), *self._partition(name)).count()
 
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.root}/{name}")

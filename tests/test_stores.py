@@ -1,7 +1,10 @@
 """Stored indexes, history, limits, quality reports, tools and streams on small inputs."""
 
+import math
+import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from lumenfold.operators import relations as rel
 from lumenfold.plans.engine import Engine, Workspace
 from lumenfold.plans.tools import Executor, Plugins, annotator_plugin, marks_plugin, page_of
 from lumenfold.sources import files
-from lumenfold.sources.store import Tables
+from lumenfold.sources.store import Tables, children
 from lumenfold.streaming import jobs
 
 CODE = [
@@ -59,8 +62,9 @@ def test_vector_index(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         ix.add(spark.createDataFrame([("bad", "f", [1.0])], "key string, file_path string, embedding array<double>"))
     assert ix.vectors_for_file("f1.py").count() == 17 and ix.remove_by_file("f1.py") == 17 and ix.load().count() == 33
-    near = indexes.hashed_neighbours(make(range(50)), vec(9), 5, "key")
-    assert near.count() == 5
+    ix.add(make(range(50, 70)))  # after a removal the layout by cells is still there, so nothing is lost
+    assert ix.load().count() == 53 and "cell=" in " ".join(children(spark, f"{tmp_path}/vectors/v={ix.tables._versions('vectors')[-1]}"))
+    assert {r.key for r in ix.search(vec(4), 53, probes=100).collect()} == {f"k{i}" for i in range(70) if i >= 50 or i % 3 != 1}
 
 
 def test_keyword_index(spark, tmp_path):
@@ -76,6 +80,38 @@ def test_keyword_index(spark, tmp_path):
     assert ix.search("dog").count() == 0 and ix.num_docs() == 3
 
 
+def test_phrases_and_boolean_clauses_against_plain_lists(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = "alpha beta gamma delta the of".split()
+    texts = {i: " ".join(rng.choice(words, rng.integers(0, 25))) for i in range(80)} | {90: None, 91: "", 92: "alpha alpha alpha beta", 93: "theOf42 beta", 94: "of of the of the"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    index = indexes.KeywordIndex(spark, str(tmp_path)).build(docs)
+    toks = {i: [x.lower() for x in re.findall(r"[a-z]+|[A-Z][a-z]*|[0-9]+", t or "")] for i, t in texts.items()}
+    often = lambda i, c: sum(toks[i][k : k + len(c)] == list(c) for k in range(len(toks[i])))
+    average = sum(map(len, toks.values())) / len(toks)
+    cases = {
+        '"alpha beta"': ([], ["alpha beta"], []), '"of the of"': ([], ["of the of"], []), '+alpha "beta gamma" -delta': (["alpha"], ["beta gamma"], ["delta"]), "alpha AND beta": (["beta", "alpha"], [], []),
+        'the NOT "the of"': ([], ["the"], ["the of"]), "alpha OR gamma": ([], ["alpha", "gamma"], []), "theOf42": ([], ["the of 42"], []), "-alpha": ([], [], ["alpha"]), "unseen +zz": (["zz"], ["unseen"], []), "": ([], [], []), '"alpha alpha"': ([], ["alpha alpha"], []),
+    }
+    for query, (must, may, never) in cases.items():
+        wanted = [c.split() for c in must + may]
+        df = [sum(often(i, c) > 0 for i in toks) for c in wanted]
+        want = {}
+        for i in toks:
+            f = [often(i, c) for c in wanted]
+            if wanted and (all(f[: len(must)]) if must else any(f)) and not any(often(i, c.split()) for c in never):
+                want[i] = sum(math.log((len(toks) - n + 0.5) / (n + 0.5) + 1) * x * 2.5 / (x + 1.5 * (0.25 + 0.75 * len(toks[i]) / average)) for x, n in zip(f, df) if x)
+        got = {r.doc_id: r.score for r in index.matches(query).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want), query
+
+
+def test_a_phrase_outside_the_best_words_is_found(spark):
+    texts = {f"better{i}.md": "green tea green tea tea green " * 2 + f"x{i}" for i in range(30)} | {"holder.md": "tall grass and a cup of tea green and other words about the weather " * 3}
+    e = Engine(spark, spark.createDataFrame(list(texts.items()), "file_path string, content string"))
+    assert [r.file_path for r in e.keyword_search('"cup of tea"', 5).collect()] == ["holder.md"]
+    e.close()
+
+
 def test_digests_symbols_manifest(spark, tmp_path, engine, code):
     d = indexes.DigestStore(spark, str(tmp_path / "d"))
     rows = spark.createDataFrame([("a.py:1:2", "x"), ("a.py:3:4", "y"), ("b.py:1:2", "z")], "key string, content_hash string")
