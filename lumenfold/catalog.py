@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text as fn
 from lumenfold.operators import embedding as em
+from lumenfold.operators import graph as gr
 from lumenfold.operators import history as hi
 from lumenfold.operators import indexes as ix
 from lumenfold.operators import parsing as pa
@@ -549,6 +550,15 @@ def vector_topk_batch(spark, d):
     return se.vector_top_batch(v, v.where("vec_id % 100 = 0"), 3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def graph_topk(spark, d):
+    """The ten nearest of all rows for every hundredth row, by a walk along a stored proximity graph; touched: rows compared with it."""
+    v = t(spark, d, "embeddings").select("vec_id", "embedding")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = gr.GraphIndex(spark, f"{work_dir(spark)}/graph-{uuid.uuid4().hex}").build(v).search(asked, 11)
+    return gr.best(found.where("vec_id <> query_id").withColumnRenamed("vec_id", "dst"), "query_id", 10).select("query_id", F.col("dst").alias("vec_id"), F.round("score", 6).alias("score"), "touched")
+
+
 @query()
 def ivf_topk(spark, d):
     """vector_topk from cells: as many of the nearest cells are read as a measured recall asks for."""

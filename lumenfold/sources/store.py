@@ -132,3 +132,88 @@ class Tables:
 
     def drop(self, name: str) -> None:
         delete(self.spark, f"{self.root}/{name}")
+
+
+class Log:
+    """Rows by key in immutable runs of batches; the last batch that names a key decides, by its rows or by deleting it.
+
+    A batch is written as one run and nothing else is touched, so what it costs is in proportion to it. compact() merges the
+    youngest runs whenever an older one is no longer twice as large as those after it, so there are about as many runs as
+    doublings of the table, and a row is rewritten about as often. A run counts once its _SUCCESS is there; one that lies inside a
+    longer run is passed over, and is deleted when the next merge is done, so that a reader that has planned on it can finish.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str):
+        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+
+    def _found(self) -> list[tuple[int, int, str]]:
+        """(first, last, name) of all complete runs."""
+        names = [x for x in children(self.spark, self.root) if x.startswith("run=") and "_SUCCESS" in children(self.spark, f"{self.root}/{x}")]
+        return sorted((int(a), int(b), x) for x in names for a, b in [x[4:].split(".")[0].split("-")])
+
+    def runs(self) -> list[tuple[int, int, str]]:
+        """The runs that readers merge, oldest first."""
+        out: list[tuple[int, int, str]] = []
+        for r in sorted(self._found(), key=lambda r: (r[0], -r[1])):
+            if not out or r[1] > out[-1][1]:
+                out.append(r)
+        return out
+
+    def bytes(self, name: str) -> int:
+        fs, p = _at(self.spark, f"{self.root}/{name}")
+        return fs.getContentSummary(p).getLength()
+
+    def _done(self, source: str) -> int:
+        return max((int(x.rsplit(".", 1)[1]) for x in children(self.spark, f"{self.root}/_applied") if x.rsplit(".", 1)[0] == source), default=-1)
+
+    def append(self, rows: DataFrame, source: str, number: int, deleted: str = "deleted") -> bool:
+        """Adds batch `number` of a source (its rows, with a column that tells whether the key is deleted). False if it was added before."""
+        held = self._found()
+        again = any(x.endswith(f".{source}.{number}") for _, _, x in held)
+        if number <= self._done(source):
+            return False
+        if not again:
+            at = max((b for _, b, _ in held), default=-1) + 1
+            batch = rows.where(F.col(self.key).isNotNull()).withColumnRenamed(deleted, "_gone")
+            batch.write.mode("overwrite").parquet(f"{self.root}/run={at:012d}-{at:012d}.{source}.{number}")
+        fs, p = _at(self.spark, f"{self.root}/_applied/{source}.{number}")
+        fs.create(p, True).close()
+        if number and source:
+            delete(self.spark, f"{self.root}/_applied/{source}.{number - 1}")
+        return not again
+
+    def _merged(self, runs: list[tuple[int, int, str]]) -> DataFrame:
+        """What the runs say of each key they name, deletions included."""
+        every = None
+        for a, _, name in runs:
+            one = self.spark.read.parquet(f"{self.root}/{name}").withColumn("_at", F.lit(a))
+            every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+        if len(runs) == 1:
+            return every.drop("_at")
+        last = every.groupBy(self.key).agg(F.max("_at").alias("_at"))
+        return every.join(last, [self.key, "_at"], "left_semi").drop("_at")
+
+    def read(self) -> DataFrame | None:
+        """The rows of keys that are not deleted; of several rows of one key in a batch a deletion is followed by the rest."""
+        runs = self.runs()
+        return self._merged(runs).where("not _gone").drop("_gone") if runs else None
+
+    def compact(self) -> int:
+        """Merges the youngest runs where one before them is less than twice as large; how many runs went into it."""
+        runs = self.runs()
+        size = [self.bytes(x) for _, _, x in runs]
+        first, total = len(runs) - 1, size[-1] if runs else 0
+        for i in range(len(runs) - 2, -1, -1):
+            if size[i] < 2 * total:
+                first = i
+            total += size[i]
+        mine = runs[first:]
+        if len(mine) < 2:
+            return 0
+        covered = {x for _, _, x in self._found()} - {x for _, _, x in runs}
+        out = self._merged(mine)
+        out = out if first else out.where("not _gone")
+        out.write.mode("overwrite").parquet(f"{self.root}/run={mine[0][0]:012d}-{mine[-1][1]:012d}")
+        for x in covered:
+            delete(self.spark, f"{self.root}/{x}")
+        return len(mine)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,9 +15,7 @@ from pyspark.sql.streaming.state import GroupState
 from lumenfold.operators import history
 from lumenfold.operators import relations as rel
 from lumenfold.operators.indexes import DigestStore
-from lumenfold.sources.store import children, cut, drop_cut
-
-BUCKETS = 64
+from lumenfold.sources.store import Log, children, cut
 
 
 # ----------------------------------------------------------------- sources
@@ -59,33 +58,23 @@ class Poller:
 
 # ----------------------------------------------------------------- sinks
 def keep_index(changes: DataFrame, store: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each micro-batch (key, ..., deleted boolean) into a Parquet table in buckets of the key; only buckets that a batch touches are rewritten.
+    """Adds each micro-batch (key, ..., deleted boolean) to a log of batches, whose last word on a key counts.
 
-    The merge is the same however often a batch is repeated, so a lost driver only repeats work. Of several rows of one key in a
-    batch a deletion is followed by the rest.
+    A batch is named by its stream and number, so however often it is repeated it is added once. What is written is the batch,
+    and now and then a merge of young runs.
     """
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = cut(batch.withColumn("b", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")))
-        fresh, gone = rows.where("not deleted").drop("deleted"), rows.where("deleted")
-        if children(spark, store):
-            old = spark.read.schema(fresh.schema).parquet(store).join(F.broadcast(rows.select("b").distinct()), "b", "left_semi")
-        else:
-            old = fresh.limit(0)
-        touched = cut(rel.replace_rows(old.select(fresh.columns), fresh, gone, key))
-        # a bucket that the batch empties has no rows to overwrite it with: it keeps one row that readers leave out
-        bare = rows.select("b").distinct().join(touched.select("b").distinct(), "b", "left_anti")
-        empty = bare.select(*[F.col("b") if c == "b" else F.lit(None).cast(touched.schema[c].dataType).alias(c) for c in touched.columns])
-        touched.unionByName(empty).repartition("b").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("b").parquet(store)
-        for t in (rows, touched):
-            drop_cut(t)
+        log = Log(batch.sparkSession, store, key)
+        if log.append(batch, source, n):
+            log.compact()
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_index(spark: SparkSession, store: str, key: str) -> DataFrame:
-    return spark.read.parquet(store).where(F.col(key).isNotNull()).drop("b")
+    return Log(spark, store, key).read()
 
 
 def run_once(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
