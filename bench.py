@@ -16,7 +16,7 @@ from lumenfold.operators.indexes import KeywordIndex
 from lumenfold.sources.store import work_dir
 
 HEADLINE = ("bm25_topk", "vector_topk", "rrf_hybrid", "regex_search", "grep_context", "exact_duplicates", "callgraph_edges", "impact_bfs", "sessionize_ttl", "rate_window", "summary_rollup", "uncovered_blocks", "token_budget_prefix", "line_metrics")
-TRAINING = ("op1_language_id", "op2_near_duplicates", "op3_nearest_vectors", "op4_tool_calls", "op5_weak_quality", "op6_line_dedup", "op7_source_mix", "op8_context_tree_scores", "op9_vector_duplicates", "op10_piece_sampling")
+TRAINING = ("op1_language_id", "op2_near_duplicates", "op3_nearest_vectors", "op4_tool_calls", "op5_weak_quality", "op6_line_dedup", "op7_source_mix", "op8_context_tree_scores", "op9_vector_duplicates", "op10_piece_sampling", "op11_ranked_search", "op12_line_rules", "op13_collocations")
 
 
 def seconds(work) -> float:
@@ -37,6 +37,7 @@ def main() -> None:
     index = KeywordIndex(spark, f"{work_dir(spark)}/bench-{uuid.uuid4().hex}")
     stored = {"bm25_build": seconds(lambda: index.build(spark.read.parquet(f"{sf}/documents.parquet")))}
     stored["bm25_search"] = min(seconds(lambda: write(index.search("the and que", 10))) for _ in range(3))
+    stored["phrase_search"] = min(seconds(lambda: write(index.search('"of the" and', 10))) for _ in range(3))
     training = {}
     try:
         from lumenfold.llm.queries import QUERIES

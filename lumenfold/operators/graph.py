@@ -1,7 +1,7 @@
 """A stored proximity graph: neighbour lists refined through neighbours of neighbours, searched by a frontier of joins.
 
-The graph starts from short lists: of each vector among some of its cell (vectors that random
-projections put side by side), and a few of any place, which keeps the parts of the graph together.
+The graph starts from short lists: the best of each vector among those that lie on the same sides of
+some random planes. A few links to any place keep its parts together.
 In each round every vector meets the neighbours of its neighbours, in both directions, and keeps its
 best. A list goes into a round only with what is new in it, and what points at one vector is cut to a
 fixed number by a hash of the pair, so a round costs rows times a constant, whatever the degrees.
@@ -25,7 +25,7 @@ from lumenfold.sources.store import Tables, cut, drop_cut
 
 DEGREE, BLOCK, TREES, ANY = 24, 96, 4, 4
 ROUNDS, EACH = 4, 12
-WIDTH, STEPS, TRIES = 48, 12, 6
+WIDTH, STEPS, TRIES, DOORS = 96, 16, 12, 12
 
 
 def products(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -49,22 +49,30 @@ def _spread(of: Column, *by) -> Column:
     return F.xxhash64(of, *[F.lit(x) for x in by])
 
 
-def _first_lists(rows: DataFrame, degree: int, block: int, trees: int, seed: int) -> DataFrame:
-    """(src, dst, score): the best of each vector in blocks that random projections put together, in several ways, and some of any place."""
-    n = max(1, rows.count())
-    bits = max(0, int(np.ceil(np.log2(max(1, n / (block / 2))))))
-    dim = len(rows.first().v) if n else 0
+def code_bits(n: int, block: int = BLOCK) -> int:
+    """How many bits part n vectors into cells of about half a block."""
+    return max(1, int(np.ceil(np.log2(max(1, n / (block / 2))))))
+
 
-    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = np.random.default_rng(seed).standard_normal((trees, max(1, bits), dim))
+def coded(rows: DataFrame, bits: int, trees: int = TREES, seed: int = 1) -> DataFrame:
+    """rows (id, v) with tree and code: the sides of random planes that each vector lies on, in several ways."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack(pdf["v"]).astype(np.float64) if len(pdf) else np.zeros((0, dim))
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"]).astype(np.float64)
+            planes = np.random.default_rng(seed).standard_normal((trees, bits, x.shape[1]))
             for t in range(trees):
-                code = ((x @ planes[t].T > 0) @ (1 << np.arange(max(1, bits)))) if bits else np.zeros(len(x), np.int64)
-                yield pd.DataFrame({"tree": t, "code": code, "id": pdf["id"], "v": pdf["v"]})
+                yield pd.DataFrame({"tree": t, "code": (x @ planes[t].T > 0) @ (1 << np.arange(bits)), "id": pdf["id"], "v": pdf["v"]})
+
+    return rows.mapInPandas(run, f"tree int, code long, id {rows.schema['id'].dataType.simpleString()}, v array<float>")
 
+
+def _first_lists(rows: DataFrame, degree: int, block: int, trees: int, seed: int) -> DataFrame:
+    """(src, dst, score): the best of each vector in blocks that random planes put together, in several ways."""
     kind = rows.schema["id"].dataType.simpleString()
-    dealt = rows.mapInPandas(codes, f"tree int, code long, id {kind}, v array<float>")
+    dealt = coded(rows, code_bits(rows.count(), block), trees, seed)
     # a code that many vectors share is dealt into blocks of about `block`
     size = dealt.groupBy("tree", "code").agg(F.greatest(F.lit(1), F.count("*") / block).cast("long").alias("parts"))
     dealt = dealt.join(size, ["tree", "code"]).withColumn("part", F.pmod(_spread(F.col("id"), seed), F.col("parts")))
@@ -120,18 +128,31 @@ def links(lists: DataFrame, rows: DataFrame, seed: int = 1) -> DataFrame:
     return lists.select("src", "dst").unionByName(back.select("src", "dst")).unionByName(_anywhere(rows, ANY, seed)).distinct()
 
 
-def walk(vectors: DataFrame, edges: DataFrame, queries: DataFrame, k: int, width: int = WIDTH, steps: int = STEPS, tries: int = TRIES, seed: int = 1) -> DataFrame:
+def entries(rows: DataFrame, seed: int = 1) -> DataFrame:
+    """(tree, code, bits, id): for each cell of random planes at most DOORS of its vectors, where a walk may begin."""
+    bits = code_bits(rows.count())
+    w = Window.partitionBy("tree", "code").orderBy(_spread(F.col("id"), seed), "id")
+    return coded(rows, bits, seed=seed).drop("v").withColumn("r", F.row_number().over(w)).where(F.col("r") <= DOORS).select("tree", "code", F.lit(bits).alias("bits"), "id")
+
+
+def walk(vectors: DataFrame, edges: DataFrame, doors: DataFrame, queries: DataFrame, k: int, width: int = WIDTH, steps: int = STEPS, tries: int = TRIES, seed: int = 1) -> DataFrame:
     """(query_id, dst, score, touched): the k best found for each query (query_id, q), and how many vectors were compared with it.
 
-    vectors are (id, v), edges (src, dst). Each query begins at `width` places by a hash of its id; in each step its `tries`
-    best unvisited places are opened. It ends when no query has one among its `width` best.
+    vectors are (id, v), edges (src, dst), doors the entries. Each query begins at the doors of its own cells and at a few places
+    by a hash of its id; in each step its `tries` best unvisited places are opened. It ends when no query has one among its
+    `width` best.
     """
     n = max(1, vectors.count())
     asked = cut(queries)
     v = vectors.select(F.col("id").alias("dst"), "v")
     ring = vectors.select(F.col("id").alias("dst"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("h"))
-    start = asked.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i")).withColumn("h", F.pmod(F.xxhash64("query_id", "i"), F.lit(n)))
-    first = start.join(ring, "h").select("query_id", "q", "dst").dropDuplicates(["query_id", "dst"]).join(v, "dst")
+    some = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(DOORS - 1))).alias("i")).withColumn("h", F.pmod(F.xxhash64("query_id", "i"), F.lit(n)))
+    begin = some.join(ring, "h").select("query_id", "dst")
+    held = doors.first()
+    if held is not None:
+        mine = coded(asked.select(F.col("query_id").alias("id"), F.col("q").alias("v")), held.bits, seed=seed).select(F.col("id").alias("query_id"), "tree", "code")
+        begin = begin.unionByName(mine.join(doors.withColumnRenamed("id", "dst"), ["tree", "code"]).select("query_id", "dst"))
+    first = begin.distinct().join(asked, "query_id").join(v, "dst")
     seen = cut(products(first, "q", "v").select("query_id", "dst", "score", F.lit(False).alias("opened")))
     for _ in range(steps):
         # everything compared stays in `seen`, so nothing is compared twice and what was touched can be counted
@@ -170,11 +191,12 @@ class GraphIndex:
     def _keep(self, lists: DataFrame) -> None:
         self.tables.save("lists", lists)
         self.tables.save("links", links(self.tables.load("lists"), self._rows()).repartition("src"))
+        self.tables.save("doors", entries(self._rows()))
 
     def search(self, queries: DataFrame, k: int = 10, vector: str = "embedding", **how) -> DataFrame:
         """(query_id, key, score, touched) of the k best vectors found for each query (query_id, embedding), all queries at once."""
         asked = queries.select("query_id", F.col(vector).cast("array<float>").alias("q"))
-        return walk(self._rows(), self.tables.load("links"), asked, k, **how).withColumnRenamed("dst", self.key)
+        return walk(self._rows(), self.tables.load("links"), self.tables.load("doors"), asked, k, **how).withColumnRenamed("dst", self.key)
 
     def add(self, vectors: DataFrame, vector: str = "embedding", fresh_width: int = WIDTH) -> "GraphIndex":
         """New vectors find their places by a search of the graph; they join the lists of those they are near to. Vectors of known keys are replaced."""
@@ -182,7 +204,7 @@ class GraphIndex:
             return self.build(vectors, vector)
         new = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(self.key).alias("id"), F.col(vector).cast("array<float>").alias("v")))
         self.remove(new.select(F.col("id").alias(self.key)))
-        near = walk(self._rows(), self.tables.load("links"), new.select(F.col("id").alias("query_id"), F.col("v").alias("q")), self.degree, fresh_width)
+        near = walk(self._rows(), self.tables.load("links"), self.tables.load("doors"), new.select(F.col("id").alias("query_id"), F.col("v").alias("q")), self.degree, fresh_width)
         near = near.select(F.col("query_id").alias("src"), "dst", "score")
         own = _first_lists(new, self.degree, BLOCK, TREES, 1)  # among the new ones
         every = self.tables.load("lists").unionByName(near).unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")).unionByName(own)

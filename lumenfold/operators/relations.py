@@ -57,7 +57,13 @@ def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int
 
 
 LEAD = 4
-SMALL_BYTES = 4 << 20
+SMALL_BYTES, GRAM = 4 << 20, 3
+
+
+def _small(leads: DataFrame) -> bool:
+    """Whether a table of leads may be sent to every task."""
+    texts = [c for c in ("lead", "passage") if c in leads.columns]
+    return leads.agg(F.coalesce(F.sum(sum((F.length(c) for c in texts), F.lit(32))), F.lit(0)).alias("n")).first().n <= SMALL_BYTES
 
 
 def contained(texts: DataFrame, passages: DataFrame, key: str, item: str, text: str = "text") -> DataFrame:
@@ -65,7 +71,7 @@ def contained(texts: DataFrame, passages: DataFrame, key: str, item: str, text:
 
     Candidates share a run of LEAD words, the second to the fifth of the passage; then the text decides. The runs of the passages, if
     they are small, filter those of the texts before anything is shuffled. Shorter passages are sought by their longest inner word, or
-    one by one where they have none.
+    by their first characters where they have none.
     """
     words = lambda c: F.split(fn.stripped(F.regexp_replace(c, r"\\s+", " ")), " ")
     items = passages.select(F.col(item).alias("item"), F.col(text).alias("passage")).where("passage is not null").withColumn("w", words("passage"))
@@ -77,16 +83,22 @@ def contained(texts: DataFrame, passages: DataFrame, key: str, item: str, text:
     near = None
     for wanted, pieces in ((long_, runs), (brief.where("lead <> ''"), F.col("w"))):
         leads = wanted.select("item", "lead")
-        size = leads.agg(F.coalesce(F.sum(F.length("lead") + 32), F.lit(0)).alias("n")).first().n
-        if not size:
+        if leads.isEmpty():
             continue
-        found = docs.withColumn("w", words("text")).select("key", F.explode(F.array_distinct(pieces)).alias("lead")).join(F.broadcast(leads) if size <= SMALL_BYTES else leads, "lead").select("key", "item").distinct()
+        found = docs.withColumn("w", words("text")).select("key", F.explode(F.array_distinct(pieces)).alias("lead")).join(F.broadcast(leads) if _small(leads) else leads, "lead").select("key", "item").distinct()
         near = found if near is None else near.unionByName(found)
     out = docs.select("key", F.lit(None).cast(items.schema["item"].dataType).alias("item")).where("false")
     if near is not None:
         out = near.join(items.select("item", "passage"), "item").join(docs, "key").where(F.contains("text", F.col("passage"))).select("key", "item")
-    for r in brief.where("lead = ''").select("item", "passage").limit(1000).collect():
-        out = out.unionByName(docs.where(F.contains("text", F.lit(r.passage))).select("key", F.lit(r.item).alias("item")))
+    # what has no inner word is sought by its first characters, which every text that holds it has somewhere
+    bare = brief.where("lead = ''").select("item", "passage", F.least(F.lit(GRAM), F.length("passage")).alias("n")).withColumn("lead", F.expr("left(passage, n)"))
+    for n in sorted(r.n for r in bare.select("n").distinct().collect()):  # 0 to GRAM
+        leads = bare.where(F.col("n") == n).select("item", "passage", "lead")
+        letters = docs.withColumn("c", F.split("text", ""))
+        grams = F.transform(F.sequence(F.lit(0), F.size("c") - n), lambda i: F.concat(F.lit(""), *[F.get("c", i + k) for k in range(n)]))  # noqa: B023
+        held = letters.where(F.size("c") >= n).select("key", F.explode(F.array_distinct(grams)).alias("lead"))
+        near = held.join(F.broadcast(leads) if _small(leads) else leads, "lead").select("key", "item", "passage")
+        out = out.unionByName(near.join(docs, "key").where(F.contains("text", F.col("passage"))).select("key", "item"))
     return out.distinct().toDF(key, item)
 
 

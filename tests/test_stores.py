@@ -378,6 +378,15 @@ def test_passages_in_texts(spark):
     assert {(r.doc_id, r.item_id) for r in rel.contained(texts, items, "doc_id", "item_id").collect()} == want
 
 
+def test_very_short_passages_are_all_sought(spark):
+    texts = spark.createDataFrame([(i, f"w{i}x tail" if i % 2 else "é") for i in range(1300)] + [(2000, ""), (2001, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"w{i}x") for i in range(1300)] + [(3000, "é"), (3001, "x t"), (3002, "ta"), (3003, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in rel.contained(texts, items, "doc_id", "item_id").collect()}
+    rows = [(d.doc_id, d.text) for d in texts.collect() if d.text is not None]
+    want = {(i, i) for i in range(1, 1300, 2)} | {(i, k) for i, t in rows for k, p in ((3000, "é"), (3001, "x t"), (3002, "ta"), (3003, "")) if p in t}
+    assert got == want
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "the cat"), (2, ""), (3, None)], "id int, content string")
     got = {r.id: r.v for r in df.select("id", embedding.embed("content").alias("v")).collect()}
