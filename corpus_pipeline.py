@@ -6,12 +6,13 @@ that the second stage empties was repeated elsewhere as a whole and goes.
 
 Every stage works on all rows that reach it. Rows with a null doc_id, rows that share one, and rows with a
 null source pass like others; an empty table gives an empty table; the columns of the input other than
-those named here are kept, and none of their names can clash with the operators' own.
+those in READ are kept: they pass each stage in one struct, so none of their names meets the operators' own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,16 +22,36 @@ from lumenfold.llm.base import cut
 
 #: Below this share of its profile's order kept a text is in none of the learned languages; the least score on sf0.01 is 0.45.
 LEAST_LANG_SCORE = 0.1
+#: What the stages read and write.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+CARRIED = "_carried"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def carrying(stage: Stage) -> Stage:
+    """The stage on the columns of READ, the others in one struct beside them; the result has all columns in their places."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+        read, others = ([c for c in docs.columns if (c.lower() in READ) == wanted] for wanted in (True, False))
+        if not others:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.select(*read, F.struct(*(own[c] for c in others)).alias(CARRIED)), sf_dir)
+        return out.select(*(F.col(c) if c in read else F.col(CARRIED).getField(c).alias(c) for c in docs.columns))
+
+    return run
+
+
+@carrying
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in one of the learned languages; a null lang is filled with the prediction."""
     model = langid.fit(docs)
-    out = langid.predict(docs.withColumnRenamed("score", "_own") if "score" in docs.columns else docs, model)
-    out = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE))
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[c if c != "score" else F.col("_own").alias("score") for c in docs.columns])
+    out = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE))
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@carrying
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that stand in an earlier text too; n_chars follows. A text that was empty of words before stays."""
     out = linededup.remove_repeated(docs)
@@ -38,6 +59,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@carrying
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decides by row: of each component the row of the smallest doc_id stays (of rows that share it, that of the
     smallest hash of its text); rows without doc_id link with nothing and stay."""
@@ -50,6 +72,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return named.join(keep, "_row", "left_semi").unionByName(rows.where("doc_id is null")).select(*docs.columns)
 
 
+@carrying
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the mix takes twice come twice."""
     out = mixing.apply_mix(docs).where(F.col("_copies") > 0)
@@ -62,7 +85,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select("doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language", identify_languages),
     ("line_dedup", remove_repeated_passages),
     ("near_dedup", keep_one_of_near_duplicates),
