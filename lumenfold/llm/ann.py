@@ -25,6 +25,7 @@ from .codes import MultiIndex, encode, learn, matrix, sizes, usable
 BITS = 256
 HELD = 1 << 22
 SHARD = 8192
+SPREAD = 8
 RERANK = 200
 OUT = "query_id long, vec_id long, score double"
 
@@ -48,8 +49,8 @@ def _search(rows: DataFrame, d: int, n: int, is_query: F.Column, k: int, rerank:
     spark = rows.sparkSession
     rotation = spark.sparkContext.broadcast(learn(rows, BITS))
     asked = rows.where(is_query)
-    # as few shards as memory allows, since each costs each query a search, but enough to keep all cores at work
-    shards = max(-(-n * d // HELD), min(-(-n // SHARD), spark.sparkContext.defaultParallelism), 1)
+    # as few shards as memory allows, since each costs each query a search, but up to SPREAD to share the work; by rows alone, so that clusters of any size find the same
+    shards = max(-(-n * d // HELD), min(-(-n // SHARD), SPREAD), 1)
     qblocks = max(1, -(-asked.count() * d // HELD))
     deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -36,3 +37,14 @@ def test_mix_and_pieces_keep_null_and_repeated_ids(spark, docs):
     assert all(n <= 2 * Counter(ROWS)[k] for k, n in mixed.items())
     out = corpus_pipeline.encode_pieces(spark, docs, "").collect()
     assert Counter(r.doc_id for r in out) == Counter(i for i, _ in ROWS) and all(r.n_pieces > 0 for r in out)
+
+
+def test_columns_named_like_the_operators_own(spark, docs):
+    names = ["score", "_own", "lang_pred", "n_lines", "removed_lines", "_row", "_size", "_source_size", "_target", "_copies", "_copy", "_carried", "component_id", "a.b"]
+    more = docs.select("*", *(F.concat(F.lit(n), F.coalesce("text", F.lit(""))).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, "")
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert held(out) == held(stage(spark, docs, "")) and all(r[n] == n + r.text for r in rows for n in names), name
+    assert corpus_pipeline.encode_pieces(spark, more, "").count() == len(ROWS)
