@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from lumenfold.functions import text as fn
 from lumenfold.operators import relations as rel
+from lumenfold.operators.quantiles import order_statistics
 from lumenfold.sources.store import Tables
 
 # How many queries, memories and answers are kept, and how long answers and sessions live.
@@ -221,10 +222,9 @@ def admitted(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds:
 
 def latency_report(runs: DataFrame, by: str = "mode", ms: str = "ms") -> DataFrame:
     """Mean, median and 99th percentile (the value at place int(n * p)) of latencies, and queries a second."""
-    xs = F.sort_array(F.collect_list(ms))
-    at = lambda p: F.element_at("xs", F.least(F.size("xs"), F.floor(F.size("xs") * p).cast("int") + 1))
-    rows = runs.groupBy(by).agg(F.avg(ms).alias("avg"), xs.alias("xs"), F.sum(ms).alias("_sum"))
-    return rows.select(by, "avg", at(0.5).alias("p50"), at(0.99).alias("p99"), (F.size("xs") * 1000 / F.col("_sum")).alias("qps"))
+    sums = runs.groupBy(F.col(by).alias("_by")).agg(F.avg(ms).alias("avg"), F.sum(ms).alias("_sum"))
+    found = order_statistics(runs, [by], ms, {"p50": 0.5, "p99": 0.99}).join(sums, F.col(by).eqNullSafe(F.col("_by")))
+    return found.select(by, "avg", "p50", "p99", F.try_divide(F.col("n") * 1000, F.col("_sum")).alias("qps"))
 
 
 def citation_footer(citations: DataFrame) -> DataFrame:
