@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfold.functions import text as fn
+from lumenfold.operators import scopes
 
 CHUNK = "file_path string, chunk_index int, start_line int, end_line int, content string"
 SYMBOL = "name string, kind string, file_path string, start_line int, end_line int, start_col int, end_col int, body string, parent string, parameters array<string>, decorators array<string>"
@@ -53,7 +54,9 @@ def chunks(files: DataFrame, size: int = 512, overlap: int = 64, path: str = "fi
 
 
 def parse(path: str, content: str) -> list[tuple]:
-    """Symbol rows; Python by its syntax tree, other languages by definition lines."""
+    """Symbol rows; Python by its syntax tree, languages with braces by their scopes, others by definition lines."""
+    if scopes.family(path):
+        return scopes.definitions(path, content)
     rows = content.split("\n")
     if not path.endswith(".py"):
         found = [(m[1], i) for i, r in enumerate(rows) if (m := _DEF.match(r))]
@@ -170,23 +173,30 @@ def tree_complexity(body: str) -> int | None:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def calls_by_tree(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: None if b is None else tree_calls(b))
+def calls_by_code(body: pd.Series, path: pd.Series) -> pd.Series:
+    one = lambda b, p: None if b is None else scopes.calls(b, k) if (k := scopes.family(p or "")) else tree_calls(b)
+    return pd.Series([one(b, p) for b, p in zip(body, path, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.IntegerType())
-def complexity_by_tree(body: pd.Series) -> pd.Series:
-    return body.map(lambda b: None if b is None else tree_complexity(b)).astype("Int32")
+def complexity_by_code(body: pd.Series, path: pd.Series) -> pd.Series:
+    one = lambda b, p: None if b is None else scopes.complexity(b, k) if (k := scopes.family(p or "")) else tree_complexity(b)
+    return pd.Series([one(b, p) for b, p in zip(body, path, strict=True)], dtype="Int32")
+
+
+def _readable(path) -> Column:
+    endings = (".py", *(x for v in scopes.FAMILIES.values() for x in v))
+    return F.lower(F.regexp_extract(fn.c(path), r"(\.[^./]+)$", 1)).isin(*endings)
 
 
 def called_names(body, path) -> Column:
-    """Names that a body calls: by syntax tree for Python that parses, else by pattern."""
-    return F.coalesce(F.when(F.endswith(fn.c(path), F.lit(".py")), calls_by_tree(fn.c(body))), fn.calls(body))
+    """Names that a body calls: by syntax tree for Python that parses, by tokens for languages with braces, else by pattern."""
+    return F.coalesce(F.when(_readable(path), calls_by_code(fn.c(body), fn.c(path))), fn.calls(body))
 
 
 def complexity_of(body, path) -> Column:
-    """Complexity by syntax tree for Python that parses, else by pattern."""
-    return F.coalesce(F.when(F.endswith(fn.c(path), F.lit(".py")), complexity_by_tree(fn.c(body))), fn.complexity(body))
+    """Complexity by syntax tree for Python that parses, by tokens for languages with braces, else by pattern."""
+    return F.coalesce(F.when(_readable(path), complexity_by_code(fn.c(body), fn.c(path))), fn.complexity(body))
 
 
 # ----------------------------------------------------------------- chunks along symbols
