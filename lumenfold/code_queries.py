@@ -11,6 +11,7 @@ from lumenfold.catalog import CALLS, DANGER, KIND, LINES, MI, RX, SCORE, SPLIT,
 from lumenfold.functions import text as fn
 from lumenfold.operators import history as hi
 from lumenfold.operators import indexes as ix
+from lumenfold.operators import parsing
 from lumenfold.operators import quality as qu
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
@@ -35,8 +36,10 @@ from (select *, unnest(list_distinct(regexp_extract_all(import_text, '[A-Za-z_]\
   from (select file_path as source_file, trim(body) as import_text, {LANG} as source_language, case when contains(body, 'pyo3') then 'rust' when contains(body, 'ctypes') then 'cpp' end as target_language from modules where kind = 'import')
   where target_language <> source_language)
 join (select name as target_symbol, {LANG} as target_language, max(file_path) as target_file from modules where kind <> 'import' group by 1, 2) using (target_symbol, target_language)"""
-#: Files of that code: the bodies by place.
-FILES_SQL = f"{SYM_SQL}, files as (select file_path, string_agg(body, chr(10) order by start_line, name) as content from symbols group by 1)"
+#: Files of that code: the bodies by place, FILE_KEYS keys a file, so that files stay small as tables grow.
+FILE_KEYS = 500
+FILED_SQL = f"{SYM_SQL.replace('symbols as (', 'placed as (')}, symbols as (select * replace (replace(file_path, '.py', '_' || start_line // {FILE_KEYS} || '.py') as file_path) from placed)"
+FILES_SQL = f"{FILED_SQL}, files as (select file_path, string_agg(body, chr(10) order by start_line, name) as content from symbols group by 1)"
 
 
 def _text(*parts) -> Column:
@@ -53,9 +56,14 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
     return symbols(spark, d).unionByName(ports).unionByName(native)
 
 
+def filed(spark: SparkSession, d: str) -> DataFrame:
+    part = F.concat(F.lit("_"), F.floor(F.col("start_line") / FILE_KEYS).cast("string"), F.lit(".py"))
+    return symbols(spark, d).withColumn("file_path", F.replace(F.col("file_path"), F.lit(".py"), part))
+
+
 def code_files(spark: SparkSession, d: str) -> DataFrame:
     bodies = F.transform(F.sort_array(F.collect_list(F.struct("start_line", "name", "body"))), lambda x: x["body"])
-    return symbols(spark, d).groupBy("file_path").agg(F.array_join(bodies, "\n").alias("content"))
+    return filed(spark, d).groupBy("file_path").agg(F.array_join(bodies, "\n").alias("content"))
 
 
 def doc_files(spark: SparkSession, d: str) -> DataFrame:
@@ -189,14 +197,14 @@ def complex_symbols(spark, d):
 
 @query(f"{METRICS} select file_path, n_lines, code, comment, blank, round(avg_complexity, 6) as avg_complexity, max_complexity, symbol_count, round({MI.format(loc='code::double', cc='avg_complexity', cr='comment_ratio')}, 4) as mi from m")
 def file_metrics(spark, d):
-    m = qu.file_metrics(code_files(spark, d), symbols(spark, d))
+    m = qu.file_metrics(code_files(spark, d), filed(spark, d))
     return m.select("file_path", "n_lines", "code", "comment", "blank", F.round("avg_complexity", 6).alias("avg_complexity"), "max_complexity", "symbol_count", F.round("maintainability_index", 4).alias("mi"))
 
 
 @query(f"""{METRICS}, p as (select count(*) as files_analyzed, cast(sum(code) as bigint) as total_loc, cast(sum(comment) as bigint) as comments, cast(sum(blank) as bigint) as blanks, avg(avg_complexity) as cc, max(max_complexity) as max_complexity, cast(sum(symbol_count) as bigint) as total_symbols from m)
 select files_analyzed, total_loc, comments, blanks, round(cc, 6) as cc, max_complexity, total_symbols, round({MI.format(loc='(total_loc::double / files_analyzed)', cc='cc', cr='(comments / (total_loc + comments + blanks)::double)')}, 4) as mi from p""")
 def project_metrics(spark, d):
-    m = qu.project_metrics(qu.file_metrics(code_files(spark, d), symbols(spark, d)))
+    m = qu.project_metrics(qu.file_metrics(code_files(spark, d), filed(spark, d)))
     return m.select("files_analyzed", "total_loc", F.col("total_comment_lines").alias("comments"), F.col("total_blank_lines").alias("blanks"), F.round("avg_complexity", 6).alias("cc"), "max_complexity", "total_symbols", F.round("maintainability_index", 4).alias("mi"))
 
 
@@ -372,3 +380,52 @@ def stream_index(spark, d):
     for n, changes in enumerate((come, label)):
         jobs.keep_index(changes, f"{at}/index", "doc_id", f"{at}/progress{n}").awaitTermination()
     return jobs.read_index(spark, f"{at}/index", "doc_id").select("doc_id", "h")
+
+
+# ----------------------------------------------------------------- parsed code, and sizes
+#: Java files of SCOPED parts each: a class with a method, and brackets in comments and strings.
+SCOPED = 50
+SCOPES_SQL = f"""with p as (select *, 'native/f_' || p_partkey // {SCOPED} || '.java' as file_path, cast(5 * (row_number() over (partition by p_partkey // {SCOPED} order by p_partkey) - 1) + 1 as int) as line from part)
+select file_path, 'Part_' || p_partkey as name, 'class' as kind, '' as parent, line as start_line, line + 4 as end_line, '' as parameters, 2 as complexity, 'size,weigh_' || p_size as calls from p
+union all select file_path, 'size', 'method', 'Part_' || p_partkey, line + 1, line + 3, 'x,unit', 2, 'size,weigh_' || p_size from p"""
+
+
+@query(SCOPES_SQL)
+def scope_symbols(spark, d):
+    """Definitions, scopes, parameters, complexity and calls that the parser finds in code of all parts."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = _text("class Part_", key, " {\n    int size(final int x, String unit) { // {\n        if (x > ", size, ") { return weigh_", size, "(\"} if (x) lift()\"); } return 0;\n    }\n}")
+    bodies = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("text")))), lambda x: x["text"])
+    path = F.concat(F.lit("native/f_"), F.floor(F.col("p_partkey") / SCOPED).cast("string"), F.lit(".java")).alias("file_path")
+    found = parsing.symbols(t(spark, d, "part").groupBy(path).agg(F.array_join(bodies, "\n").alias("content")))
+    calls = F.array_join(parsing.called_names("body", "file_path"), ",").alias("calls")
+    return found.select("file_path", "name", "kind", "parent", "start_line", "end_line", F.array_join("parameters", ",").alias("parameters"), parsing.complexity_of("body", "file_path").alias("complexity"), calls)
+
+
+@query(f"{SYM_SQL}, e as ({CALLS}) select count(distinct split_part(caller, ':', 2)) as upstream, 0::bigint as downstream, count(distinct split_part(caller, ':', 2)) as total_nodes from e where callee = 'part_1'")
+def trace_totals(spark, d):
+    s = symbols(spark, d)
+    return rel.trace_size(rel.trace(s, rel.call_edges(s), "part_1"))
+
+
+@query("""with recursive e as (select distinct l_suppkey as src, l_partkey as dst from lineitem),
+b(node, depth) as (select 1::bigint, 0 union select e.dst, b.depth + 1 from b join e on e.src = b.node where b.depth < 5), m as (select node, min(depth) as depth from b group by 1)
+select count(*) filter (depth = 1) as direct, count(*) filter (depth > 1) as transitive, count(*) filter (depth > 0) as total_affected from m""")
+def impact_totals(spark, d):
+    e = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    return rel.impact_size(rel.reach(e, spark.createDataFrame([(1,)], "node long"), 5))
+
+
+@query(f"{MOD_SQL}, f as (select {LANG} as language, regexp_extract(file_path, '\\.[^./]+$') as ending, count(distinct file_path) as n from modules group by 1, 2) select language, string_agg(ending, ',' order by ending) as endings, cast(sum(n) as bigint) as files from f group by 1")
+def language_endings(spark, d):
+    return ix.language_endings(modules(spark, d)).withColumn("endings", F.array_join("endings", ","))
+
+
+@query(f"""{FILED_SQL}, s as (select file_path, count(*) as symbols, cast(sum(len(string_split(body, chr(10)))) as bigint) as lines, sum(len(body)) as chars from symbols group by 1)
+select count(distinct file_path) as files, count(*) as chunks, cast(sum(symbols) as bigint) as symbols, round(sum(chars) / count(*), 1) as avg_chunk_chars, 'python:' || count(*) || ':' || sum(lines)::bigint as coverage from s""")
+def repository_index_stats(spark, d):
+    """The statistics an index keeps, of one chunk a file."""
+    s = filed(spark, d)
+    chunks = s.groupBy("file_path").agg(F.lit(1).alias("start_line"), F.sum(F.size(F.split("body", "\n"))).cast("int").alias("end_line"), F.array_join(F.collect_list("body"), "").alias("content"))
+    cover = F.element_at("language_coverage", 1)
+    return ix.index_stats(chunks, s, 0.0).select("files", "chunks", "symbols", "avg_chunk_chars", F.concat_ws(":", cover["language"], cover["chunks"], cover["lines"]).alias("coverage"))

@@ -94,7 +94,10 @@ def normal_body(body) -> Column:
 def trigrams(text) -> Column:
     t = c(text)
     n = F.length(t)
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 2)), lambda i: F.substring(t, i, F.lit(3))))
+    # characters side by side with those one and two further on: linear in the text, as a substring at each place is not
+    one = F.split(t, "")
+    two = F.zip_with(one, F.slice(one, F.lit(2), n), lambda a, b: F.concat(a, b))
+    many = F.array_distinct(F.filter(F.zip_with(two, F.slice(one, F.lit(3), n), lambda a, b: F.concat(a, b)), lambda x: x.isNotNull()))
     return F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(t)).otherwise(many)
 
 

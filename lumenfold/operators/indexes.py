@@ -305,6 +305,33 @@ def index_stats(chunks: DataFrame, symbols: DataFrame, now: float) -> DataFrame:
     return rows.agg(F.lit(now).alias("last_indexed_at"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("files", "chunks", "symbols")], average.alias("avg_chunk_chars"), cover.alias("language_coverage"))
 
 
+class IndexStats:
+    """The statistics of the last indexing, kept as one row; None before the first."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.tables = Tables(spark, root)
+
+    def save(self, stats: DataFrame) -> DataFrame:
+        return self.tables.save("index_stats", stats.coalesce(1))
+
+    def load(self) -> DataFrame | None:
+        return self.tables.load("index_stats")
+
+
+def languages() -> dict[str, list[str]]:
+    """The file endings of each language, in order."""
+    return {lang: sorted(e for e, x in fn.LANGUAGES.items() if x == lang) for lang in sorted(set(fn.LANGUAGES.values()))}
+
+
+def language_endings(files: DataFrame, path: str = "file_path") -> DataFrame:
+    """(language, endings, files) of the languages that files are in: which endings they have, in order, and how many files there are."""
+    ending = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).alias("ending")
+    rows = files.select(F.col(path).alias("path"), fn.language_of(path).alias("language"), ending).groupBy("language", "ending").agg(F.countDistinct("path").alias("n"))
+    # the endings of a language are few; those of no language are not listed
+    known = rows.withColumn("ending", F.when(F.col("language") != "unknown", F.col("ending")))
+    return known.groupBy("language").agg(F.array_sort(F.collect_set("ending")).alias("endings"), F.sum("n").alias("files"))
+
+
 def language_stats(stats: DataFrame, language: str) -> DataFrame:
     return stats.select(F.explode(F.filter("language_coverage", lambda x: x["language"] == language)).alias("x")).select("x.*")
 

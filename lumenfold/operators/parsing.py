@@ -174,13 +174,13 @@ def tree_complexity(body: str) -> int | None:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def calls_by_code(body: pd.Series, path: pd.Series) -> pd.Series:
-    one = lambda b, p: None if b is None else scopes.calls(b, k) if (k := scopes.family(p or "")) else tree_calls(b)
+    one = lambda b, p: None if b is None else scopes.calls(b, k) if (k := scopes.family(p or "")) else tree_calls(b) if (p or "").lower().endswith(".py") else None
     return pd.Series([one(b, p) for b, p in zip(body, path, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.IntegerType())
 def complexity_by_code(body: pd.Series, path: pd.Series) -> pd.Series:
-    one = lambda b, p: None if b is None else scopes.complexity(b, k) if (k := scopes.family(p or "")) else tree_complexity(b)
+    one = lambda b, p: None if b is None else scopes.complexity(b, k) if (k := scopes.family(p or "")) else tree_complexity(b) if (p or "").lower().endswith(".py") else None
     return pd.Series([one(b, p) for b, p in zip(body, path, strict=True)], dtype="Int32")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,7 +12,7 @@ from lumenfold.functions import text as fn
 from lumenfold.operators import parsing
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
-from lumenfold.sources.store import spread
+from lumenfold.sources.store import Tables, spread
 
 # What a project must hold to, by rule.
 POLICY = {"min_maintainability": 40.0, "max_complexity": 25, "max_issues": 20, "max_dead_code": 15, "max_duplicates": 10, "require_safety_pass": 0}
@@ -136,6 +138,36 @@ def measures_for_gate(project: DataFrame, report: DataFrame) -> DataFrame:
     return a.crossJoin(report.select(F.col("issue_count").alias("issues"), "dead_code", "duplicates", F.col("unsafe").alias("safety_pass")))  # single rows
 
 
+# ----------------------------------------------------------------- snapshots
+class Snapshots:
+    """Measures of a project over time: one row a snapshot, by its time; saving a time again replaces its row.
+
+    A row holds all columns of project_metrics and quality_report as JSON, so that later measures don't change the table.
+    """
+
+    SCHEMA = "ts double, project string, report string, metadata map<string,string>"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.tables, self.spark = Tables(spark, root), spark
+
+    def save(self, ts: float, project: DataFrame, report: DataFrame, metadata: dict[str, str] | None = None) -> DataFrame:
+        """project and report are single rows."""
+        whole = lambda df, name: df.limit(1).select(F.to_json(F.struct("*")).alias(name))
+        marks = F.from_json(F.lit(json.dumps(metadata or {})), "map<string,string>")
+        row = whole(project, "project").crossJoin(whole(report, "report")).select(F.lit(float(ts)).alias("ts"), "project", "report", marks.alias("metadata"))  # single rows
+        return self.tables.upsert("snapshots", row, "ts")
+
+    def load(self, limit: int = 50) -> DataFrame:
+        """The newest first."""
+        held = self.tables.load("snapshots")
+        held = self.spark.createDataFrame([], self.SCHEMA) if held is None else held
+        return held.orderBy(F.desc("ts")).limit(limit)
+
+    def measures(self, schema: str = "maintainability_index double, avg_complexity double, total_loc long", of: str = "project") -> DataFrame:
+        """(ts, the columns of schema) of all snapshots, for relations.trend."""
+        return self.load(1 << 30).select("ts", F.from_json(of, schema).alias("m")).select("ts", "m.*")
+
+
 # ----------------------------------------------------------------- changes
 def change_summary(old: DataFrame, new: DataFrame) -> DataFrame:
     """By file: sorted names of symbols added, removed and modified, and import changes; of one name the last symbol counts."""

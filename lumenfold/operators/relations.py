@@ -21,24 +21,32 @@ HOTSPOT_WEIGHTS = {"complexity": 0.30, "duplication": 0.20, "fan_in": 0.15, "fan
 
 
 # ----------------------------------------------------------------- duplicates
-def duplicates(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, key: str = "id", body: str = "body", apart: str | None = None) -> DataFrame:
+def duplicates(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, key: str = "id", body: str = "body", apart: str | None = None, cut=store_cut) -> DataFrame:
     """(a, b, similarity) for pairs with trigram Jaccard of at least threshold; with `apart`, only across its values.
 
-    An equi-join on trigrams, kept to the prefix of rare ones that a pair this similar must share.
+    A row's trigrams are one array from the rarest to the most frequent. An equi-join on the prefix of rare ones that a pair this
+    similar must share keeps a pair only if what both have left after the shared trigram can still reach the threshold; the
+    arrays are met again for such pairs alone.
     """
     text = fn.normal_body(body)
     rows = bodies.select(F.col(key).alias("k"), text.alias("t"), (F.col(apart) if apart else F.lit(None)).alias("g")).where(F.size(F.split("t", "\n")) >= min_lines)
-    grams = rows.select("k", "g", F.posexplode(F.split("t", "")).alias("p", "_"), "t").where("p < greatest(1, length(t) - 2)").select("k", "g", F.expr("substring(t, p + 1, 3)").alias("x")).distinct()
-    size = grams.groupBy("k").agg(F.count("*").alias("n"))
+    grams = rows.where("t <> ''").select("k", "g", F.explode(fn.trigrams("t")).alias("x"))
     common = grams.groupBy("x").agg(F.count("*").alias("f"))
-    order = F.row_number().over(Window.partitionBy("k").orderBy("f", "x"))
-    prefix = grams.join(common, "x").withColumn("r", order).join(size, "k").where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    a, b = prefix.select(F.col("k").alias("a"), F.col("g").alias("ga"), "x", F.col("n").alias("na")), prefix.select(F.col("k").alias("b"), F.col("g").alias("gb"), "x", F.col("n").alias("nb"))
-    pairs = a.join(b, "x").where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = (pairs.where("ga <> gb") if apart else pairs).select("a", "b", "na", "nb").distinct()
-    ga, gb = grams.select(F.col("k").alias("a"), "x"), grams.select(F.col("k").alias("b"), "x")
-    both = pairs.join(ga, "a").join(gb, ["b", "x"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    by_rarity = F.sort_array(F.collect_set(F.struct("f", "x")))
+    held = cut(grams.join(common, "x").groupBy("k").agg(F.first("g").alias("g"), F.transform(by_rarity, lambda r: r["x"]).alias("xs")))
+    n = F.size("xs")
+    # the small amount keeps a product that rounding lifts above a whole number from shortening the prefix
+    lead = F.slice("xs", 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    prefix = held.select("k", "g", n.alias("n"), F.posexplode(lead).alias("p", "x"))
+    side = lambda c: prefix.select(F.col("k").alias(c), F.col("g").alias(f"g{c}"), "x", F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}"))
+    pairs = side("a").join(side("b"), "x").where("a < b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    # places count from 0, so the shared trigram is among what is left
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    pairs = pairs.where(reach >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6)
+    pairs = (pairs.where("ga <> gb") if apart else pairs).select("a", "b").distinct()
+    both = pairs.join(held.select(F.col("k").alias("a"), F.col("xs").alias("xa")), "a").join(held.select(F.col("k").alias("b"), F.col("xs").alias("xb")), "b")
+    both = both.withColumn("c", F.size(F.array_intersect("xa", "xb")))
+    return both.select("a", "b", (F.col("c") / (F.size("xa") + F.size("xb") - F.col("c"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int = 4, key: str = "id", body: str = "body", apart: str | None = None, cut=store_cut) -> DataFrame:
@@ -51,7 +59,7 @@ def duplicate_classes(bodies: DataFrame, threshold: float = 0.75, min_lines: int
     rows = cut(rows.select("k", "body", F.sha2("t", 256).alias("h"), *(["g"] if apart else [])))
     by = ["h", "g"] if apart else ["h"]
     classes = cut(rows.groupBy(*by).agg(F.min("k").alias("rep"), F.min_by("body", "k").alias("body")))
-    pairs = duplicates(classes, threshold, min_lines, "rep", "body", "g" if apart else None)
+    pairs = duplicates(classes, threshold, min_lines, "rep", "body", "g" if apart else None, cut)
     member = rows.select("k", *by).join(classes.select("rep", *by), by).where("k <> rep")
     return pairs.unionByName(member.select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity")))
 
@@ -184,6 +192,18 @@ def trace(symbols: DataFrame, edges: DataFrame, target: str, depth: int = 5, cut
     )
 
 
+def trace_size(traced: DataFrame) -> DataFrame:
+    """One row: how many symbols a trace met above and below its target, and together; the target doesn't count."""
+    many = lambda cond: F.count(F.when(cond, 1))
+    return traced.agg(many(F.col("depth") < 0).alias("upstream"), many(F.col("depth") > 0).alias("downstream"), many(F.col("depth") != 0).alias("total_nodes"))
+
+
+def impact_size(reached: DataFrame) -> DataFrame:
+    """One row: how many nodes are reached in one step, in more, and together; the seeds don't count."""
+    many = lambda cond: F.count(F.when(cond, 1))
+    return reached.agg(many(F.col("depth") == 1).alias("direct"), many(F.col("depth") > 1).alias("transitive"), many(F.col("depth") > 0).alias("total_affected"))
+
+
 # ----------------------------------------------------------------- dependencies
 # Import texts that lead into another language, in the order in which they are tried.
 FOREIGN = (

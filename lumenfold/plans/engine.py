@@ -16,7 +16,8 @@ from lumenfold.operators import embedding, history, indexes, parsing, quality
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 from lumenfold.plans.tools import Executor, Outcome, Plugin, Plugins
-from lumenfold.sources.store import cut, delete, drop_cut, work_dir
+from lumenfold.sources import files as sources
+from lumenfold.sources.store import Tables, cut, delete, drop_cut, work_dir
 
 # How many results, of what least score, and how many tokens of context, where none are given.
 TOP, LEAST, RAG_LEAST, BUDGET, SUMMARY_CHARS, LEAST_BUDGET = 10, 0.3, 0.15, 3000, 1500, 200
@@ -335,18 +336,75 @@ class Engine:
         return store.record(history.query_record(rows, query, now))
 
 
+def files_in(spark: SparkSession, path: str) -> DataFrame:
+    """The files of known languages below a folder."""
+    return sources.scan(spark, path, sorted(fn.LANGUAGES)).select(F.col("relative_path").alias("file_path"), "content")
+
+
 @dataclass
 class Workspace:
-    """Several repositories, by name, searched and analysed together."""
+    """Several repositories, by name, searched and analysed together.
+
+    Each is indexed once, when first searched or by index_all(), until close(). With a root, the names and folders of
+    repositories added by folder are kept there and load() finds them again; statistics of the last indexing likewise.
+    """
 
     spark: SparkSession
+    root: str | None = None
     repos: dict[str, DataFrame] = field(default_factory=dict)
+    engines: dict[str, Engine] = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Workspace:
+        out = cls(spark, root)
+        held = out.manifest()
+        for r in held.orderBy("name").collect() if held is not None else []:
+            out.add(r.name, files_in(spark, r.path))
+        return out
+
+    def manifest(self) -> DataFrame | None:
+        return Tables(self.spark, self.root).load("workspace") if self.root else None
 
     def add(self, name: str, files: DataFrame) -> None:
         if name in self.repos:
             raise ValueError(f"{name} exists")
         self.repos[name] = files
 
+    def add_folder(self, name: str, path: str) -> None:
+        self.add(name, files_in(self.spark, path))
+        if self.root:
+            Tables(self.spark, self.root).upsert("workspace", self.spark.createDataFrame([(name, path)], "name string, path string"), "name")
+
+    def remove(self, name: str) -> None:
+        del self.repos[name]
+        if name in self.engines:
+            self.engines.pop(name).close()
+        if self.root:
+            Tables(self.spark, self.root).remove("workspace", F.col("name") == name)
+
+    def engine(self, name: str) -> Engine:
+        if name not in self.engines:
+            self.engines[name] = Engine(self.spark, self.repos[name])
+        return self.engines[name]
+
+    def index_all(self, now: float, force: bool = False) -> dict[str, DataFrame]:
+        """Statistics by repository; those indexed before are indexed again only with force."""
+        out = {}
+        for name in self.repos:
+            if force and name in self.engines:
+                self.engines.pop(name).close()
+            e = self.engine(name)
+            stats = indexes.index_stats(e.chunks, e.symbols, now)
+            out[name] = indexes.IndexStats(self.spark, f"{self.root}/stats/{name}").save(stats) if self.root else stats
+        return out
+
+    def stats(self, name: str) -> DataFrame | None:
+        return indexes.IndexStats(self.spark, f"{self.root}/stats/{name}").load() if self.root else None
+
+    def close(self) -> None:
+        while self.engines:
+            self.engines.popitem()[1].close()
+
     def files(self) -> DataFrame:
         out = None
         for name, files in self.repos.items():
@@ -357,8 +415,8 @@ class Workspace:
     def search(self, query: str, k: int = TOP, mode: str = "semantic", least: float = LEAST) -> DataFrame:
         """The k best of each repository, then of all; the least score holds for semantic search only."""
         out = None
-        for name, files in self.repos.items():
-            one = Engine(self.spark, files).search(query, mode, k, least).select(F.lit(name).alias("repo"), "key", "score", "file_path", "start_line", "end_line")
+        for name in self.repos:
+            one = self.engine(name).search(query, mode, k, least).select(F.lit(name).alias("repo"), "key", "score", "file_path", "start_line", "end_line")
             out = one if out is None else out.unionByName(one)
         return se.top(out, k, "key")
 
