@@ -182,7 +182,9 @@ def definitions(path: str, text: str) -> list[tuple]:
         out.append((name, what, path, i + 1, j + 1, a - starts[i], b - starts[j], text[a:b], parent, params, marks))
 
     def owner() -> str:
-        return next((s[0][0] for s in reversed(stack) if s[0] and s[0][1] == "class"), "")
+        """The innermost type around; each scope knows the one around it."""
+        top = stack[-1] if stack else None
+        return "" if top is None else top[0][0] if top[0] and top[0][1] == "class" else top[2]
 
     def decorators(found: list[tuple[str, int]]) -> tuple[list[str], list[tuple[str, int]]]:
         """Leading marks like @Name(..), and the rest of the head."""
@@ -203,13 +205,14 @@ def definitions(path: str, text: str) -> list[tuple]:
             body = text[found[0][1] : end].rstrip()
             place(body, "import", found[0][1], found[0][1] + len(body), owner(), [], [])
 
-    def closed(end: int) -> None:
+    def closed(end: int) -> list[tuple[str, int]]:
+        """Ends the innermost scope; the statement that goes on after it."""
         found, a, parent, params, marks, kept, _ = stack.pop()
         if found:
             spec = found[3] or parent
             what = "method" if found[1] == "function" and spec else found[1]
             place(found[0], what, a, end, spec if what == "method" else parent, params, marks)
-        head[:] = kept
+        return kept
 
     line_ends = kind in ("js", "go", "c")
     for t, at in tokens(text, kind):
@@ -227,11 +230,14 @@ def definitions(path: str, text: str) -> list[tuple]:
                 head.append((t, at))
                 depth += 1
                 continue
-            marks, rest = decorators(head)
-            found = _head([x for x, _ in rest], kind, bool(stack and stack[-1][0] and stack[-1][0][1] == "class"))
+            # what opens inside brackets is a value
+            marks, rest = decorators(head) if not depth else ([], head)
+            found = None if depth else _head([x for x, _ in rest], kind, bool(stack and stack[-1][0] and stack[-1][0][1] == "class"))
             inner = depth > 0 or (not found and bool(head) and head[-1][0] in ("=", "=>", ",", ":", "return", "?"))
             begin = next((p for x, p in rest if x not in ("export", "default")), at) if kind == "js" else rest[0][1] if rest else at
-            stack.append((found, begin, owner(), found[2] if found else [], marks, [*head, ("{", at), ("}", at)] if inner else [], depth))
+            if inner:
+                head += [("{", at), ("}", at)]
+            stack.append((found, begin, owner(), found[2] if found else [], marks, head if inner else [], depth))
             head, depth = [], 0
         elif t == "}":
             if head and head[0][0] in ("import", "use", "export") and depth:
@@ -239,14 +245,15 @@ def definitions(path: str, text: str) -> list[tuple]:
                 depth -= 1
             elif stack:
                 depth = stack[-1][-1]
-                head = []
-                closed(at + 1)
+                head = closed(at + 1)
         elif t == ";" and not depth:
             imported(head, at + 1)
             found = _head([x for x, _ in head], kind, False) if kind == "rust" and any(x == "struct" for x, _ in head[:4]) else None
             if found:
                 place(found[0], "class", head[0][1], at + 1, owner(), [], [])
             head = []
+        elif t == "," and not depth and head and head[-1][0] == "}" and head[0][0] not in ("import", "use", "export"):
+            head = []
         else:
             if kind == "c" and t == ":" and len(head) == 1 and head[0][0] in ("public", "private", "protected"):
                 head = []

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from lumenfold.operators import scopes
@@ -105,3 +107,10 @@ def test_decorators_unclosed_and_odd_texts():
 def test_calls_and_complexity_pass_over_strings():
     body = 'function f(a) { if (a && b) { go("if (x) call()"); } // while (x)\n return a ? one() : two(); }'
     assert scopes.calls(body, "js") == ["go", "one", "two"] and scopes.complexity(body, "js") == 4
+
+
+def test_large_literals_and_deep_braces_take_linear_time():
+    began = time.perf_counter()
+    for path, text in (("a.js", "x = [" + "{a:1}," * 20000 + "]"), ("a.js", "x = {" + "k: {a: 1},\n" * 20000 + "}"), ("a.c", "{" * 40000), ("a.go", "type T struct { a int }\n" * 5000)):
+        scopes.definitions(path, text)
+    assert time.perf_counter() - began < 20
