@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,14 +200,17 @@ def admit(stamps: list[float], tokens: list[int], rpm: int = 0, tpm: int = 0, se
     One is admitted if the requests and tokens admitted within the window before it, at first those of held, leave room;
     a limit of 0 is none.
     """
-    held, out = list(held), []
+    held, out = deque(held), []
+    total = sum(x[1] for x in held)
     for t, n in zip(stamps, tokens, strict=True):
-        held = [x for x in held if x[0] > t - seconds]
-        ok = (rpm <= 0 or len(held) < rpm) and (tpm <= 0 or sum(x[1] for x in held) + n <= tpm)
+        while held and held[0][0] <= t - seconds:
+            total -= held.popleft()[1]
+        ok = (rpm <= 0 or len(held) < rpm) and (tpm <= 0 or total + n <= tpm)
         out.append((ok, 0.0 if ok else max(seconds - (t - held[0][0]), 0.1) if held else 0.1))
         if ok:
             held.append((t, n))
-    return out, held
+            total += n
+    return out, list(held)
 
 
 def admitted(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds: float = LIMIT_SECONDS) -> DataFrame:

@@ -66,31 +66,64 @@ def vector_top(vectors: DataFrame, query: list[float], k: int, key: str = "vec_i
     return top(vectors.select(key, dot(vector, q).alias("score")), k, key)
 
 
-def vector_top_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(query_id, key, score): the k best other rows for each query, a matrix product of a block of rows with all queries.
-
-    Queries are a short list, at most 64 MB of them: they are sent to every task. Each block keeps its k best for each query, so what is shuffled is small.
+#: Bytes of queries that are sent to every task; components that a task holds of either side beyond it; entries of one matrix product.
+SENT, HELD, TILE = 1 << 26, 1 << 22, 1 << 22
+
+
+def _best(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score): the k best other rows for each query, ties to the smaller id; a product of a part of the queries at a time."""
+    order = np.argsort(own, kind="stable")
+    own, x = own[order], x[order]
+    step, out = max(1, TILE // max(1, len(own))), []
+    for at in range(0, len(ids), step):
+        s = q[at : at + step] @ x.T
+        s[np.isnan(s) | (own[None, :] == ids[at : at + step, None])] = -np.inf
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        v = s[r, c]
+        order = np.lexsort((c, -v, r))
+        r, c, v = r[order], c[order], v[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((ids[at + r[keep]], own[c[keep]], v[keep]))
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True)) if out else (ids[:0], own[:0], np.zeros(0))
+
+
+def vector_top_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", sent: int = SENT) -> DataFrame:
+    """(query_id, key, score): the k best other rows for each query; null vectors take no part.
+
+    Up to `sent` bytes of queries go to every task and rows stay where they are. Of more, blocks of queries meet shards of rows, of
+    HELD components each, so a task's memory is bounded by neither table. Each task keeps its k best for each query.
     """
-    asked = queries.select(key, vector).collect()
-    if len(asked) * len(asked[0][1] if asked else []) * 8 > 1 << 26:
-        raise ValueError("too many queries for one pass; ask them in parts")
-    ids, q = [r[0] for r in asked], np.array([r[1] for r in asked], np.float64)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for at in range(0, len(pdf), block):
-                part = pdf.iloc[at : at + block]
-                own = part[key].to_numpy()
-                s = q @ np.stack([np.asarray(v, np.float64) for v in part[vector]]).T if len(q) else np.zeros((0, 0))
-                for i, row in enumerate(s):
-                    row = np.where(own == ids[i], -np.inf, row)
-                    best = np.lexsort((own, -row))[:k]
-                    out += [(ids[i], own[j], row[j]) for j in best if row[j] > -np.inf]
-            yield pd.DataFrame(out, columns=["query_id", key, "score"])
-
+    able = lambda t: t.where(F.col(vector).isNotNull()).select(key, vector)
+    rows, asked = able(vectors), able(queries)
     kind = vectors.schema[key].dataType.simpleString()
-    found = vectors.select(key, vector).mapInPandas(run, f"query_id {kind}, {key} {kind}, score double")
+    schema = f"query_id {kind}, {key} {kind}, score double"
+    stack = lambda v: np.array([np.asarray(x, np.float64) for x in v])
+    frame = lambda found: pd.DataFrame(dict(zip(("query_id", key, "score"), found, strict=True)))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size(vector)), F.lit(1))).first()
+    if n * width * 8 <= sent:
+        held = asked.collect()
+        ids, q = np.array([r[0] for r in held]), stack([r[1] for r in held])
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf) and len(ids):
+                    yield frame(_best(ids, q, pdf[key].to_numpy(), stack(pdf[vector]), k))
+
+        found = rows.mapInPandas(run, schema)
+    else:
+        shards, blocks = (max(1, -(-m * width // HELD)) for m in (rows.count(), n))
+        deal = lambda m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        a = rows.select("*", deal(shards).alias("_shard"), every(blocks).alias("_block"))
+        b = asked.select("*", every(shards).alias("_shard"), deal(blocks).alias("_block"))
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return frame(([], [], []))
+            return frame(_best(right[key].to_numpy(), stack(right[vector]), left[key].to_numpy(), stack(left[vector]), k))
+
+        found = a.groupBy("_shard", "_block").cogroup(b.groupBy("_shard", "_block")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
