@@ -12,7 +12,7 @@ from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.operators import history, quality
+from lumenfold.operators import history, inference, quality
 from lumenfold.plans.engine import Engine
 
 Messages = list[dict[str, str]]
@@ -93,11 +93,13 @@ def cached(provider: Provider, cache: history.AnswerCache | None = None, limiter
 
 
 def rerank_with(hits: DataFrame, query: str, score: Callable[[str, list[str]], list[float]], most: int = 100, chars: int = 500) -> DataFrame:
-    """Ranked hits (key, content, score) scored anew by a model on their first characters; a short list, so the model runs beside the driver."""
-    rows = hits.select("key", F.substring("content", 1, chars).alias("c")).limit(most).collect()
-    new = score(query, [r.c for r in rows])
-    fresh = hits.sparkSession.createDataFrame([(r.key, float(s)) for r, s in zip(rows, new, strict=True)], "key string, model_score double")
-    return hits.join(F.broadcast(fresh), "key").drop("score").withColumnRenamed("model_score", "score").orderBy(F.desc("score"), "key")
+    """The `most` best of ranked hits (key, content, score) scored anew on their first characters, in the tasks that hold them."""
+
+    def load():
+        return lambda queries, texts: score(queries[0], texts)
+
+    rows = hits.orderBy(F.desc("score"), "key").limit(most).withColumns({"_query": F.lit(query), "_text": F.substring("content", 1, chars)})
+    return inference.scored(rows, ["_query", "_text"], load, "_new").withColumn("score", F.col("_new")).drop("_new", "_query", "_text").orderBy(F.desc_nulls_last("score"), "key")
 
 
 def parsed(reply: str) -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as fn
-from lumenfold.operators import embedding, history, indexes, parsing, quality
+from lumenfold.operators import embedding, history, indexes, parsing, quality, trigrams
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 from lumenfold.plans.tools import Executor, Outcome, Plugin, Plugins
@@ -65,6 +65,10 @@ class Engine:
         index.add(self.vectors.where("embedding is not null"))
         return index
 
+    @cached_property
+    def trigrams(self) -> trigrams.TrigramIndex:
+        return trigrams.TrigramIndex(self.spark, f"{self._root}/trigrams", "key").build(self.chunks, "content")
+
     @cached_property
     def _root(self) -> str:
         return f"{work_dir(self.spark)}/engine-{uuid.uuid4().hex}"
@@ -77,7 +81,7 @@ class Engine:
         for name in ("chunks", "symbols", "edges", "vectors"):
             if name in self.__dict__:
                 drop_cut(self.__dict__.pop(name))
-        for name in ("words", "near"):
+        for name in ("words", "near", "trigrams"):
             self.__dict__.pop(name, None)
         if "_root" in self.__dict__:
             delete(self.spark, self.__dict__.pop("_root"))
@@ -100,7 +104,8 @@ class Engine:
         return self._shown(self._semantic(query, k).where(F.col("score") >= least))
 
     def regex_search(self, pattern: str, k: int = TOP, insensitive: bool = True) -> DataFrame:
-        return self._shown(se.regex_search(self.chunks, pattern, k, insensitive, "key", "content", "start_line"))
+        """The k chunks with most matching lines; only those are read whose stored trigrams a match can have."""
+        return self._shown(self.trigrams.search(self.chunks, pattern, k, insensitive, "content", "start_line"))
 
     def hybrid_search(self, query: str, k: int = TOP) -> DataFrame:
         a, b = se.ranked(self._semantic(query, 2 * k), "key"), se.ranked(self._keyword(query, 2 * k), "key")

@@ -69,6 +69,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: The file that names the columns of a version without rows.
+SCHEMA = "_columns"
+
+
 class Tables:
     """Named Parquet tables below one folder. Each write is a new numbered version, complete once its _SUCCESS is there.
 
@@ -92,17 +96,37 @@ class Tables:
             path = f"{path}/{folders[0]}"
         return out
 
+    def _read(self, path: str) -> DataFrame:
+        """A version's rows. A partitioned one that was empty when written has no file to tell its columns, but their names and kinds."""
+        if SCHEMA not in children(self.spark, path):
+            return self.spark.read.parquet(path)
+        fs, p = _at(self.spark, f"{path}/{SCHEMA}")
+        held = fs.open(p)
+        ddl = bytes(held.readAllBytes()).decode()
+        held.close()
+        return self.spark.read.schema(ddl).parquet(path)
+
+    def _note_columns(self, path: str, df: DataFrame, partition: tuple[str, ...]) -> None:
+        """Beside a partitioned version without rows, its columns, those of the layout last."""
+        if partition and not any("=" in x for x in children(self.spark, path)):
+            order = [*(c for c in df.columns if c not in partition), *partition]
+            fs, p = _at(self.spark, f"{path}/{SCHEMA}")
+            out = fs.create(p, True)
+            out.write(bytearray(df.select(*order)._jdf.schema().toDDL().encode()))
+            out.close()
+
     def load(self, name: str) -> DataFrame | None:
         have = self._versions(name)
-        return self.spark.read.parquet(f"{self.root}/{name}/v={have[-1]}") if have else None
+        return self._read(f"{self.root}/{name}/v={have[-1]}") if have else None
 
     def save(self, name: str, df: DataFrame, *partition: str) -> DataFrame:
         have = self._versions(name)
         path = f"{self.root}/{name}/v={have[-1] + 1 if have else 0}"
         (df.write.partitionBy(*partition) if partition else df.write).mode("overwrite").parquet(path)
+        self._note_columns(path, df, partition)
         for old in have[: -self.KEPT + 1] if self.KEPT > 1 else have:
             delete(self.spark, f"{self.root}/{name}/v={old}")
-        return self.spark.read.parquet(path)
+        return self._read(path)
 
     def append(self, name: str, df: DataFrame, *partition: str) -> DataFrame:
         """New rows beside the present version's files; nothing is rewritten. partition is that of the table."""
@@ -111,7 +135,7 @@ class Tables:
             return self.save(name, df, *partition)
         path = f"{self.root}/{name}/v={have[-1]}"
         (df.write.partitionBy(*partition) if partition else df.write).mode("append").parquet(path)
-        return self.spark.read.parquet(path)
+        return self._read(path)
 
     def upsert(self, name: str, fresh: DataFrame, *key: str, gone: DataFrame | None = None) -> DataFrame:
         """fresh replaces the rows of its keys, and the keys of gone go; the layout stays."""

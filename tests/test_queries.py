@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from lumenfold import catalog, code_queries  # noqa: F401
+from lumenfold import catalog, code_queries, retrieval_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
