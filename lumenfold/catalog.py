@@ -467,7 +467,11 @@ def rate_window(spark, d):
     return hi.usage(t(spark, d, "events"), "user_id", "ts", "value").select("event_id", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""with recursive e as (select user_id, event_id, epoch_us(ts) / 1e6 as t, row_number() over (partition by user_id order by ts, event_id) as i from events),
+r as (select user_id, event_id, i, t, true as ok, 0.0::double as wait, [t] as held from e where i = 1
+  union all select user_id, event_id, i, t, len(h) < 2, case when len(h) < 2 then 0.0::double else greatest(3600 - (t - h[1]), 0.1::double) end, case when len(h) < 2 then list_append(h, t) else h end
+  from (select e.user_id, e.event_id, e.i, e.t, list_filter(r.held, lambda x: x > e.t - 3600) as h from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+select event_id, ok as admitted, round(wait, 3) as retry_after from r""")
 def rate_admissions(spark, d):
     """Each user's events as requests, at most two an hour; what is not admitted does not count."""
     e = t(spark, d, "events").select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.lit(1).alias("tokens"))

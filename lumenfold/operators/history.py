@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lumenfold.functions import text as fn
 from lumenfold.operators import relations as rel
 from lumenfold.operators.quantiles import order_statistics
-from lumenfold.sources.store import Tables
+from lumenfold.sources.store import Tables, cut
 
 # How many queries, memories and answers are kept, and how long answers and sessions live.
 QUERIES_KEPT, MEMORIES_KEPT, ANSWERS_KEPT = 500, 200, 500
@@ -20,6 +20,8 @@ ANSWER_SECONDS, SESSION_SECONDS, LIMIT_SECONDS = 86_400.0, 3_600.0, 60.0
 QUERY = "query string, ts double, result_count int, top_score double, languages array<string>, top_files array<string>"
 ENTRY = "key string, content string, kind string, ts double"
 ANSWER = "key string, response string, ts double"
+#: Requests of one task, and rounds in which all parts that differ are done anew.
+REQUESTS_A_TASK, ROUNDS = 1 << 16, 3
 MESSAGE = "session_id string, ord int, role string, content string, ts double"
 
 
@@ -213,16 +215,81 @@ def admit(stamps: list[float], tokens: list[int], rpm: int = 0, tpm: int = 0, se
     return out, list(held)
 
 
-def admitted(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds: float = LIMIT_SECONDS) -> DataFrame:
-    """(who, id, ts, admitted, retry_after) of requests (who, id, ts double, tokens long), each caller in order of time."""
-    kind = requests.schema[who].dataType.simpleString(), requests.schema["id"].dataType.simpleString()
+ADMITTED = "who {0}, id {1}, ts double, admitted boolean, retry_after double"
+
+
+def request_rows(requests: DataFrame, who: str) -> DataFrame:
+    """(who, id, ts, tokens) of requests; no tokens are 0."""
+    return requests.select(F.col(who).alias("who"), "id", F.col("ts").cast("double").alias("ts"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
+
+
+def admitted_schema(rows: DataFrame) -> str:
+    return ADMITTED.format(*(rows.schema[c].dataType.simpleString() for c in ("who", "id")))
+
+
+def _part(pdf: pd.DataFrame, held: list[tuple[float, int]], rpm: int, tpm: int, seconds: float) -> tuple[pd.DataFrame, list[tuple[float, int]]]:
+    """What is admitted of a part of the requests in order, whose first caller comes with what it holds; and what its last caller holds at the end."""
+    pdf = pdf.sort_values("n")
+    # requests of one caller stand side by side
+    first = pdf["first"].to_numpy(bool)
+    starts = [k for k in range(len(pdf)) if first[k] or k == 0] + [len(pdf)]
+    stamps, tokens = pdf["ts"].tolist(), pdf["tokens"].tolist()
+    got: list[tuple[bool, float]] = []
+    for k, (i, j) in enumerate(zip(starts, starts[1:], strict=False)):
+        one, rest = admit(stamps[i:j], tokens[i:j], rpm, tpm, seconds, () if k or first[i] else held)
+        got.extend(one)
+    return pd.DataFrame({"who": pdf["who"], "id": pdf["id"], "ts": pdf["ts"], "admitted": [ok for ok, _ in got], "retry_after": [w for _, w in got]}), rest
+
+
+def admitted(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds: float = LIMIT_SECONDS, part: int = REQUESTS_A_TASK) -> DataFrame:
+    """(who, id, ts, admitted, retry_after) of requests (who, id, ts double, tokens long), each caller in order of ts, then id.
+
+    The requests are laid out in this order in parts of about `part`, so one caller's may be many tasks. What a caller holds at the
+    end of a part is what it brings to the next. At first every part begins with nothing held; a part that was given other than
+    the one before it leaves is done anew, until none is. After a pause of the window, and mostly far sooner, what was held
+    before makes no difference, so a few rounds do; where it goes on to make one, parts of a caller follow one another, each done
+    once more. A request without a time isn't admitted and holds nothing. The driver holds what each part leaves: at most rpm
+    requests, or tpm of one token.
+    """
+    rows = request_rows(requests, who)
+    schema, timed = admitted_schema(rows), rows.where("ts is not null and not isnan(ts)")
+    untimed = rows.where("ts is null or isnan(ts)").select("who", "id", "ts", F.lit(False).alias("admitted"), F.lit(None).cast("double").alias("retry_after"))
+    parts = max(1, -(-timed.count() // part))
+    placed = timed.repartitionByRange(parts, "who", "ts", "id").sortWithinPartitions("who", "ts", "id")
+    laid = cut(placed.withColumns({"part": F.spark_partition_id(), "n": F.monotonically_increasing_id()}))
+    ends = laid.groupBy("part").agg(F.min_by(F.struct("who"), "n").alias("a"), F.max_by(F.struct("who"), "n").alias("b")).orderBy("part").collect()
+    goes_on = {q.part: p.part for p, q in zip(ends, ends[1:], strict=False) if p.b == q.a}  # a part that begins with its predecessor's last caller
+    # a caller's first request in the order
+    w = Window.partitionBy("part").orderBy("n")
+    before = F.lag(F.struct("who")).over(w)
+    laid = laid.withColumn("first", F.when(F.row_number().over(w) == 1, ~F.col("part").isin(list(goes_on))).otherwise(~before.eqNullSafe(F.struct("who"))))
+    given: dict[int, list] = {}
+    left: dict[int, list] = {}
+
+    def leaves(held: dict[int, list]):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            at = int(pdf["part"].iloc[0])
+            rest = _part(pdf, held.get(at, []), rpm, tpm, seconds)[1]
+            return pd.DataFrame({"part": [at], "ts": [[float(t) for t, _ in rest]], "tokens": [[int(n) for _, n in rest]]})
+
+        return run
+
+    # what only the last part of a caller leaves is asked by none
+    todo, rounds = sorted(set(goes_on.values())), 0
+    while todo:
+        found = laid.where(F.col("part").isin(todo)).groupBy("part").applyInPandas(leaves({p: given.get(p, []) for p in todo}), "part int, ts array<double>, tokens array<long>")
+        left |= {r.part: list(zip(r.ts, r.tokens, strict=True)) for r in found.collect()}
+        rounds += 1
+        other = [p for p in goes_on if left[goes_on[p]] != given.get(p, [])]
+        if rounds > ROUNDS:
+            other = [p for p in other if goes_on[p] not in other]  # those whose predecessor is settled
+        given |= {p: left[goes_on[p]] for p in other}
+        todo = sorted(set(other) & set(goes_on.values()))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"], kind="stable")
-        got, _ = admit(pdf["ts"].tolist(), pdf["tokens"].tolist(), rpm, tpm, seconds)
-        return pd.DataFrame({"who": pdf[who], "id": pdf["id"], "ts": pdf["ts"], "admitted": [ok for ok, _ in got], "retry_after": [w for _, w in got]})
+        return _part(pdf, given.get(int(pdf["part"].iloc[0]), []), rpm, tpm, seconds)[0]
 
-    return requests.groupBy(who).applyInPandas(run, f"who {kind[0]}, id {kind[1]}, ts double, admitted boolean, retry_after double")
+    return laid.groupBy("part").applyInPandas(run, schema).unionByName(untimed)
 
 
 def latency_report(runs: DataFrame, by: str = "mode", ms: str = "ms") -> DataFrame:

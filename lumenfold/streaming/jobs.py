@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lumenfold.operators import history
 from lumenfold.operators import relations as rel
@@ -99,23 +100,53 @@ def rate(events: DataFrame, who: str, ts: str, tokens: str, window: str = "60 se
     return stamped.groupBy(who, F.window("at", window, slide).alias("w")).agg(F.count("*").alias("requests"), F.sum(tokens).alias("tokens")).select(who, F.col("w.end").alias("at"), "requests", "tokens")
 
 
-def admissions(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds: float = history.LIMIT_SECONDS) -> DataFrame:
-    """(who, id, ts, admitted, retry_after) of a stream of requests (who, id, ts double, tokens long).
+#: Seconds that event times are moved on by, as a stream takes times up to 1970 for late before its first row.
+SHIFT = 86_400
 
-    A request counts against the limits only if it was admitted. State holds the admitted requests of the last window, no more
-    than the limits let in.
-    """
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        new = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
-        got, held = history.admit(new["ts"].tolist(), new["tokens"].tolist(), rpm, tpm, seconds, held)
-        state.update(([t for t, _ in held], [int(n) for _, n in held]))
-        yield pd.DataFrame({"who": key[0], "id": new["id"].tolist(), "ts": new["ts"].tolist(), "admitted": [ok for ok, _ in got], "retry_after": [w for _, w in got]})
+class Admission(StatefulProcessor):
+    """Holds each caller's admitted requests of the last window, and forgets a caller whose window has passed."""
+
+    def __init__(self, rpm: int, tpm: int, seconds: float):
+        self.rpm, self.tpm, self.seconds = rpm, tpm, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "ts double, tokens long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
+        held = [(float(t), int(n)) for t, n in self.held.get()]
+        got, held = history.admit(new["ts"].tolist(), new["tokens"].tolist(), self.rpm, self.tpm, self.seconds, held)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if held:
+            self.held.put([(float(t), int(n)) for t, n in held])
+            self.handle.registerTimer(math.ceil((held[-1][0] + self.seconds + SHIFT) * 1000))
+        else:
+            self.held.clear()
+        yield pd.DataFrame({"who": [key[0]] * len(new), "id": new["id"].tolist(), "ts": new["ts"].tolist(), "admitted": [ok for ok, _ in got], "retry_after": [w for _, w in got]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.held.clear()
+        yield pd.DataFrame()
 
-    rows = requests.select(F.col(who).alias("who"), "id", F.col("ts").cast("double").alias("ts"), F.col("tokens").cast("long").alias("tokens"))
-    kind = rows.schema["who"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("who").applyInPandasWithState(run, f"who {kind[0]}, id {kind[1]}, ts double, admitted boolean, retry_after double", "ts array<double>, tokens array<long>", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def admissions(requests: DataFrame, who: str, rpm: int = 0, tpm: int = 0, seconds: float = history.LIMIT_SECONDS, late: str = "60 seconds") -> DataFrame:
+    """(who, id, ts, admitted, retry_after) of a stream of requests (who, id, ts double, tokens long).
+
+    A request counts against the limits only if it was admitted. State holds the admitted requests of a caller's last window, no
+    more than the limits let in; once the watermark has passed that window, a timer drops the caller. Requests later than `late`
+    behind the newest, those without a time and those of a day or more before 1970 are left out. The session's streams keep state in RocksDB from then on, which
+    timers need.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = history.request_rows(requests, who)
+    stamped = rows.where("ts is not null and not isnan(ts)").withColumn("at", F.timestamp_micros(((F.col("ts") + SHIFT) * 1_000_000).cast("long"))).withWatermark("at", late)
+    return stamped.groupBy("who").transformWithStateInPandas(Admission(rpm, tpm, seconds), history.admitted_schema(rows), "append", "eventTime")
 
 
 # ----------------------------------------------------------------- answers as events
