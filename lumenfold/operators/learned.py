@@ -8,11 +8,12 @@ blocks of its rows. What the driver holds is bounded by the vocabulary: VOCABULA
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ from lumenfold.sources.store import Tables, cut, drop_cut, spread
 #: Tokens that get vectors, how often one must occur, how far apart two count as near, components of a vector.
 VOCABULARY, LEAST, NEAR, WIDTH = 20_000, 3, 5, 64
 #: Directions held beyond WIDTH, products after the first, blocks of rows, entries of one product.
-SPARE, ROUNDS, BLOCKS, TILE = 16, 4, 64, 1 << 16
+SPARE, ROUNDS, BLOCKS, TILE = 16, 4, 256, 1 << 16
+#: Places of tokens whose pairs a task sums at once.
+PIECE = 1 << 18
 #: A token of this share of all counts half in a text.
 COMMON = 1e-3
 
@@ -34,34 +37,54 @@ def vocabulary(docs: DataFrame, text: str = "text", most: int = VOCABULARY, leas
     return [(r.tok, r.n) for r in rows.orderBy(F.desc("n"), "tok").limit(most).collect()]
 
 
-def _near(ids: np.ndarray, size: int, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the pairs of places up to `near` apart, each with the weight near + 1 - distance; -1 is no token of the vocabulary."""
-    codes, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for gap in range(1, min(near, len(ids) - 1) + 1):
-        a, b = ids[:-gap], ids[gap:]
+def _near(ids: np.ndarray, size: int, near: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, once each, of the pairs up to `near` apart whose first place is among the first `own`, with their summed weights near + 1 - distance; -1 is no token of the vocabulary."""
+    codes, weights = [], []
+    for gap in range(1, near + 1):
+        b = ids[gap : gap + own]
+        a = ids[: len(b)]
         held = (a >= 0) & (b >= 0)
         a, b = a[held], b[held]
         codes.append(np.minimum(a, b) * size + np.maximum(a, b))
         weights.append(np.full(len(a), near + 1 - gap, np.int64))
-    return np.concatenate(codes), np.concatenate(weights)
-
-
-def cooccurrences(docs: DataFrame, tokens: list[str], text: str = "text", near: int = NEAR) -> DataFrame:
-    """(i, j, n) with i <= j: the summed weights of the places where tokens i and j of the list stand near each other."""
+    code = np.concatenate(codes)
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(np.concatenate(weights)[order], first) if len(first) else first
+
+
+def _streams(texts: Iterable[str | None], place: dict[str, int], near: int, most: int) -> Iterator[np.ndarray]:
+    """The tokens of all texts in turn as places in the vocabulary, in arrays of some `most` or of one longer text; `near` times -1 stands after each text."""
+    held, n = [], 0
+    for text in texts:
+        held.append(np.fromiter((place.get(t[0].lower(), -1) for t in re.finditer(fn.TOKEN, text or "")), np.int64))
+        held.append(np.full(near, -1, np.int64))
+        n += len(held[-2]) + near
+        if n >= most:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def cooccurrences(docs: DataFrame, tokens: list[str], text: str = "text", near: int = NEAR, piece: int = PIECE) -> DataFrame:
+    """(i, j, n) with i <= j: the summed weights of the places where tokens i and j of the list stand near each other.
+
+    Pairs are summed over `piece` places at a time, so a task holds those of one piece beside its batch of texts.
+    """
     place, size = {t: i for i, t in enumerate(tokens)}, len(tokens)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [_near(np.array([place.get(t, -1) for t in toks], np.int64), size, near) for toks in pdf["toks"]]
-            if not found:
-                continue
-            codes, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-            sums = np.zeros(len(codes), np.int64)
-            np.add.at(sums, at, np.concatenate([w for _, w in found]))
-            yield pd.DataFrame({"i": codes // max(1, size), "j": codes % max(1, size), "n": sums})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids in _streams((x.as_py() for x in batch.column("text")), place, near, piece):
+                for at in range(0, len(ids), piece):
+                    codes, sums = _near(ids[at : at + piece + near], size, near, piece)
+                    cols = [(codes // max(1, size)).astype(np.int32), (codes % max(1, size)).astype(np.int32), sums]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "n"])
 
-    toks = spread(docs.where(F.col(text).isNotNull()).select(text)).select(fn.lower_tokens(text).alias("toks"))
-    return toks.mapInPandas(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
+    return rows.mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -105,7 +128,7 @@ def _product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
 def factors(rows: DataFrame, size: int, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """size rows of the leading directions of a symmetric matrix (i, j, v), each scaled by the root of its singular value."""
     kept = min(size, width + SPARE)
-    held = cut(rows.select(F.pmod("i", F.lit(BLOCKS)).alias("b"), "i", "j", "v"), "b", parts=BLOCKS)
+    held = cut(rows.select(F.pmod("i", F.lit(BLOCKS)).alias("b"), "i", "j", "v"), "b", parts=BLOCKS // 4)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, kept)))[0]
     for _ in range(rounds):
         q = np.linalg.qr(_product(held, q))[0]

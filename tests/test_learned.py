@@ -125,3 +125,15 @@ def test_learned_topk_against_plain_cosines(spark):
     x = em._unit(model([d["text"] for d in docs])).astype(float) @ em.embed_query("the town and the river", model)
     want = sorted((-round(s, 5), d["doc_id"]) for s, d in zip(x.tolist(), docs, strict=True))[:10]
     assert [round(-r.score, 5) for r in catalog.QUERIES["learned_topk"](spark, SF).collect()] == [w[0] for w in want]
+
+
+def test_pairs_are_summed_in_pieces_of_bounded_size(spark):
+    texts = ["a b c d " * 5000, "b a", "", "c " * 9, "d a b " * 700]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    tokens = ["a", "b", "c", "d"]
+    want = plain_counts(texts, tokens, 3)
+    for piece in (7, 64, 1 << 18):
+        got = {(r.i, r.j): r.n for r in le.cooccurrences(docs, tokens, near=3, piece=piece).collect()}
+        assert got == dict(want)
+    place = {t: i for i, t in enumerate(tokens)}
+    assert max(map(len, le._streams(["a b"] * 1000, place, 3, 64))) < 64 + 5
