@@ -149,9 +149,11 @@ def diff_symbols(old: DataFrame, new: DataFrame) -> DataFrame:
 def call_edges(symbols: DataFrame, calls=None) -> DataFrame:
     """(caller, callee, file_path): called names that are known callables, by one equi-join; calls is the column of called names, by pattern if none is given."""
     able = symbols.where(F.col("kind").isin("function", "method"))
-    used = able.select("file_path", "name", F.explode(fn.calls("body") if calls is None else calls).alias("callee"))
-    known = able.select(F.col("name").alias("callee")).distinct()
-    return used.where("callee <> name").join(known, "callee").select(F.concat_ws(":", "file_path", "name").alias("caller"), "callee", "file_path").distinct()
+    each = able.select("file_path", "name", (fn.calls("body") if calls is None else calls).alias("called")).groupBy("file_path", "name")
+    used = each.agg(F.array_distinct(F.flatten(F.collect_list("called"))).alias("called")).select("file_path", "name", F.explode("called").alias("callee"))
+    # the names are the smaller side; sorting the calls instead would hold them all
+    known = able.select(F.col("name").alias("callee")).distinct().hint("shuffle_hash")
+    return used.where("callee <> name").join(known, "callee", "left_semi").select(F.concat_ws(":", "file_path", "name").alias("caller"), "callee", "file_path")
 
 
 def callers_of(edges: DataFrame, name: str) -> DataFrame:
@@ -182,11 +184,11 @@ def trace(symbols: DataFrame, edges: DataFrame, target: str, depth: int = 5, cut
     spark = symbols.sparkSession
     named = symbols.where("kind <> 'import'").groupBy("name").agg(F.min(F.struct("file_path", "start_line", "kind")).alias("s"))
     named = cut(named.select("name", "s.file_path", "s.kind", F.concat_ws(":", "s.file_path", "name").alias("key")))
+    edges = cut(edges.select("caller", "callee"))  # every step reads them
     up = edges.select(F.col("callee").alias("src"), F.element_at(F.split("caller", ":"), -1).alias("dst"))
-    callee = named.select(F.col("name").alias("callee"), F.col("key").alias("dst"))
-    down = edges.select(F.col("caller").alias("src"), "callee").join(callee, "callee").select("src", "dst")
+    down = edges.select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
     above = reach(up, spark.createDataFrame([(target,)], "node string"), depth, cut).where("depth > 0")
-    below = reach(down, named.where(F.col("name") == target).select(F.col("key").alias("node")), depth, cut).where("depth > 0")
+    below = reach(down, named.where(F.col("name") == target).select(F.col("key").alias("node")), depth, cut, named.select(F.col("name").alias("dst"), F.col("key").alias("node"))).where("depth > 0")
     return above.join(named, above.node == named.name).select("name", "file_path", "kind", (-F.col("depth")).alias("depth")).unionByName(
         below.join(named, below.node == named.key).select("name", "file_path", "kind", "depth")
     )
@@ -255,12 +257,16 @@ def dead_code(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return able.where(~entry).join(edges.select(F.col("callee").alias("name")).distinct(), "name", "left_anti").join(others, "name", "left_anti")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = 5, cut=store_cut) -> DataFrame:
-    """(node, depth) of the nodes first met at each step along edges (src, dst) from seeds (node); each frontier is written once, an empty one ends the search."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int = 5, cut=store_cut, places: DataFrame | None = None) -> DataFrame:
+    """(node, depth) of the nodes first met at each step along edges (src, dst) from seeds (node); each frontier is written once, an empty one ends the search.
+
+    Where edges lead to something else than nodes, places (dst, node) tells the nodes.
+    """
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
-        step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        step = edges.join(front.select(F.col("node").alias("src")), "src").select("dst").distinct()
+        step = step.withColumnRenamed("dst", "node") if places is None else step.join(places, "dst").select("node").distinct()
         front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break

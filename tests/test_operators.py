@@ -146,3 +146,23 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_call_edges_are_distinct_and_sort_no_calls(spark):
+    rows = [("run", "method", "a.py", "", "help() help() run()", 1), ("run", "method", "a.py", "", "help() stop() gone()", 9), ("help", "function", "b.py", "", "pass", 1), ("stop", "function", None, "", "help()", 1)]
+    s = spark.createDataFrame(rows, "name string, kind string, file_path string, parent string, body string, start_line int")
+    edges = rel.call_edges(s)
+    assert sorted(tuple(r)[:2] for r in edges.collect()) == [("a.py:run", "help"), ("a.py:run", "stop"), ("stop", "help")]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_trace_writes_its_edges_once_and_follows_names_to_their_first_place(spark):
+    from lumenfold.sources.store import cut
+
+    rows = [("a", "function", "1.py", "", "b() c()", 1), ("b", "function", "2.py", "", "c()", 1), ("b", "function", "3.py", "", "d()", 1), ("c", "function", "1.py", "", "a() d()", 5), ("d", "function", "4.py", "", "pass", 1)]
+    s = spark.createDataFrame(rows, "name string, kind string, file_path string, parent string, body string, start_line int")
+    held = []
+    found = rel.trace(s, rel.call_edges(s), "a", cut=lambda df: held.append(df.columns) or cut(df))
+    assert sorted((r.name, r.file_path, r.depth) for r in found.collect()) == [("b", "2.py", -2), ("b", "2.py", 1), ("c", "1.py", -1), ("c", "1.py", 1), ("d", "4.py", 2)]
+    assert held.count(["caller", "callee"]) == 1
