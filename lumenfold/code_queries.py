@@ -41,6 +41,9 @@ FILE_KEYS = 500
 FILED_SQL = f"{SYM_SQL.replace('symbols as (', 'placed as (')}, symbols as (select * replace (replace(file_path, '.py', '_' || start_line // {FILE_KEYS} || '.py') as file_path) from placed)"
 FILES_SQL = f"{FILED_SQL}, files as (select file_path, string_agg(body, chr(10) order by start_line, name) as content from symbols group by 1)"
 
+#: The same with a file a nation and a brand, whatever its length.
+WHOLE_SQL = f"{SYM_SQL}, files as (select file_path, string_agg(body, chr(10) order by start_line, name) as content from symbols group by 1)"
+
 
 def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -208,13 +211,13 @@ def project_metrics(spark, d):
     return m.select("files_analyzed", "total_loc", F.col("total_comment_lines").alias("comments"), F.col("total_blank_lines").alias("blanks"), F.round("avg_complexity", 6).alias("cc"), "max_complexity", "total_symbols", F.round("maintainability_index", 4).alias("mi"))
 
 
-@query(f"""{FILES_SQL}, b as (select file_path, len(regexp_extract_all(content, '(?m)^\\s*def\\s+\\w+\\([^)]*\\)\\s*:')) as found from files),
+@query(f"""{WHOLE_SQL}, b as (select file_path, len(regexp_extract_all(content, '(?m)^\\s*def\\s+\\w+\\([^)]*\\)\\s*:')) as found from files),
 k as (select file_path, unnest(list_transform(range(1, len(ls) - 3), lambda i: trim(array_to_string(ls[i:i + 4], chr(10)), E' \\t\\n\\r\\x0b\\x0c'))) as block from (select file_path, string_split(content, chr(10)) as ls from files) where len(ls) >= 300),
 r as (select file_path, count(*) as found from (select file_path, block from k where len(block) > 60 group by 1, 2 having count(*) >= 2) group by 1)
 select 'type_hints' as category, 2 as priority, file_path, cast(found as int) as found from b where found >= 2 union all select 'reduce_duplication', 4, file_path, cast(found as int) from r where found >= 2
 union all select 'error_handling', 3, file_path, cast(len(regexp_extract_all(content, '\\nexcept(?: Exception)?:')) as int) from files where regexp_matches(content, '\\nexcept(?: Exception)?:')""")
 def work_tasks(spark, d):
-    return qu.tasks(code_files(spark, d))
+    return qu.tasks_of_parts(symbols(spark, d), ("start_line", "name"), "body")
 
 
 @query(f"with l as ({LINES}), x as ({DANGER}) select cast(doc_id as varchar) as file_path, cast(line_number - 1 as int) as line, cast(len(l.line) as int) as end_col, 'warning' as severity, 'matches danger pattern ' || pattern as message from x join l using (doc_id, line_number)")

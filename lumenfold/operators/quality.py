@@ -13,6 +13,7 @@ from lumenfold.operators import parsing
 from lumenfold.operators import relations as rel
 from lumenfold.operators import search as se
 from lumenfold.sources.store import Tables, spread
+from lumenfold.sources.store import cut as store_cut
 
 # What a project must hold to, by rule.
 POLICY = {"min_maintainability": 40.0, "max_complexity": 25, "max_issues": 20, "max_dead_code": 15, "max_duplicates": 10, "require_safety_pass": 0}
@@ -218,20 +219,41 @@ def change_report(summary: DataFrame, unsafe: DataFrame | None = None, affected:
 
 
 # ----------------------------------------------------------------- tasks
+#: Lines of a block that may be repeated, and from how many lines on a file is looked through for it.
+BLOCK_LINES, LONG_FILE = 5, 300
+
+
 def tasks(files: DataFrame) -> DataFrame:
+    """tasks_of_parts of files (file_path, content) that are rows of their own."""
+    return tasks_of_parts(files.withColumn("_at", F.lit(0)), ("_at",))
+
+
+def tasks_of_parts(parts: DataFrame, order: tuple[str, ...], text: str = "content", cut=store_cut) -> DataFrame:
     """(category, priority, file_path, found): Python files to work on, by what they lack: result types, narrow except clauses, helpers for repeated blocks.
 
     Two functions without a result type; a broad except clause at the margin; in files of 300 lines or more two repeated blocks of five lines over 60 characters.
+    A file is its parts (rows of file_path and text) in order, a line break between two; no head of a function goes over the end of a part.
+    No row holds a file: blocks over the end of a part come from the first and last lines of the parts alone.
     """
-    rows = files.where(F.endswith("file_path", F.lit(".py")))
-    untyped = F.regexp_count("content", F.lit(r"(?m)^\s*def\s+\w+\([^)]*\)\s*:"))
-    lines = fn.lines("content")
-    blocks = F.transform(F.sequence(F.lit(1), F.size("ls") - 4), lambda i: fn.stripped(F.array_join(F.slice("ls", i, F.lit(5)), "\n")))
-    long_ = rows.select("file_path", lines.alias("ls")).where(F.size("ls") >= 300).select("file_path", F.explode(blocks).alias("block")).where(F.length("block") > 60)
-    again = long_.groupBy("file_path", F.sha2("block", 256).alias("h")).agg(F.count("*").alias("n")).where("n >= 2").groupBy("file_path").agg(F.count("*").cast("int").alias("found"))
+    near, at = BLOCK_LINES - 1, Window.partitionBy("file_path").orderBy(*order)
+    rows = cut(parts.where(F.endswith("file_path", F.lit(".py")) & F.col(text).isNotNull()).select("file_path", *order, F.col(text).alias("text")))
+    windows = lambda x: F.explode(F.transform(F.sequence(F.lit(1), F.size(x) - near), lambda i: fn.stripped(F.array_join(F.slice(x, i, F.lit(BLOCK_LINES)), "\n")))).alias("block")
+    # where another part follows, a break at the end of the text is an empty line
+    own, broken = fn.lines("text"), fn.lines(F.concat("text", F.lit("\n")))
+    ends = rows.select("file_path", *order, F.size(own).alias("n"), (F.size(broken) - F.size(own)).alias("more"), F.slice(broken, 1, near).alias("head"), F.reverse(F.slice(F.reverse(own), 1, near)).alias("tail"),
+        F.regexp_count("text", F.lit(r"(?m)^\s*def\s+\w+\([^)]*\)\s*:")).alias("untyped"), F.regexp_count("text", F.lit(r"\nexcept(?: Exception)?:")).alias("broad"), F.rlike("text", F.lit(r"\Aexcept(?: Exception)?:")).cast("int").alias("opens"))
+    ends = ends.withColumns({"more": F.when(F.lead(F.lit(1)).over(at).isNull(), 0).otherwise(F.col("more")), "broad": F.col("broad") + F.when(F.row_number().over(at) > 1, F.col("opens")).otherwise(0)})
+    ends = ends.withColumn("head", F.slice("head", F.lit(1), F.col("n") + F.col("more")))
+    ends = cut(ends.withColumn("after", F.slice(F.flatten(F.collect_list("head").over(at.rowsBetween(1, near))), 1, near)))
+    size = ends.groupBy("file_path").agg(F.sum(F.col("n") + F.col("more")).alias("lines"), F.sum("untyped").cast("int").alias("untyped"), F.sum("broad").cast("int").alias("broad"))
+    over = F.concat("tail", F.array_repeat(F.lit(""), F.col("more")), "after").alias("ls")
+    inside, crossing = (x.where(F.size("ls") >= BLOCK_LINES).select("file_path", windows(F.col("ls"))) for x in (rows.select("file_path", own.alias("ls")), ends.select("file_path", over)))
+    blocks = inside.unionByName(crossing).where(F.length("block") > 60).join(F.broadcast(size.where(F.col("lines") >= LONG_FILE).select("file_path")), "file_path", "left_semi")
+    # dealt before they are counted: blocks are seldom equal, so counts in the tasks that cut them would hold nearly all
+    blocks = blocks.select("file_path", F.unhex(F.sha2("block", 256)).alias("h")).repartition("file_path", "h")
+    again = blocks.groupBy("file_path", "h").agg(F.count("*").alias("n")).where("n >= 2").groupBy("file_path").agg(F.count("*").cast("int").alias("found"))
     part = lambda df, name, k: df.select(F.lit(name).alias("category"), F.lit(k).alias("priority"), "file_path", "found")
-    typed = rows.withColumn("found", untyped).where("found >= 2")
-    broad = rows.withColumn("found", F.regexp_count("content", F.lit(r"\nexcept(?: Exception)?:"))).where("found > 0")
+    typed, broad = size.withColumn("found", F.col("untyped")).where("found >= 2"), size.withColumn("found", F.col("broad")).where("found > 0")
     return part(typed, "type_hints", 2).unionByName(part(broad, "error_handling", 3)).unionByName(part(again.where("found >= 2"), "reduce_duplication", 4))
 
 

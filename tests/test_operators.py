@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,37 @@ def test_trace_writes_its_edges_once_and_follows_names_to_their_first_place(spar
     found = rel.trace(s, rel.call_edges(s), "a", cut=lambda df: held.append(df.columns) or cut(df))
     assert sorted((r.name, r.file_path, r.depth) for r in found.collect()) == [("b", "2.py", -2), ("b", "2.py", 1), ("c", "1.py", -1), ("c", "1.py", 1), ("d", "4.py", 2)]
     assert held.count(["caller", "callee"]) == 1
+
+
+def test_tasks_of_parts_are_those_of_whole_files(spark):
+    import random
+
+    from lumenfold.operators import quality as qu
+
+    rng = random.Random(3)
+    line = lambda: rng.choice(["", "except:", "except Exception:", "def f(a):", "x = 1" * 9, "y = 2" * 8, "z = f(3) + 4" * 5])
+    parts = [(f"{f}.py", i, "\n".join(line() for _ in range(rng.randint(1, 9)))) for f in "abc" for i in range(90)] + [("c.py", 90, ""), ("d.py", 0, "def f():\n"), ("d.py", 1, "\n"), ("e.txt", 0, "def f():\ndef g():")]
+    text = {}
+    for f, i, t in parts:
+        text[f] = t if i == 0 else text[f] + "\n" + t
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got = rows(qu.tasks_of_parts(spark.createDataFrame(parts, "file_path string, i int, content string"), ("i",)))
+    want = []
+    for f, t in text.items():
+        ls = t.split("\n")[: -1 if t.endswith("\n") else None]
+        blocks = ["\n".join(ls[i : i + 5]).strip(" \t\n\r\x0b\x0c") for i in range(len(ls) - 4)] if len(ls) >= 300 else []
+        again = sum(1 for b in set(blocks) if len(b) > 60 and blocks.count(b) > 1)
+        counts = (("type_hints", 2, len(re.findall(r"(?m)^\s*def\s+\w+\([^)]*\)\s*:", t)), 2), ("error_handling", 3, len(re.findall(r"\nexcept(?: Exception)?:", t)), 1), ("reduce_duplication", 4, again, 2))
+        want += [(c, k, f, n) for c, k, n, least in counts if n >= least and f.endswith(".py")]
+    assert got == sorted(want) and {r[0] for r in got} == {"type_hints", "error_handling", "reduce_duplication"}
+    assert rows(qu.tasks(spark.createDataFrame(list(text.items()), "file_path string, content string"))) == got
+
+
+def test_work_tasks_look_through_whole_files(spark):
+    import __spark_entry__ as entry
+
+    # a file a brand and a nation, so that files of many parts are looked through as well
+    rows = entry.queries()["work_tasks"](spark, "/root/testdata/sf0.01").collect()
+    brands = {f"{r.p_brand}.py" for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_brand").distinct().collect()}
+    assert {r.file_path for r in rows if r.category == "type_hints" and r.file_path.startswith("Brand")} == brands
+    assert {r.category for r in rows} == {"type_hints", "reduce_duplication"}
