@@ -202,3 +202,16 @@ def test_work_tasks_look_through_whole_files(spark):
     brands = {f"{r.p_brand}.py" for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").select("p_brand").distinct().collect()}
     assert {r.file_path for r in rows if r.category == "type_hints" and r.file_path.startswith("Brand")} == brands
     assert {r.category for r in rows} == {"type_hints", "reduce_duplication"}
+
+
+def test_chunks_leave_a_task_in_batches_of_bounded_size(spark):
+    import pyarrow as pa
+
+    texts = ["line of text\n" * n for n in (400, 0, 3, 900)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcde")), pa.array(texts, pa.string())], ["p", "t"])
+    out = [b.to_pylist() for b in parsing._chunk_batches(iter([batch]), 100, 20, 1000)]
+    assert len(out) > 15 and max(sum(len(r["content"]) for r in rows) for rows in out) < 1000 + 120
+    want = [(p, k, *c) for p, t in zip("abcde", texts, strict=True) for k, c in enumerate(parsing.chunk_lines(t or "", 100, 20))]
+    assert [tuple(r.values()) for rows in out for r in rows] == want
+    got = parsing.chunks(spark.createDataFrame(list(zip("abcde", texts, strict=True)), "p string, t string"), 100, 20, "p", "t")
+    assert sorted(tuple(r) for r in got.collect()) == want
