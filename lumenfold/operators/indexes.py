@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text as fn
 from lumenfold.operators import positions
 from lumenfold.operators import search as se
-from lumenfold.sources.store import Tables, cut, drop_cut
+from lumenfold.sources.store import Tables, cut, drop_cut, spread
 
 # From how many vectors on an index is cut into cells, how many, and how many a query visits.
 CELLS_FROM, CELLS, PROBES = 50_000, 100, 10
@@ -140,7 +140,9 @@ class KeywordIndex:
 
     def build(self, docs: DataFrame, text: str = "text") -> "KeywordIndex":
         self.tables.save("postings", self._laid_out(positions.postings(docs, self.key, text)), "b")
-        self.tables.save("lengths", self._lengths(docs, self.tables.load("postings")))
+        # from the texts: each has postings in most buckets, so that they would bring its key many times
+        size = F.greatest(F.lit(0), F.coalesce(F.size(fn.tokens(text)), F.lit(0))).cast("long")
+        self.tables.save("lengths", spread(docs.select(self.key, text)).select(self.key, size.alias("dl")).groupBy(self.key).agg(F.max("dl").alias("dl")))
         return self._count()
 
     def _count(self) -> "KeywordIndex":

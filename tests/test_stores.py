@@ -397,3 +397,15 @@ def test_embedding(spark):
 def test_models_and_profiles(spark):
     row = spark.range(1).select(fn.model_of(F.lit("minilm")).alias("a"), fn.model_of(F.lit("own/x")).alias("b"), *[fn.profile_for_memory(F.lit(g)).alias(f"p{i}") for i, g in enumerate((2.0, 0.7, 0.1))], fn.grammar_of(F.lit("x.tsx")).alias("g"), fn.grammar_of(F.lit("x.c")).alias("h")).first()
     assert list(row) == ["all-MiniLM-L6-v2", "own/x", "precise", "balanced", "fast", "tsx", None] and time.time() > 0
+
+
+def test_postings_shuffle_no_tokens(spark):
+    from lumenfold.operators import positions
+
+    texts = ["the Cat and the cat", "", None, "a1 b2 " * 50, "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = positions.postings(docs)
+    assert {(r.doc_id, r.tok, r.tf, r.dl, tuple(r.pos)) for r in rows.where("doc_id < 3").collect()} == {(0, "the", 2, 5, (0, 3)), (0, "cat", 2, 5, (1, 4)), (0, "and", 1, 5, (2,))}
+    assert rows.where("doc_id = 3").count() == 4 and "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    batch = positions.pa.RecordBatch.from_arrays([positions.pa.array(range(100)), positions.pa.array(["a b a c"] * 100)], ["row", "text"])
+    assert [b.num_rows for b in positions._posting_batches(iter([batch]), 40)] == [30] * 10
