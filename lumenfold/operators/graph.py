@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,21 +101,28 @@ def _anywhere(rows: DataFrame, n: int, seed: int) -> DataFrame:
 def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", degree: int = DEGREE, block: int = BLOCK, trees: int = TREES, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """(src, dst, score): the `degree` nearest by inner product that were found for each vector."""
     rows = cut(vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("v")))
-    a, b = rows.select(F.col("id").alias("src"), F.col("v").alias("va")), rows.select(F.col("id").alias("dst"), F.col("v").alias("vb"))
-    one = cut(best(_first_lists(rows, degree, block, trees, seed).groupBy("src", "dst").agg(F.first("score").alias("score")), "src", degree).withColumn("new", F.lit(True)))
+    near = _first_lists(rows, degree, block, trees, seed).repartition("src")
+    one = cut(best(near.groupBy("src", "dst").agg(F.first("score").alias("score")), "src", degree).withColumn("new", F.lit(True)))
     for k in range(rounds):
         # both directions of every edge; at most EACH of a list, and of what points at one vector, go on
-        both = one.select("src", "dst", "new").unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new"))
+        both = one.select("src", "dst", "new").unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "new")).repartition("src")
         both = both.groupBy("src", "dst").agg(F.max("new").alias("new"))
         turn = Window.partitionBy("src", "new").orderBy(_spread(F.col("dst"), seed, k), "dst")
-        some = cut(both.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= EACH).drop("r"))
-        left, right = some.select("src", F.col("dst").alias("x"), F.col("new").alias("n1")), some.select("src", F.col("dst").alias("y"), F.col("new").alias("n2"))
-        met = left.join(right, "src").where("(n1 or n2) and x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
-        met = met.join(one.select("src", "dst"), ["src", "dst"], "left_anti")
-        scored = products(met.join(a, "src").join(b, "dst"), "va", "vb").withColumn("new", F.lit(True))
-        done = cut(best(one.withColumn("new", F.lit(False)).unionByName(scored, allowMissingColumns=True), "src", degree))
-        for x in (one, some):
-            drop_cut(x)
+        some = both.withColumn("r", F.row_number().over(turn)).where(F.col("r") <= EACH).groupBy("src").agg(F.collect_list(F.struct("dst", "new")).alias("l"))
+        # each pair once; both ends are asked after its score is known
+        met = some.select(F.explode(F.expr("flatten(transform(l, p -> transform(filter(l, q -> p.dst < q.dst and (p.new or q.new)), q -> struct(p.dst as src, q.dst as dst))))")).alias("p"))
+        met = met.select("p.src", "p.dst").repartition("src").distinct()
+        # a full list takes nothing below its last: what can't enter is left out where it was scored
+        least = one.groupBy(F.col("src").alias("id")).agg(F.when(F.count("*") >= degree, F.min("score")).alias("least"))
+        held = rows.join(least, "id", "left")
+        a = held.select(F.col("id").alias("src"), F.col("v").alias("va"), F.col("least").alias("la"))
+        b = held.select(F.col("id").alias("dst"), F.col("v").alias("vb"), F.col("least").alias("lb"))
+        pairs = products(met.join(a, "src").join(b, "dst"), "va", "vb")
+        ends = F.array(F.struct("src", "dst", "score", F.col("la").alias("least")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "score", F.col("lb").alias("least")))
+        scored = pairs.select(F.explode(ends).alias("e")).select("e.*").where("least is null or score >= least").drop("least")
+        scored = scored.join(one.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("new", F.lit(True))
+        done = cut(best(one.withColumn("new", F.lit(False)).unionByName(scored), "src", degree))
+        drop_cut(one)
         one = done
         if one.where("new").limit(1).isEmpty():
             break
@@ -144,7 +152,10 @@ def walk(vectors: DataFrame, edges: DataFrame, doors: DataFrame, queries: DataFr
     """
     n = max(1, vectors.count())
     asked = cut(queries)
-    v = vectors.select(F.col("id").alias("dst"), "v")
+    # dealt by id once and held by the executors, so that no step moves the vectors or the graph again
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = vectors.select(F.col("id").alias("dst"), "v").repartition(parts, "dst").persist(StorageLevel.DISK_ONLY)
+    edges = edges.repartition(parts, "src").groupBy("src").agg(F.collect_list("dst").alias("to")).persist(StorageLevel.DISK_ONLY)
     ring = vectors.select(F.col("id").alias("dst"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("h"))
     some = asked.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(DOORS - 1))).alias("i")).withColumn("h", F.pmod(F.xxhash64("query_id", "i"), F.lit(n)))
     begin = some.join(ring, "h").select("query_id", "dst")
@@ -161,7 +172,7 @@ def walk(vectors: DataFrame, edges: DataFrame, doors: DataFrame, queries: DataFr
         fresh = cut(best(top.where("not opened").drop("r"), "query_id", tries).select("query_id", "dst", F.lit(True).alias("now")))
         if fresh.isEmpty():
             break
-        stepped = fresh.select("query_id", F.col("dst").alias("src")).join(edges, "src").select("query_id", "dst").distinct()
+        stepped = fresh.select("query_id", F.col("dst").alias("src")).join(edges, "src").select("query_id", F.explode("to").alias("dst")).distinct()
         stepped = stepped.join(seen.select("query_id", "dst"), ["query_id", "dst"], "left_anti")
         scored = products(stepped.join(v, "dst").join(asked, "query_id"), "q", "v").select("query_id", "dst", "score", F.lit(False).alias("opened"))
         old = seen.join(fresh, ["query_id", "dst"], "left").select("query_id", "dst", "score", (F.col("opened") | F.coalesce("now", F.lit(False))).alias("opened"))
@@ -169,6 +180,8 @@ def walk(vectors: DataFrame, edges: DataFrame, doors: DataFrame, queries: DataFr
         for x in (seen, fresh):
             drop_cut(x)
         seen = new
+    for x in (v, edges):
+        x.unpersist()
     touched = Window.partitionBy("query_id")
     return best(seen.withColumn("touched", F.count("*").over(touched)), "query_id", k).select("query_id", "dst", "score", "touched")
 
