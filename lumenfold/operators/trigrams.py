@@ -11,16 +11,18 @@ from __future__ import annotations
 import re
 import warnings
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
 from re import _constants as sre  # the names of the tree's nodes
 from re import _parser as tree
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions import text as fn
 from lumenfold.operators import search as se
 from lumenfold.sources.store import Tables, cut, drop_cut, spread
 
@@ -168,10 +170,43 @@ def folded(text) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Characters whose trigrams a task holds at once, and the bits of one code point.
+HELD, BITS = 1 << 19, 21
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    def packed(batch: pa.RecordBatch, rows: list[int], codes: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.repeat(rows, [len(x) for x in codes])
+        named, at = np.unique(np.concatenate(codes), return_inverse=True)
+        points = np.stack([named >> (2 * BITS), named >> BITS & (1 << BITS) - 1, named & (1 << BITS) - 1], 1).astype("<u4")
+        whole = points.tobytes().decode("utf-32-le", "surrogatepass")
+        grams = pa.array([whole[i : i + 3] for i in range(0, len(whole), 3)], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(own)), grams.take(pa.array(at))], ["row", "gram"])
+
+    for batch in batches:
+        rows, codes, n = [], [], 0
+        for i, text in enumerate(batch.column("text")):
+            x = np.frombuffer((text.as_py() or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            if len(x) < 3:
+                continue
+            x = np.where((x >= 65) & (x <= 90), x + 32, x)
+            rows.append(i)
+            codes.append(np.unique(x[:-2] << (2 * BITS) | x[1:-1] << BITS | x[2:]))
+            n += len(x)
+            if n >= most:
+                yield packed(batch, rows, codes)
+                rows, codes, n = [], [], 0
+        if rows:
+            yield packed(batch, rows, codes)
+
+
 def grams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, gram): the distinct trigrams of each text; none of a null text or of one shorter than three characters."""
-    rows = spread(docs.select(key, text)).select(key, F.explode(fn.trigrams(folded(text))).alias("gram"))
-    return rows.where(F.length("gram") == 3)
+    """(key, gram): the distinct trigrams of each text; none of a null text or of one shorter than three characters.
+
+    Three code points are one number, so a text's trigrams are told apart by sorting numbers, and no string is made for each place.
+    """
+    rows = spread(docs.select(F.col(key).alias("row"), F.col(text).cast("string").alias("text")))
+    return rows.mapInArrow(_gram_batches, f"row {docs.schema[key].dataType.simpleString()}, gram string").withColumnRenamed("row", key)
 
 
 class TrigramIndex:
