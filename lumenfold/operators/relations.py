@@ -274,13 +274,18 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 5, cut=store_cut, pla
     return seen
 
 
-def hotspots(symbols: DataFrame, fan_in: DataFrame, fan_out: DataFrame, dup: DataFrame, churn: DataFrame | None, k: int) -> DataFrame:
-    """Weighted score of symbols (key, name, file_path, complexity); without churn its weight is spread over the others."""
+def hotspots(symbols: DataFrame, fan_in: DataFrame | None, fan_out: DataFrame | None, dup: DataFrame, churn: DataFrame | None, k: int) -> DataFrame:
+    """Weighted score of symbols (key, name, file_path, complexity); without churn its weight is spread over the others.
+
+    Where fan_in and fan_out are None they are columns of symbols.
+    """
     w = dict(HOTSPOT_WEIGHTS)
     if churn is None:
         spread = w.pop("churn") / len(w)
         w = {x: v + spread for x, v in w.items()}
-    j = symbols.join(fan_in, "key", "left").join(fan_out, "key", "left").join(dup, "file_path", "left")
+    for fan in (fan_in, fan_out):
+        symbols = symbols if fan is None else symbols.join(fan, "key", "left")
+    j = symbols.join(dup, "file_path", "left")
     j = j.join(churn, "file_path", "left") if churn is not None else j
     j = j.fillna(0, [x for x in w if x in j.columns])
     most = j.agg(*[F.max(x).alias(f"m_{x}") for x in w])
