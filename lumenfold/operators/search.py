@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +30,47 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return toks.groupBy(key, F.lower("t").alias("tok")).agg(F.count("*").alias("tf"))
 
 
+#: Distinct tokens that a task counts before it gives them on.
+COUNTED = 1 << 17
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df, cf, token = Counter(), Counter(), re.compile(fn.TOKEN)
+
+    def packed() -> pa.RecordBatch:
+        # a token as it is spelt tells how often it occurs, in lower case also how many texts hold it
+        seen = [(x.lower(), 0, n) for x, n in cf.items()] + [(x, n, 0) for x, n in df.items()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*seen, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["tok", "df", "cf"])
+
+    for batch in batches:
+        for text in batch.column("text"):
+            toks = token.findall(text.as_py() or "")
+            cf.update(toks)
+            df.update({x.lower() for x in set(toks)})
+            if len(cf) >= COUNTED:
+                yield packed()
+                df.clear()
+                cf.clear()
+    if cf:
+        yield packed()
+
+
+def terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(tok, df, cf): how many keys hold each token, and how often it occurs; no posting is a row.
+
+    Texts are counted where they lie. Rows that share a key are one document, and go by their postings.
+    """
+    shared = cut(docs.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key"))
+    once, counted = docs, None
+    if not shared.isEmpty():
+        same = F.col(key).eqNullSafe(F.col("_key"))
+        once = docs.join(shared, same, "left_anti")
+        counted = postings(docs.join(shared, same, "left_semi"), key, text).groupBy("tok").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    parts = spread(once.select(F.col(text).cast("string").alias("text"))).mapInArrow(_count_terms, "tok string, df long, cf long")
+    parts = parts if counted is None else parts.unionByName(counted)
+    return parts.groupBy("tok").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def bm25_score(tf, df, n: float, length, average: float) -> Column:
     idf = F.ln((n - df + 0.5) / (df + 0.5) + 1)
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
