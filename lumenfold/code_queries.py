@@ -115,7 +115,7 @@ select name, case when kind = 'function' then 'Function `' || name || '()` defin
 array_to_string(list_filter(peers[1:6], lambda x: x <> name)[1:5], ',') as related from s""")
 def symbol_explanations(spark, d):
     s = symbols(spark, d).withColumns({"end_line": (F.col("start_line") + F.size(fn.lines("body")) - 1), "parameters": F.array().cast("array<string>")})
-    return qu.explained(s, s).select("name", "summary", F.array_join("related", ",").alias("related"))
+    return qu.explained(s, s, among=6).select("name", "summary", F.array_join("related", ",").alias("related"))
 
 
 @query(f"""{MOD_SQL} select name, file_path || ':' || start_line || ':' || (start_line + 1) as chunk_key, kind || '.' || name as qualified,

@@ -303,8 +303,25 @@ def context_windows(symbols: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("related", F.transform(others, lambda x: x["name"])).drop("_peers")
 
 
-def explained(symbols: DataFrame, targets: DataFrame) -> DataFrame:
-    """One factual sentence about each target symbol, its first five relatives and the number of its file's imports."""
+def first_peers(symbols: DataFrame, n: int) -> DataFrame:
+    """(file_path, _peers, imports): of each file's symbols in order as many as hold the first n beside any one of them, and how many imports it has.
+
+    A symbol goes by name and line, so of n + 1 of these one can be left out; each stands at most n + 1 times.
+    """
+    w = Window.partitionBy("file_path").orderBy(F.asc_nulls_last("start_line"), F.asc_nulls_last("name"))
+    first = symbols.where("kind <> 'import'").select("file_path", "start_line", "name").withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= n + 1)
+    first = first.groupBy("file_path", "_r", "start_line", "name").agg(F.least(F.count("*"), F.lit(n + 1)).cast("int").alias("_n"))
+    imports = symbols.groupBy("file_path").agg(F.count_if(F.col("kind") == "import").alias("imports"))
+    places = F.sort_array(F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("_r", "start_line", "name", "_n"))))
+    files = first.unionByName(imports, allowMissingColumns=True).groupBy("file_path").agg(places.alias("_places"), F.sum("imports").cast("int").alias("imports"))
+    return files.select("file_path", F.flatten(F.transform("_places", lambda x: F.array_repeat(F.struct(x["name"].alias("name"), x["start_line"].alias("start_line")), x["_n"]))).alias("_peers"), "imports")
+
+
+def explained(symbols: DataFrame, targets: DataFrame, among: int = 0) -> DataFrame:
+    """One factual sentence about each target symbol, its first five relatives and the number of its file's imports.
+
+    Relatives are the file's symbols of another name or line, with `among` (six at most) those that its first `among` symbols hold.
+    """
     args = F.concat(F.lit("("), F.array_join("parameters", ", "), F.lit(")"))
     n = F.col("end_line") - F.col("start_line") + 1
     owner = F.when(F.coalesce("parent", F.lit("")) != "", F.concat(F.lit(" of class `"), "parent", F.lit("`"))).otherwise("")
@@ -317,8 +334,10 @@ def explained(symbols: DataFrame, targets: DataFrame) -> DataFrame:
         .when(F.col("kind") == "import", F.concat(F.lit("Import statement at line "), F.col("start_line").cast("string"), F.lit(": `"), fn.stripped("body"), F.lit("`")))
         .otherwise(F.concat(F.initcap("kind"), F.lit(" `"), "name", F.lit("` at line "), F.col("start_line").cast("string"), F.lit(".")))
     )
-    rows = context_windows(symbols, targets)
-    return rows.select("file_path", "name", "kind", "start_line", text.alias("summary"), F.slice("related", 1, 5).alias("related"), F.size("imports").alias("file_imports"))
+    rows = targets.select("file_path", "name", "kind", "start_line", text.alias("summary"))
+    rows = rows.join(first_peers(symbols, 5).withColumnRenamed("file_path", "_file"), F.expr("file_path <=> _file"), "left")
+    others = F.filter(F.slice("_peers", 1, among) if among else "_peers", lambda x: ~((x["name"] == F.col("name")) & (x["start_line"] == F.col("start_line"))))
+    return rows.select("file_path", "name", "kind", "start_line", "summary", F.slice(F.transform(others, lambda x: x["name"]), 1, 5).alias("related"), F.col("imports").alias("file_imports"))
 
 
 def hotspots(files: DataFrame, symbols: DataFrame, edges: DataFrame, churn: DataFrame | None = None, k: int = 20, complexity: Column | None = None) -> DataFrame:
